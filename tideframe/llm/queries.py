@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tideframe.llm import exact_dedup
+from tideframe.llm import exact_dedup, mixing, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op5_url_link_graph": url_filter.op5_url_link_graph,
+    "op10_mix_sources": mixing.op10_mix_sources,
 }
 
 ORACLE_SQL = {
