@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tideframe.llm import exact_dedup, mixing, url_filter
+from tideframe.llm import exact_dedup, mixing, quality_rules, token_counts, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op5_url_link_graph": url_filter.op5_url_link_graph,
+    "op8_quality_divergence": quality_rules.op8_quality_divergence,
+    "op9_token_counts": token_counts.op9_token_counts,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 
