@@ -103,19 +103,18 @@ def vector_total(partial: DataFrame, length: int, dtype: str, how: str) -> np.nd
     return out
 
 
-def bloom_semi(df: DataFrame, key: str, keys: DataFrame, bits: int = 1 << 24) -> DataFrame:
-    """Rows of df whose bigint key may be among keys (one bigint column); false positives stay.
+def maybe_in(spark: SparkSession, keys: DataFrame, bits: int = 1 << 24):
+    """A UDF that tells of a bigint whether it may be among keys (one bigint column); some others pass as well.
 
-    A pre-filter before an exact join. The broadcast is bits / 8 bytes (2 MB by default) whatever the number of keys;
-    with very many keys it lets more rows through, and the join that follows still decides.
+    For use before an exact join. The broadcast is bits / 8 bytes (2 MB by default) whatever the number of keys; with
+    very many keys more rows pass, and the join that follows still decides.
     """
-    spark = df.sparkSession
     name = keys.columns[0]
 
     def places(k: np.ndarray) -> list[np.ndarray]:
         u = k.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         v = (u ^ (u >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        return [((u >> np.uint64(20)) % np.uint64(bits)).astype(np.int64), ((v >> np.uint64(20)) % np.uint64(bits)).astype(np.int64), ((u ^ v) % np.uint64(bits)).astype(np.int64)]
+        return [((x >> np.uint64(20)) % np.uint64(bits)).astype(np.int64) for x in (u, v, u ^ (v << np.uint64(7)))]
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(bits // 8, np.uint8)
@@ -134,4 +133,14 @@ def bloom_semi(df: DataFrame, key: str, keys: DataFrame, bits: int = 1 << 24) ->
             ok &= (own[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
         return pd.Series(ok)
 
-    return df.where(maybe(F.col(key)))
+    return maybe
+
+
+def bloom_semi(df: DataFrame, key: str, keys: DataFrame, bits: int = 1 << 24) -> DataFrame:
+    """Rows of df whose bigint key (not null) may be among keys."""
+    return df.where(maybe_in(df.sparkSession, keys, bits)(F.col(key)))
+
+
+def result_path(spark: SparkSession, name: str) -> str:
+    """Where a result goes that clean_scratch() leaves."""
+    return f"{shared_dir(spark)}/result-{uuid.uuid4().hex}/{name}"

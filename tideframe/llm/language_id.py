@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -156,57 +156,71 @@ def sample_labelled(docs: DataFrame, rows: int, id_col: str, text_col: str, lang
     return texts, labels
 
 
-def identify(docs: DataFrame, net: Network | None = None, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Returns id, held_out, lang_pred and score, one row for each row.
+def predict(net: Network | None, tables: list, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    """Language and score of each text, over all its windows."""
+    names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    seen = [i for i, t in enumerate(texts) if net and t and _has_letter(t)]
+    if not seen:
+        return names, scores
+    total, n = np.zeros((len(texts), len(net.languages))), np.zeros(len(texts))
+    held: list[np.ndarray] = []
+    own: list[int] = []
+
+    def flush() -> None:
+        if held:
+            np.add.at(total, own, log_probabilities(net, tables, np.concatenate(held)))
+            np.add.at(n, own, 1)
+            held.clear()
+            own.clear()
+
+    for i in seen:
+        w = windows_of(texts[i].encode("utf-8", "surrogatepass"))
+        for begin in range(0, len(w), 1024):  # a very long text goes in parts
+            held.append(w[begin : begin + 1024])
+            own.extend([i] * len(held[-1]))
+            if len(own) >= 1024:
+                flush()
+    flush()
+    for i in seen:
+        p = np.exp(total[i] / n[i])
+        p /= p.sum()
+        names[i], scores[i] = net.languages[int(p.argmax())], float(p.max())
+    return names, scores
+
+
+def with_language(docs: DataFrame, net: Network | None = None, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", to: str = "_language") -> DataFrame:
+    """docs with a struct column `to` of lang_pred and score.
 
     Learns from rows with a language whose crc32(id as text) mod 4 is not 2 (unless net is given); predictions use
-    the text alone. Null texts and texts without a letter are `und` with score 0; without labelled rows all texts are.
-    Rows that repeat an id are predicted each. An empty table gives an empty result. Training uses up to `rows` rows
-    of each language and their first SAMPLE_BYTES bytes; predictions use whole texts.
+    the text alone. Training uses up to `rows` rows of each language and their first SAMPLE_BYTES bytes; predictions
+    use whole texts.
     """
-    spark = docs.sparkSession
     if net is None:
         texts, labels = sample_labelled(docs, rows, id_col, text_col, lang_col)
         net = train(texts, labels) if texts else None
-    shared = spark.sparkContext.broadcast(net)
+    shared = docs.sparkSession.sparkContext.broadcast(net)
 
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("lang_pred string, score double")
+    def language(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         net = shared.value
-        tables = net.pair_tables() if net else None
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            seen = [i for i, t in enumerate(texts) if net and t and _has_letter(t)]
-            held: list[np.ndarray] = []
-            own: list[int] = []
-            total = np.zeros((len(texts), len(net.languages) if net else 0))
-            n = np.zeros(len(texts))
-
-            def flush() -> None:
-                if held:
-                    x, at = np.concatenate(held), np.array(own)
-                    np.add.at(total, at, log_probabilities(net, tables, x))
-                    np.add.at(n, at, 1)
-                    held.clear()
-                    own.clear()
-
-            for i in seen:
-                w = windows_of(texts[i].encode("utf-8", "surrogatepass"))
-                for begin in range(0, len(w), 2048):  # a very long text goes in parts
-                    part = w[begin : begin + 2048]
-                    held.append(part)
-                    own.extend([i] * len(part))
-                    if len(own) >= 2048:
-                        flush()
-            flush()
-            for i in seen:
-                p = np.exp(total[i] / n[i])
-                p /= p.sum()
-                names[i], scores[i] = net.languages[int(p.argmax())], float(p.max())
-            yield pa.record_batch({"id": batch.column("id"), "held_out": batch.column("held_out"), "lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())})
-
-    source = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
-    return source.mapInArrow(predict, f"id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)
+        tables = net.pair_tables() if net else []
+        for part in parts:
+            names, scores = predict(net, tables, part.tolist())
+            yield pd.DataFrame({"lang_pred": names, "score": scores})
+
+    return docs.withColumn(to, language(F.col(text_col)))
+
+
+def identify(docs: DataFrame, net: Network | None = None, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """Returns id, held_out, lang_pred and score, one row for each row; see with_language().
+
+    Null texts and texts without a letter are `und` with score 0; without labelled rows all texts are. Rows that
+    repeat an id are predicted each. A null id is not held out. An empty table gives an empty result. Other columns
+    are not read.
+    """
+    narrow = docs.select(id_col, text_col, lang_col)
+    found = with_language(narrow, net, rows, id_col, text_col, lang_col)
+    return found.select(F.col(id_col), held_out(id_col).alias("held_out"), F.col("_language.lang_pred").alias("lang_pred"), F.col("_language.score").alias("score"))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
