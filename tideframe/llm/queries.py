@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tideframe.llm import byte_bpe, exact_dedup, jaccard_join, language_id, mixing, quality_rules, token_counts, url_filter
+from tideframe.llm import byte_bpe, cotraining, exact_dedup, jaccard_join, language_id, mixing, quality_rules, surrogates, token_counts, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_pii_surrogates": surrogates.op2_pii_surrogates,
     "op3_byte_bpe": byte_bpe.op3_byte_bpe,
     "op4_language_id": language_id.op4_language_id,
     "op5_url_link_graph": url_filter.op5_url_link_graph,
+    "op6_cotraining_quality": cotraining.op6_cotraining_quality,
     "op7_ngram_jaccard": jaccard_join.op7_ngram_jaccard,
     "op8_quality_divergence": quality_rules.op8_quality_divergence,
     "op9_token_counts": token_counts.op9_token_counts,
