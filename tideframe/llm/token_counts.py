@@ -95,7 +95,15 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096, frequent: int =
 
     counted = texts.select("text").mapInArrow(corpus_counts, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     vocabulary = stage(counted.mapInArrow(pieces, "piece string, n long, tokens int"), "pieces")
-    common = spark.sparkContext.broadcast({r["piece"]: r["tokens"] for r in vocabulary.orderBy(F.desc("n"), "piece").limit(frequent).collect()})
+    # The count from which pre-tokens are frequent, so that there are at most so many.
+    least, room = 1, frequent
+    for row in vocabulary.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).count().orderBy(F.desc("n")).collect():
+        room -= row["count"]
+        if room < 0:
+            least = row["n"] + 1
+            break
+    top = vocabulary.where(F.col("n") >= least) if least <= 1 << 16 else vocabulary.limit(0)
+    common = spark.sparkContext.broadcast({r["piece"]: r["tokens"] for r in top.select("piece", "tokens").collect()})
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, known = PreTokens(model), common.value
