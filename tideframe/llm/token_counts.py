@@ -22,7 +22,7 @@ from tideframe.llm.common import documents, stage
 
 MARK = "▁"
 #: Most frequent pre-tokens whose counts each task holds; all others go through a shuffle join.
-FREQUENT = 1 << 16
+FREQUENT = 1 << 18
 #: Pre-tokens that a task counts before it passes them on.
 _HELD = 400_000
 
