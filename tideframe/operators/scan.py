@@ -20,33 +20,36 @@ def recurrence(df: DataFrame, by: list[str], order: str, columns: dict[str, tupl
     with a value. Null values before that row give null; later nulls count as 0. min_rows: null until so many
     rows with or after the first value. index: a column with the row's number (from 0) in its series, if there is one.
     """
-    w = Window.partitionBy(*by).orderBy(order)
-    out = df if index else df.withColumn("_i", F.row_number().over(w) - 1)
     i = F.col(index or "_i")
-    for new, (source, alpha) in columns.items():
-        d = 1 - alpha
-        chunk = max(8, min(512, int(500 / -math.log(d)))) if d > 0 else 8
-        x = F.col(source)
-        series = Window.partitionBy(*by)
-        # rows since the first value
-        out = out.withColumn("_first", F.min(F.when(x.isNotNull(), i)).over(series)).withColumn("_p", i - F.col("_first"))
-        add = F.when(F.col("_p") < 0, 0.0).when(F.col("_p") == 0, x).otherwise(alpha * F.coalesce(x, F.lit(0.0)))
-        out = out.withColumn("_c", F.floor(F.greatest(F.col("_p"), F.lit(0)) / chunk).cast("int")).withColumn("_q", (F.greatest(F.col("_p"), F.lit(0)) % chunk).cast("int")).withColumn("_add", add)
-        inside = Window.partitionBy(*by, "_c").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        power = F.pow(F.lit(d), F.col("_q"))
-        out = out.withColumn("_local", power * F.sum(F.col("_add") / power).over(inside))
-        # y at a chunk's end, had it begun with 0; then what earlier chunks leave
-        ends = out.where(F.col("_p") >= 0).groupBy(*by, "_c").agg(F.max_by("_local", "_q").alias("_end"))
-        passed = d**chunk
+    out = df if index else df.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1)
+    # One chunk length for all columns, so that they share windows, one aggregation and one join.
+    chunk = min(max(8, min(512, int(500 / -math.log(1 - alpha)))) if alpha < 1 else 512 for _, alpha in columns.values())
+    series = Window.partitionBy(*by)
+    names = list(enumerate(columns.items()))
+    firsts = [F.min(F.when(F.col(source).isNotNull(), i)).over(series).alias(f"_f{k}") for k, (_, (source, _)) in names]
+    out = out.select("*", F.floor(i / chunk).cast("int").alias("_c"), (i % chunk).cast("int").alias("_q"), *firsts)
+    inside = Window.partitionBy(*by, "_c").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    local = []
+    for k, (_, (source, alpha)) in names:
+        x, first = F.col(source), F.col(f"_f{k}")
+        add = F.when(i == first, x).when(i > first, alpha * F.coalesce(x, F.lit(0.0))).otherwise(0.0)
+        power = F.pow(F.lit(1 - alpha), F.col("_q")) if alpha < 1 else F.when(F.col("_q") == 0, 1.0).otherwise(1.0)
+        local.append((add if alpha == 1 else power * F.sum(add / power).over(inside)).alias(f"_l{k}"))
+    out = out.select("*", *local)
+    # What a chunk leaves to later ones: a short weighted sum over the ends of those before.
+    ends = out.groupBy(*by, "_c").agg(*(F.max_by(f"_l{k}", "_q").alias(f"_e{k}") for k, _ in names))
+    over = Window.partitionBy(*by).orderBy("_c")
+    carries = []
+    for k, (_, (_, alpha)) in names:
+        passed = (1 - alpha) ** chunk
         depth = max(1, math.ceil(math.log(1e-18) / math.log(passed))) if 0 < passed < 1 else 1
-        over = Window.partitionBy(*by).orderBy("_c")
-        carry = sum((F.coalesce(F.lag("_end", m + 1).over(over), F.lit(0.0)) * passed**m for m in range(depth)), F.lit(0.0))
-        carries = ends.select(*by, "_c", carry.alias("_carry"))
-        out = out.join(carries, [*by, "_c"], "left")
-        y = F.col("_local") + F.coalesce("_carry", F.lit(0.0)) * F.pow(F.lit(d), F.col("_q") + 1)
-        need = (min_rows or {}).get(new, 1)
-        out = out.withColumn(new, F.when(F.col("_p") >= need - 1, y)).drop("_first", "_p", "_c", "_q", "_add", "_local", "_carry")
-    return out if index else out.drop("_i")
+        carries.append(sum((F.coalesce(F.lag(f"_e{k}", m + 1).over(over), F.lit(0.0)) * passed**m for m in range(depth)), F.lit(0.0)).alias(f"_y{k}"))
+    out = out.join(ends.select(*by, "_c", *carries), [*by, "_c"])
+    result = []
+    for k, (new, (_, alpha)) in names:
+        y = F.col(f"_l{k}") + F.col(f"_y{k}") * F.pow(F.lit(1 - alpha), F.col("_q") + 1)
+        result.append(F.when(i - F.col(f"_f{k}") >= (min_rows or {}).get(new, 1) - 1, y).alias(new))
+    return out.select(*(c for c in df.columns if c not in columns), *result)
 
 
 def weighted_lags(x: str, weights: list[float], w) -> Column:
