@@ -114,17 +114,28 @@ class CoTrained:
 
 
 def platt(log_odds: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope (at least 0) and shift that turn log odds into those of y, without class weights."""
-    a, b = 1.0, 0.0
+    """Slope (at least 0) and shift that turn log odds into those of y, without class weights.
+
+    Held towards 1 and 0, and found by Newton steps that are halved until they help, so that classes which a view
+    tells apart without error give finite values.
+    """
     target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((y == 0).sum() + 2))
+
+    def loss(a: float, b: float) -> float:
+        z = a * log_odds + b
+        return float((np.logaddexp(0, z) - target * z).sum() + 0.5 * ((a - 1) ** 2 + b**2))
+
+    a, b = 1.0, 0.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * log_odds + b, -30, 30)))
-        w = np.maximum(p * (1 - p), 1e-6)
-        g = np.array([((p - target) * log_odds).sum() + 0.01 * (a - 1), (p - target).sum()])
-        h = np.array([[(w * log_odds**2).sum() + 0.01, (w * log_odds).sum()], [(w * log_odds).sum(), w.sum() + 1e-6]])
-        move = np.linalg.solve(h, g)
-        a, b = a - move[0], b - move[1]
-        if np.abs(move).max() < 1e-6:
+        w = p * (1 - p)
+        g = np.array([((p - target) * log_odds).sum() + a - 1, (p - target).sum() + b])
+        h = np.array([[(w * log_odds**2).sum() + 1, (w * log_odds).sum()], [(w * log_odds).sum(), w.sum() + 1]])
+        move, size = np.linalg.solve(h, g), 1.0
+        while size > 1e-6 and loss(a - size * move[0], b - size * move[1]) > loss(a, b):
+            size /= 2
+        a, b = a - size * move[0], b - size * move[1]
+        if np.abs(size * move).max() < 1e-6:
             break
     return max(0.0, float(a)), float(b)
 
