@@ -27,4 +27,4 @@ def test_stages(spark):
     assert set(rows[2]) == set(last.values())
     assert set(rows[3]) == {c for _, c in components_of(list(rows[2].items())).values()}
     assert rows[4] == rows[3]
-    assert collections.Counter(r["doc_id"] for r in out[-1].collect()) == collections.Counter(rows[4])
+    assert collections.Counter(r["doc_id"] for r in out[-1].collect()) == collections.Counter(list(rows[4]))
