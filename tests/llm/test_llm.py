@@ -313,3 +313,35 @@ def test_mixing_places_every_row_once(spark):
     assert all(len({s for s, _ in v}) == 1 and sorted(o for _, o in v) == list(range(len(v))) for v in places.values())
     assert len({v[0][0] for v in places.values()}) == len(places)
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [900, 1000, 3000])
+def test_tempered_shares_follow_the_weights_of_many_sources(n):
+    counts = {"hot": n * n // 4} | {f"s{i}": 1 + i % 50 for i in range(n - 1)}
+    shares = mixing.tempered_shares(counts, 0.5, 1000)
+    assert min(shares.values()) >= 1 and set(shares) == set(counts)
+    target = sum(shares.values()) * (n / 2) / sum(c**0.5 for c in counts.values())
+    assert (1 - 1 / mixing.SOURCE_SLOTS) * target - 1 < shares["hot"] < target + 1
+
+
+@pytest.mark.parametrize("held", [100, 1 << 20])
+def test_mixing_many_sources_with_one_hot(spark, monkeypatch, held):
+    monkeypatch.setattr(mixing, "PERIOD_ROWS", 20_000 if held == 100 else held)
+    docs = spark.range(6600).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 1100)).alias("source"))
+    got = mixing.mix(docs, block_docs=1).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(6600)) and len({r["mix_slot"] for r in got}) == 6600
+    counts = collections.Counter(r["source"] for r in got)
+    w = counts["hot"] ** 0.5 / sum(c**0.5 for c in counts.values())
+    assert counts["hot"] == 2200 and all(r["mix_release"] <= r["mix_slot"] < r["mix_deadline"] for r in got)
+    first = sorted(r["mix_slot"] for r in got if r["source"] == "hot")
+    assert abs(len(first) / (first[-1] + 1) / w - 1) < 1 / mixing.SOURCE_SLOTS
+
+
+def test_mixing_keeps_weight_zero(spark):
+    docs = spark.createDataFrame([(i, "abz"[i % 3]) for i in range(300)], "doc_id long, source string")
+    got = mixing.mix(docs, {"a": 3, "b": 1, "z": 0}, block_docs=4).collect()
+    assert len(got) == 300 and max(r["mix_slot"] for r in got if r["source"] != "z") < min(r["mix_slot"] for r in got if r["source"] == "z")
+    assert len({(r["mix_slot"], r["mix_offset"]) for r in got}) == 300
+    assert mixing.mix(docs, {"a": 0, "b": 0, "z": 0}).count() == 300
+    with pytest.raises(ValueError):
+        mixing.mix(docs, {"a": -1})
