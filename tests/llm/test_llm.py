@@ -90,6 +90,27 @@ def test_surrogates_stay_distinct(spark):
     assert len(set(out)) == 600 and not set(out) & set(texts)
 
 
+def test_surrogates_of_other_formats(spark):
+    numbers = ["555-123-4567", "+44 20 7946 0958", "+49-30-1234567", "(555) 123-4567", "1-800-555-1234", "+14155550123", "030 1234567", "020 7946 0958", "06 12 34 56 78", "3782 822463 10005", "378282246310005"]
+    got = [r["text"] for r in surrogates.replace_entities(table(spark, [f"call {n}, please" for n in numbers]), "k").orderBy("doc_id").collect()]
+    for n, text in zip(numbers, got):
+        new = re.fullmatch(r"call (.*), please", text).group(1)
+        assert new != n and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", n), (n, text)
+    plain = ["from 2021-03-15 to 03/2021, 12:30, 1999-2000, v1.2.3, 3.14159, 10 000 000", "The doctor and the professor left. Smith said so."]
+    assert [r["text"] for r in surrogates.replace_entities(table(spark, plain), "k").orderBy("doc_id").collect()] == plain
+
+
+def test_surrogates_share_names_and_addresses(spark):
+    texts = ["Mr. John Smith met Dr. Jane van Houten-O'Brien. Smith's aim: John, SMITH and Blacksmith", "Mr Smith", "Mrs. Smith; Smith", "Prof. Dr. J. R. Smith", "Bob@Corp.com bob@corp.com", "г-н Иванов и г-жа Иванова"]
+    got = {r["doc_id"]: r for r in surrogates.replace_entities(table(spark, texts), "k").collect()}
+    t = [got[i]["text"] for i in range(6)]
+    john, smith = re.match(r"Mr\. (\w+on) (\w+on) met Dr\. \w+on van \w+on-\w+on\. ", t[0]).groups()
+    assert t[0].endswith(f". {smith}'s aim: {john}, {smith.upper()} and Blacksmith") and got[0]["n_name"] == 5
+    assert t[1] == f"Mr {smith}" and t[2] == "Mrs. {0}; {0}".format(smith[:-2] + "ina") and re.fullmatch(rf"Prof\. Dr\. [A-Z]\. [A-Z]\. {smith}", t[3])
+    assert len(set(t[4].split())) == 1 and "corp" not in t[4].lower()
+    assert re.fullmatch(r"г-н (\w+)ов и г-жа \1ина", t[5])
+
+
 # 3 ---------------------------------------------------------------------------------------------------------------------
 
 

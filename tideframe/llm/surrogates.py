@@ -3,7 +3,9 @@
 Entities are found by pattern. Each distinct entity of the corpus gets one replacement, derived from a keyed hash, of
 the same type and format: digits stay digits, letters keep case and script, punctuation stays, card numbers keep their
 issuer digit and pass the Luhn check, addresses stay addresses, and names keep title, gender and script. The same entity
-gets the same replacement everywhere. Collision checks see to it that distinct entities get distinct replacements and
+gets the same replacement everywhere: mail addresses are the same whatever their case, and each word of a name is an
+entity of its own, whatever its title, so that all mentions of a surname share one stem. Where a text gives a name a
+title, its words are replaced in the rest of that text as well, without a title too. Collision checks see to it that distinct entities get distinct replacements and
 that no replacement is an entity of the corpus; what collides is derived again in another round.
 """
 
@@ -18,7 +20,7 @@ from pyspark.sql.window import Window
 from tideframe.llm.common import documents, shared_dir, stage, text_of
 
 # Titles by gender, and syllables that names are made of.
-_TITLES = {"f": ["Mrs", "Ms", "Miss", "Frau", "Mme", "Mlle", "Sra", "Srta", "Señora", "Madame", "г-жа"], "m": ["Mr", "Herr", "Sr", "Señor", "Monsieur", "г-н"]}
+_TITLES = {"f": ["Mrs", "Ms", "Miss", "Frau", "Mme", "Mlle", "Sra", "Srta", "Señora", "Madame", "г-жа", "Fräulein", "Lady", "Dame", "Madam", "Doña", "Dra", "Sister", "Госпожа", "госпожа"], "m": ["Mr", "Herr", "Sr", "Señor", "Monsieur", "г-н", "Mister", "Herrn", "Sir", "Don", "Brother", "Господин", "господин"], "": ["Dr", "Prof", "Professor", "Doctor", "Doktor", "Mx", "Rev", "Judge", "Senator", "Captain", "Capt", "доктор", "профессор"]}
 _SYLLABLES = {
     "latin": ["al", "ber", "cor", "dan", "el", "far", "gal", "hel", "is", "jor", "kar", "lor", "mar", "nor", "ol", "per", "ros", "sal", "tor", "vel"],
     "cyrillic": ["ал", "бор", "вел", "гор", "дар", "ел", "жан", "зор", "ил", "кар", "лев", "мир", "нор", "ол", "пет", "рос", "сав", "тор", "ул", "яр"],
@@ -26,18 +28,30 @@ _SYLLABLES = {
 _ENDINGS = {("latin", "f"): "ina", ("latin", "m"): "on", ("cyrillic", "f"): "ина", ("cyrillic", "m"): "ов"}
 
 _ALL_TITLES = "|".join(t for g in _TITLES.values() for t in g)
+_PARTICLES = "von|van|der|den|de|del|della|di|da|du|la|le|zu|al|bin|ibn"
+#: A word of a name, and a name of some such words, initials and particles.
+_WORD = r"\p{Lu}(?:\p{L}+(?:['’]\p{L}{2,})*|(?:['’]\p{L}{2,})+)"
+_NAME = rf"(?:\p{{Lu}}\.[ ]?){{0,3}}(?:(?:{_PARTICLES}) ){{0,3}}{_WORD}(?:(?: (?:\p{{Lu}}\.[ ]?){{0,3}}(?:(?:{_PARTICLES}) ){{0,3}}|-){_WORD}){{0,4}}"
+_TITLED = rf"(?:(?:{_ALL_TITLES})\.? )+"
+#: Country code and area in parentheses; after a plus sign; groups of 3, 3 and 4; with a leading 0; French pairs.
+_PHONE = r"""(?<![\w+])(?:\+?\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)
+|\+(?=(?:[ ()./-]{0,2}\d){8})\d{1,3}(?:[ ./-]?(?:\(\d{1,5}\)|\d{1,5})){2,7}
+|(?<!\d[.,/-])(?:00\d{1,3}[ .-]|\d{1,3}[ .-])?(?:\(\d{2,5}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)
+|(?<!\d[.,/-])\(0\d{1,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)
+|(?<!\d[.,/-])0\d{1,4}(?:[ /-]\d{5,8}|[ -]\d{3,4}[ -]\d{3,5})(?!\d)
+|(?<!\d[.,/-])0\d(?:[ .-]\d{2}){4}(?![.-]?\d))""".replace("\n", "")
 #: type -> pattern; where several could match, the first does.
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?<=(?:password|passwd|pwd|secret|token|api_key)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_+/-]{8,}",
-    "phone": r"(?<![\w+])\+?\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)",
+    "phone": _PHONE,
     "ipv4": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d)(?!\.\d)",
-    "card": r"(?<![\d-])[3-6]\d{3}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?!\d)",
-    "name": rf"(?<!\w)(?:{_ALL_TITLES})\.? \p{{Lu}}[\p{{Ll}}\p{{Lu}}'-]+",
+    "card": r"(?<![\d-])(?:[2-6]\d{3}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}|3\d{3}[ -]?\d{6}[ -]?\d{4,5})(?!\d)",
+    "name": rf"(?<!\w){_TITLED}{_NAME}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A cheap sign that a text may hold an entity.
-_HINT = rf"[@=:]|\d{{4}}|\(\d|\d\.\d|(?:{_ALL_TITLES})\.? \p{{Lu}}"
+_HINT = rf"[@=:]|\d{{4}}|\(\d|\d\.\d|\+\d|\d{{2}}[ ./-]\d{{2}}|(?:{_ALL_TITLES})\.? \p{{Lu}}|(?:{_ALL_TITLES})\.? (?:{_PARTICLES}|{_ALL_TITLES})[ .]"
 
 
 def entity_type(value: Column) -> Column:
@@ -93,48 +107,64 @@ def _email(value: Column, digest: Column, domain_digest: Column) -> Column:
     return F.concat(_alike(F.substring_index(value, "@", 1), digest), F.lit("@"), domain)
 
 
-def _name(value: Column, digest: Column, rounds: Column) -> Column:
-    title = F.regexp_extract(value, r"^(\S+ )", 1)
-    female = F.regexp_replace(F.trim(title), r"\.$", "").isin(*_TITLES["f"])
-    cyrillic = F.regexp_extract(value, r" (.*)$", 1).rlike(r"^\p{IsCyrillic}")
+def _stem(value: Column, digest: Column, rounds: Column) -> Column:
+    """Stem of the replacement of a name's word."""
 
     def made(script: str) -> Column:
         pool = F.array(*map(F.lit, _SYLLABLES[script]))
         picks = F.transform(F.sequence(F.lit(0), F.lit(3) + rounds), lambda i: F.element_at(pool, _number(digest, i) % len(_SYLLABLES[script]) + 1))
-        return F.initcap(F.concat(F.array_join(picks, ""), F.when(female, F.lit(_ENDINGS[script, "f"])).otherwise(F.lit(_ENDINGS[script, "m"]))))
+        return F.initcap(F.array_join(picks, ""))
 
-    return F.concat(title, F.when(cyrillic, made("cyrillic")).otherwise(made("latin")))
+    return F.when(value.rlike(r"^\p{IsCyrillic}"), made("cyrillic")).otherwise(made("latin"))
+
+
+def canonical(kind: Column, value: Column) -> Column:
+    """What mentions of one entity have in common; of a name, that of one word."""
+    word = F.regexp_replace(F.lower(value), "’", "'")
+    return F.when(kind == "email", F.lower(value)).when(kind == "name", F.regexp_replace(word, "(?<=ов|ев|ёв|ин|ын)а$", "")).otherwise(value)
+
+
+def _rendered(word: Column, stem: Column, female: Column) -> Column:
+    """The replacement of a word of a name, with the ending of its gender and the capitals of the word."""
+    ending = F.lit(_ENDINGS["latin", "m"])
+    for (script, gender), text in _ENDINGS.items():
+        ending = F.when((female if gender == "f" else ~female) & (stem.rlike(r"^\p{IsCyrillic}") if script == "cyrillic" else ~stem.rlike(r"^\p{IsCyrillic}")), F.lit(text)).otherwise(ending)
+    return F.when(word == F.upper(word), F.upper(F.concat(stem, ending))).otherwise(F.concat(stem, ending))
 
 
 def surrogate(kind: Column, value: Column, key: str, rounds: Column) -> Column:
-    """Replacement of an entity; depends on key, type, value and round only."""
+    """Replacement of an entity (of a name's word, its stem); depends on key, type, value and round only."""
     digest = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, value, rounds.cast("string"), F.lit(key)), 256)
     domain = F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("domain"), F.lower(F.substring_index(value, "@", -1)), F.lit(key)), 256)
     return (
         F.when(kind == "email", _email(value, digest, domain))
         .when(kind == "ipv4", _address(value, digest))
         .when(kind == "card", _card(value, digest))
-        .when(kind == "phone", _alike(value, digest, F.when(value.startswith("+"), F.length(F.regexp_extract(value, r"^(\+\d+)", 1))).otherwise(0)))
-        .when(kind == "name", _name(value, digest, rounds))
+        .when(kind == "phone", _alike(value, digest, F.when(value.rlike(r"^\+\d{1,3}\D"), F.length(F.regexp_extract(value, r"^(\+\d+)", 1))).when(value.startswith("+"), 2).otherwise(0)))
+        .when(kind == "name", _stem(value, digest, rounds))
         .otherwise(_alike(value, digest))
     )
 
 
 def assign(entities: DataFrame, key: str, max_rounds: int = 12) -> DataFrame:
-    """(value, kind, surrogate) for distinct entities (value, kind), with collisions resolved over rounds.
+    """(value, kind, surrogate) for distinct canonical entities (value, kind), with collisions resolved over rounds.
 
     Of entities that meet in one surrogate, the smallest keeps it.
     """
     taken: list[DataFrame] = []
     left = entities
+    # Canonical forms of all entities, and of those that end like a made name the stems.
+    endings = "(?:" + "|".join(_ENDINGS.values()) + ")$"
+    used = entities.select(F.explode(F.array(F.col("value"), F.when(F.col("kind") == "name", F.regexp_replace("value", endings, "")))).alias("_used")).where("_used IS NOT NULL").distinct()
+    lowered = F.when(F.col("kind").isin("email", "name"), F.lower("surrogate")).otherwise(F.col("surrogate"))
     for i in range(max_rounds):
         tried = left.select("value", "kind", surrogate(F.col("kind"), F.col("value"), key, F.lit(i)).alias("surrogate"))
-        free = tried.join(entities.select(F.col("value").alias("surrogate")), "surrogate", "left_anti")
+        free = tried.withColumn("_used", lowered).join(used, "_used", "left_anti").drop("_used")
         for earlier in taken:
             free = free.join(earlier.select("surrogate"), "surrogate", "left_anti")
-        first = free.withColumn("rank", F.row_number().over(Window.partitionBy("surrogate").orderBy("value"))).where("rank = 1").drop("rank")
+        first = free.withColumn("rank", F.row_number().over(Window.partitionBy("surrogate").orderBy("value", "kind"))).where("rank = 1").drop("rank")
         taken.append(stage(first, f"surrogates{i}"))
-        left = stage(left.join(taken[-1].select("value"), "value", "left_anti"), f"open{i}")
+        left = stage(left.join(taken[-1].select("value", "kind"), ["value", "kind"], "left_anti"), f"open{i}")
         if left.isEmpty():
             return reduce(DataFrame.unionByName, taken)
     raise RuntimeError(f"entities without a surrogate after {max_rounds} rounds; a type's format has too few values")
@@ -155,14 +185,36 @@ def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
     found = F.when(F.col("text").rlike(_HINT), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
     marked = base.withColumn("found", F.coalesce(found, F.array().cast("array<string>")))
     some = marked.where(F.size("found") > 0).withColumn("digest", F.sha2(F.encode("text", "UTF-8"), 256))
-    used = stage(some.select("digest", F.explode(F.array_distinct("found")).alias("value")).distinct(), "used")
-    entities = stage(used.select("value").distinct().withColumn("kind", entity_type(F.col("value"))), "entities")
+    used = stage(some.select("digest", F.explode(F.array_distinct("found")).alias("raw")).distinct(), "used")
+    kinds = used.select("raw").distinct().withColumn("kind", entity_type(F.col("raw")))
+    is_name = F.col("kind") == "name"
+    rest = F.regexp_replace("raw", rf"^{_TITLED}", "")
+    titles = F.regexp_extract_all("raw", F.lit(rf"(?:{_ALL_TITLES})(?=\.? )"), F.lit(0))
+    typed = stage(kinds.select("raw", "kind", F.when(is_name, F.regexp_extract_all(rest, F.lit(_WORD), F.lit(0))).otherwise(F.array("raw")).alias("words"), F.when(is_name, rest).alias("rest"), F.when(is_name, F.arrays_overlap(titles, F.array(*map(F.lit, _TITLES["f"])))).otherwise(False).alias("female")), "typed")
+    parts = typed.select("raw", "kind", F.posexplode("words").alias("at", "word"), "female").withColumn("value", canonical(F.col("kind"), F.col("word")))
+    entities = stage(parts.select("value", "kind").distinct(), "entities")
     table = assign(entities, key)
-    by_text = used.join(table, "value").groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("value", F.struct("kind", "surrogate")))).alias("map"))
+    made = F.when(is_name, _rendered(F.col("word"), F.col("surrogate"), F.col("female"))).otherwise(F.col("surrogate"))
+    words = parts.join(table, ["value", "kind"]).groupBy("raw").agg(F.sort_array(F.collect_list(F.struct("at", "word", made.alias("made")))).alias("words"))
+    # A name is put together again around its new words; initials become others.
+    letter = lambda c: F.when(c.rlike(r"\p{Lu}\."), F.concat(F.regexp_extract(c, r"^(.*?)\p{Lu}\.", 1), _alike(F.regexp_extract(c, r"(\p{Lu}\..*)$", 1), F.sha2(F.concat(F.lit(key), c), 256), 0))).otherwise(c)
+    gaps = F.transform(F.split("rest", _WORD, -1), letter)
+    name = F.concat(F.regexp_extract("raw", rf"^({_TITLED})", 1), F.array_join(F.zip_with(gaps, "words", lambda g, w: F.concat(g, F.coalesce(w["made"], F.lit("")))), ""))
+    mentions = F.flatten(F.transform("words", lambda w: F.array(F.struct(w["word"].alias("word"), w["made"].alias("made")), F.struct(F.upper(w["word"]).alias("word"), F.upper(w["made"]).alias("made")), F.struct(F.initcap(w["word"]).alias("word"), F.initcap(w["made"]).alias("made")))))
+    replaced = typed.drop("words").join(words, "raw").select("raw", F.struct("kind", F.when(is_name, name).otherwise(F.col("words")[0]["made"]).alias("surrogate"), F.when(is_name, mentions).otherwise(F.slice(mentions, 1, 0)).alias("mentions")).alias("hit"))
+    by_text = used.join(replaced, "raw").groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("raw", "hit"))).alias("map"))
     counts = [f"n_{k}" for k in PATTERNS]
     joined = some.join(by_text, "digest").withColumn("hits", F.transform("found", lambda v: F.element_at(F.col("map"), v)))
-    pieces = F.zip_with(F.split("text", ANY, -1), F.col("hits"), lambda p, h: F.concat(p, F.coalesce(h["surrogate"], F.lit(""))))
-    changed = joined.select(id_col, F.array_join(pieces, "").alias("text"), F.size("found").cast("long").alias("n_entities"), *(_of_kind(k).alias(f"n_{k}") for k in PATTERNS))
+    # Names that have a title somewhere in the text are replaced between the entities, too; the first mention decides.
+    between = joined.withColumn("mentions", F.flatten(F.transform("hits", lambda h: h["mentions"]))).withColumn("pieces", F.split("text", ANY, -1))
+    named = F.concat(F.lit(r"(?<![\p{L}\p{N}_])(?:"), F.array_join(F.array_distinct(F.transform("mentions", lambda m: m["word"])), "|"), F.lit(r")(?![\p{L}\p{N}_])"))
+    bare = lambda p: F.regexp_extract_all(p, F.col("named"), F.lit(0))
+    again = lambda p: F.array_join(F.zip_with(F.split(p, F.col("named"), -1), F.transform(bare(p), lambda w: F.element_at(F.filter("mentions", lambda m: m["word"] == w), 1)["made"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    some_names = F.size("mentions") > 0
+    between = between.withColumn("named", named).withColumn("n_bare", F.when(some_names, F.aggregate("pieces", F.lit(0), lambda n, p: n + F.size(bare(p)))).otherwise(0)).withColumn("pieces", F.when(some_names, F.transform("pieces", again)).otherwise(F.col("pieces")))
+    pieces = F.zip_with("pieces", "hits", lambda p, h: F.concat(p, F.coalesce(h["surrogate"], F.lit(""))))
+    of_kind = [(_of_kind(k) + (F.col("n_bare") if k == "name" else F.lit(0))).cast("long").alias(f"n_{k}") for k in PATTERNS]
+    changed = between.select(id_col, F.array_join(pieces, "").alias("text"), (F.size("found") + F.col("n_bare")).cast("long").alias("n_entities"), *of_kind)
     same = marked.where(F.size("found") == 0).select(id_col, "text", F.lit(0).cast("long").alias("n_entities"), *(F.lit(0).cast("long").alias(c) for c in counts))
     return same.unionByName(changed)
 
