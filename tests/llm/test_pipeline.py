@@ -28,3 +28,13 @@ def test_stages(spark):
     assert set(rows[3]) == {c for _, c in components_of(list(rows[2].items())).values()}
     assert rows[4] == rows[3]
     assert collections.Counter(r["doc_id"] for r in out[-1].collect()) == collections.Counter(list(rows[4]))
+
+
+def test_mixture_survives_to_the_end(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    mixed = corpus_pipeline.mixing.laid_out(corpus_pipeline.mixing.mix(docs), 5).select(*docs.columns)
+    mixed.write.parquet(f"{tmp_path}/mixed")
+    out = corpus_pipeline.encode_tokens(spark, spark.read.parquet(f"{tmp_path}/mixed"), SF)
+    got = [r["doc_id"] for r in out.orderBy("mix_part", "mix_row").select("doc_id").collect()]
+    want = [r["doc_id"] for r in corpus_pipeline.mixing.mix(docs).orderBy("mix_slot", "mix_offset").select("doc_id").collect()]
+    assert got == want != sorted(want)
