@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from conftest import SF
 
-from tideframe.plans import market, outcomes, registry, streams  # noqa: F401
+from tideframe.plans import candidates, columns, market, outcomes, registry, streams  # noqa: F401
 
 
 @pytest.fixture(scope="module")

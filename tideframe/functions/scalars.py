@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Quote assets that a symbol may end with.
@@ -112,3 +114,35 @@ def wallet_ok(address: Column) -> Column:
 def content_hash(*columns: Column) -> Column:
     """SHA-256 of the canonical JSON of a row."""
     return F.sha2(F.to_json(F.struct(*columns)), 256)
+
+
+def rfc3339_text(at: Column) -> Column:
+    """An instant as text in UTC with Z, to the second."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def calendar_keys(at: Column) -> dict[str, Column]:
+    return {"month": F.date_format(at, "yyyy-MM"), "day": F.to_date(at), "quarter": F.concat(F.year(at).cast("string"), F.lit("-Q"), F.quarter(at).cast("string"))}
+
+
+def time_between(later: Column, earlier: Column, unit: str) -> Column:
+    """Hours, minutes or seconds from one instant to another, with fractions."""
+    size = {"hours": 3_600_000_000, "minutes": 60_000_000, "seconds": 1_000_000}[unit]
+    return (F.unix_micros(later) - F.unix_micros(earlier)) / F.lit(float(size))
+
+
+def atr_stop_and_target(entry: Column, side: Column, atr: Column, stop: float, target: float) -> tuple[Column, Column]:
+    """Prices at multiples of the average true range from the entry."""
+    long = side == "long"
+    return F.when(long, entry - stop * atr).otherwise(entry + stop * atr), F.when(long, entry + target * atr).otherwise(entry - target * atr)
+
+
+def more_protective(side: Column, a: Column, b: Column) -> Column:
+    """Of two stops, the one nearer to the entry."""
+    return F.when(side == "long", F.greatest(a, b)).otherwise(F.least(a, b))
+
+
+def last_with_prefix(df: DataFrame, prefix: str) -> Column:
+    """The last column that is named prefix or prefix_N; null without one."""
+    named = [c for c in df.columns if re.fullmatch(rf"{re.escape(prefix)}(_\d+)?", c)]
+    return F.col(named[-1]) if named else F.lit(None).cast("double")

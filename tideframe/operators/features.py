@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from tideframe.functions.scalars import change, flag, ratio, sign, steps
+from tideframe.operators import chunks
 from tideframe.operators.scan import ema_weights, recurrence, weighted_lags
 
 
@@ -148,11 +149,15 @@ def candle_shape() -> dict[str, Column]:
     return {"close_location": ratio(c - low, span), "body_ratio": ratio(F.abs(c - o), span), "upper_wick": ratio(h - top, span), "lower_wick": ratio(bottom - low, span), "body_pressure": ratio(c - o, span), "wick_pressure": ratio((bottom - low) - (h - top), span)}
 
 
-def consecutive(s: Series, bullish: bool = True) -> Column:
-    """Length of the current run of bars that close up (or down); needs column _n, the row's number."""
+def consecutive(s: Series, bullish: bool = True, carried: Column | None = None) -> Column:
+    """Length of the current run of bars that close up (or down); needs column _n, the row's number from 0.
+
+    carried: number of the last row that broke a run before the chunk at hand.
+    """
     match = F.col("close") >= F.col("open") if bullish else F.col("close") < F.col("open")
     before = s.w.rowsBetween(Window.unboundedPreceding, 0)
-    return F.col("_n") - F.coalesce(F.max(F.when(~match, F.col("_n"))).over(before), F.lit(0))
+    broken = F.max(F.when(~match, F.col("_n"))).over(before)
+    return F.col("_n") - F.coalesce(broken, F.lit(-1) if carried is None else F.coalesce(carried, F.lit(-1)))
 
 
 def taker_flow(s: Series, n: int) -> dict[str, Column]:
@@ -170,8 +175,32 @@ def correlation_beta(s: Series, n: int, own: str, ref: str) -> dict[str, Column]
     return {"correlation": F.when(enough & (vx > 0) & (vy > 0), cov / F.sqrt(vx * vy)), "beta": F.when(enough & (vy > 0), ratio(cov, vy))}
 
 
+#: Specs of a series that in_chunks() has cut.
+CHUNKED = Series(("symbol", "_chunk"))
+
+
+def in_chunks(bars: DataFrame, s: Series, halo: int, span: int = chunks.SPAN) -> DataFrame:
+    """Bars in chunks of time with `halo` bars before each; features of specs CHUNKED then equal those of whole series."""
+    return chunks.in_chunks(bars, list(s.by), s.order, halo, span)
+
+
+def own_rows(features: DataFrame) -> DataFrame:
+    """The rows themselves, without halos."""
+    return chunks.own_rows(features, keep_row=True)
+
+
+def chunked_core_features(bars: DataFrame, n: int = 20, span: int = chunks.SPAN) -> DataFrame:
+    """core_features() without a task that holds a whole series."""
+    return own_rows(core_features(in_chunks(bars, Series(), 3 * n, span), n, CHUNKED)).drop("_row")
+
+
 def core_features(bars: DataFrame, n: int = 20, s: Series = Series()) -> DataFrame:
-    """The rolling feature set of one window length."""
+    """The rolling feature set of one window length. No frame but those of the runs reaches back over 3 n rows; in
+    chunks, a run's start is carried from earlier ones."""
+    in_parts = "_chunk" in bars.columns
+    if in_parts:
+        up = F.col("close") >= F.col("open")
+        bars = chunks.last_before(bars, [c for c in s.by if c != "_chunk"], {"_bull": F.when(~up, F.col("_row")), "_bear": F.when(up, F.col("_row"))})
     first = {
         **returns(s),
         **moving_average(s, n),
@@ -187,7 +216,7 @@ def core_features(bars: DataFrame, n: int = 20, s: Series = Series()) -> DataFra
         "true_range": true_range(s),
         "taker_ratio": ratio(F.col("taker_buy"), F.col("quote_volume")),
         "_change": F.col("close") - s.back("close"),
-        "_n": F.row_number().over(s.w),
+        "_n": F.col("_row") if in_parts else F.row_number().over(s.w) - 1,
     }
     x = bars.select("*", *(c.alias(k) for k, c in first.items()))
     second = {
@@ -197,11 +226,11 @@ def core_features(bars: DataFrame, n: int = 20, s: Series = Series()) -> DataFra
         **atr(s, n),
         **directional(s, n),
         **taker_flow(s, n),
-        "bull_run": consecutive(s, True),
-        "bear_run": consecutive(s, False),
+        "bull_run": consecutive(s, True, F.col("_bull") if in_parts else None),
+        "bear_run": consecutive(s, False, F.col("_bear") if in_parts else None),
         "range_z": zscore(s, F.col("high") - F.col("low"), n),
     }
-    return x.select("*", *(c.alias(k) for k, c in second.items())).drop("_plus", "_minus", "_change", "_n")
+    return x.select("*", *(c.alias(k) for k, c in second.items())).drop("_plus", "_minus", "_change", "_n", "_bull", "_bear")
 
 
 def reference_features(bars: DataFrame, reference: str, n: int = 20, time: str = "t", s: Series = Series()) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -101,3 +101,26 @@ def coverage(present: DataFrame, by: str, day: str, start: int, end: int) -> Dat
 def write_clean(df: DataFrame, path: str, partition_by: Sequence[str], order: Sequence[str]) -> None:
     """Parquet in a Hive layout, sorted within its files."""
     df.repartition(*(F.col(c) for c in partition_by)).sortWithinPartitions(*partition_by, *order).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+
+
+def payload_violations(df: DataFrame, payload: str, required: Sequence[str], forbidden: Sequence[str], age: str, max_age: float) -> DataFrame:
+    """JSON payloads against a contract: violations (missing, forbidden and stale fields, in order) and action (ok or skip)."""
+    x = df.withColumn("_m", F.from_json(payload, "map<string,string>"))
+    field = lambda c: F.try_element_at("_m", F.lit(c))
+    stale = F.coalesce(field(age).try_cast("double") > max_age, F.lit(False))
+    found = F.array_compact(F.array(*(F.when(field(c).isNull(), F.lit(f"{c}_missing")) for c in required), *(F.when(field(c).isNotNull(), F.lit(f"{c}_forbidden")) for c in forbidden), F.when(stale, F.lit("stale"))))
+    return x.withColumn("violations", found).withColumn("action", F.when(F.size("violations") > 0, "skip").otherwise("ok")).drop("_m")
+
+
+#: Availability classes of columns that may feed features.
+FEATURE_CLASSES = ("signal_time", "post_close", "static", "assumption")
+
+
+def with_availability(df: DataFrame, classes: Mapping[str, str]) -> DataFrame:
+    """df with each column's availability class in its metadata."""
+    return df.select(*(F.col(c).alias(c, metadata={"availability": classes[c]}) if c in classes else F.col(c) for c in df.columns))
+
+
+def feature_columns(df: DataFrame) -> list[str]:
+    """Sorted names of columns whose availability class lets them feed features; reads the schema only."""
+    return sorted(f.name for f in df.schema.fields if f.metadata.get("availability") in FEATURE_CLASSES)

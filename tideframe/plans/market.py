@@ -191,7 +191,7 @@ _DOUBLES = "return_1 return_2 ma ma_slope from_high from_low range_position rela
 
 @query("w01_core_features", _CORE + " SELECT symbol, t, " + ", ".join(f"round({c} + 1e-9, 6) AS {c}" for c in _DOUBLES) + ", above_ma, CAST(bull_run AS INT) AS bull_run, CAST(bear_run AS INT) AS bear_run FROM core")
 def core_features(spark: SparkSession, d: str) -> DataFrame:
-    x = features.core_features(tables.candles(spark, d), N)
+    x = features.chunked_core_features(tables.candles(spark, d), N)
     # The shift keeps means of prices with two decimals off rounding ties.
     return x.select("symbol", "t", *(F.round(F.col(c) + 1e-9, 6).alias(c) for c in _DOUBLES), "above_ma", F.col("bull_run").cast("int").alias("bull_run"), F.col("bear_run").cast("int").alias("bear_run"))
 
@@ -209,7 +209,7 @@ def correlation_beta(spark: SparkSession, d: str) -> DataFrame:
 @query("a08_market_breadth", _CORE + """, g AS (SELECT t, avg(CAST(return_1 > 0 AS DOUBLE)) AS p, avg(return_1) AS m, avg(CAST(above_ma = 1 AS DOUBLE)) AS a, avg(taker_ratio) AS k, count(*) AS symbols FROM core GROUP BY t)
 SELECT t, round(p, 6) AS positive_share, round(m, 6) AS mean_return, round(a, 6) AS above_ma_share, round(k, 6) AS mean_taker, symbols, round((coalesce(p, 0) + coalesce(a, 0)) / nullif(CAST(p IS NOT NULL AS INT) + CAST(a IS NOT NULL AS INT), 0), 6) AS risk_on FROM g""")
 def market_breadth(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(features.breadth(features.core_features(tables.candles(spark, d), N)))
+    return rounded(features.breadth(features.chunked_core_features(tables.candles(spark, d), N)))
 
 
 @query("a11_market_median", CANDLES + " SELECT t, round(median(close), 6) AS close, round(median(quote_volume), 6) AS quote_volume FROM candles GROUP BY t")
@@ -321,7 +321,7 @@ def triple_barrier(spark: SparkSession, d: str) -> DataFrame:
 
 @query("j01_feature_label_join", _CORE + ", " + _LABELS.split(", ", 1)[1].split("FROM ticks GROUP BY 1, 2, 3)", 1)[1].lstrip(", ") + " SELECT core.symbol, core.t, round(volatility_expansion, 6) AS volatility_expansion, target_before_stop, realized_r FROM core JOIN labels USING (symbol, t) WHERE target_before_stop IS NOT NULL")
 def feature_label_join(spark: SparkSession, d: str) -> DataFrame:
-    x = features.core_features(tables.candles(spark, d), N).select("symbol", "t", "volatility_expansion")
+    x = features.chunked_core_features(tables.candles(spark, d), N).select("symbol", "t", "volatility_expansion")
     y = _barriers(spark, d).where("target_before_stop is not null").select("symbol", "t", "target_before_stop", F.round("realized_r", 4).alias("realized_r"))
     return rounded(x.join(y, ["symbol", "t"]))
 
@@ -341,7 +341,7 @@ def filter_groups(spark: SparkSession, d: str) -> DataFrame:
 @query("p05_fail_closed", _CORE + " SELECT symbol, t, CASE WHEN rsi IS NULL THEN 'rsi' ELSE '' END AS missing, rsi IS NULL OR (rsi > 60 AND from_high > -0.5) AS blocked FROM (SELECT symbol, t, round(rsi, 6) AS rsi, from_high FROM core)")
 def fail_closed(spark: SparkSession, d: str) -> DataFrame:
     c = predicates.Condition
-    x = features.core_features(tables.candles(spark, d), N).select("symbol", "t", F.round("rsi", 6).alias("rsi"), "from_high")
+    x = features.chunked_core_features(tables.candles(spark, d), N).select("symbol", "t", F.round("rsi", 6).alias("rsi"), "from_high")
     return predicates.abstain(x, [[c("rsi", ">", 60), c("from_high", ">", -0.5)]]).select("symbol", "t", F.array_join("missing", ",").alias("missing"), "blocked")
 
 
