@@ -146,3 +146,9 @@ def last_with_prefix(df: DataFrame, prefix: str) -> Column:
     """The last column that is named prefix or prefix_N; null without one."""
     named = [c for c in df.columns if re.fullmatch(rf"{re.escape(prefix)}(_\d+)?", c)]
     return F.col(named[-1]) if named else F.lit(None).cast("double")
+
+
+def mean_of_present(*columns: Column) -> Column:
+    """Mean of the values that are there; null without any."""
+    parts = F.filter(F.array(*columns), lambda x: x.isNotNull())
+    return ratio(F.aggregate(parts, F.lit(0.0), lambda a, b: a + b), F.size(parts))

@@ -23,6 +23,35 @@ def asof(left: DataFrame, right: DataFrame, left_time: str, right_time: str, by:
     return both.select("_l.*", *(F.when(fresh, F.col("_hit")[c]).alias(prefix + c) for c in columns), F.when(fresh, F.col("_hit._rt")).alias(prefix + right_time))
 
 
+def asof_for_all(left: DataFrame, right: DataFrame, left_time: str, right_time: str, columns: list[str], bucket: int) -> DataFrame:
+    """As-of join without a key, by buckets of time.
+
+    A bucket's left rows see its own right rows and the last one before it, so that no task holds the whole series. The
+    last right row of each bucket is all that is carried.
+    """
+    r = right.where(F.col(right_time).isNotNull()).select(F.col(right_time).alias("_at"), *columns).withColumn("_b", F.expr(f"_at div {bucket}"))
+    lasts = r.groupBy("_b").agg(F.max_by(F.struct("_at", *columns), "_at").alias("_r"))
+    x = left.withColumn("_b", F.expr(f"{left_time} div {bucket}"))
+    # One row a bucket: a small table, which one task can fill forward.
+    filled = x.select("_b").distinct().join(lasts, "_b", "full_outer").withColumn("_before", F.last("_r", ignorenulls=True).over(Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)))
+    seeds = filled.where("_before is not null").select("_b", "_before.*")
+    return asof(x, r.select("_b", "_at", *columns).unionByName(seeds), left_time, "_at", ["_b"], columns).drop("_b", "_at")
+
+
+def flagged_left(left: DataFrame, right: DataFrame, on: list[str], flag: str) -> DataFrame:
+    """Left join with a column that tells whether a right row was there."""
+    return left.join(right.withColumn(flag, F.lit(True)), on, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+
+
+def unique_left(left: DataFrame, right: DataFrame, on: list[str], required: bool = False) -> DataFrame:
+    """Left join with a right side whose keys are unique, else ValueError; required: each left key must be there."""
+    if not right.groupBy(*on).count().where("count > 1").isEmpty():
+        raise ValueError(f"repeated keys {on}")
+    if required and not left.join(right, on, "left_anti").isEmpty():
+        raise ValueError(f"missing keys {on}")
+    return left.join(right, on, "left")
+
+
 def usable_from(event_time: Column, available: Column) -> Column:
     """When a row may be used: once it has happened and is known."""
     return F.greatest(event_time, available)

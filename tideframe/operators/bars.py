@@ -89,3 +89,45 @@ def book_summary(levels: DataFrame, key: list[str]) -> DataFrame:
     )
     mid = (F.col("best_bid") + F.col("best_ask")) / 2
     return out.where("best_bid < best_ask").select("*", mid.alias("mid"), ((F.col("best_ask") - F.col("best_bid")) / mid * 10000).alias("spread_bps"), imbalance(F.col("bid_notional"), F.col("ask_notional")).alias("notional_imbalance"))
+
+
+def depth_rows(rows: DataFrame, pct: str) -> DataFrame:
+    """Signed percentage bands as side and distance; band 0 belongs to no side and goes."""
+    p = F.col(pct)
+    return rows.where(p != 0).select("*", F.when(p < 0, "bid").otherwise("ask").alias("side"), F.abs(p).cast("int").alias("distance"))
+
+
+def band_check(levels: DataFrame, key: list[str], pct: str, expected: list[int]) -> DataFrame:
+    """Per key: rows, distinct bands, whether they are exactly the expected ones, and whether one is repeated."""
+    bands = F.sort_array(F.collect_set(F.col(pct).cast("int")))
+    g = levels.groupBy(*key).agg(F.count("*").alias("rows"), bands.alias("_b"))
+    return g.select(*key, "rows", F.size("_b").cast("bigint").alias("bands"), (F.col("_b") == F.array(*map(F.lit, sorted(expected)))).alias("whole"), (F.col("rows") > F.size("_b")).alias("repeated"))
+
+
+def liquidation_events(messages: DataFrame, message: str) -> DataFrame:
+    """Force orders {o: {S, ap, z}}, in an envelope {data: ...} or not, with direction and notional.
+
+    A sold position was long. Messages that can't be read have the direction malformed and no notional.
+    """
+    order = "o struct<S:string,ap:double,z:double>"
+    x = messages.withColumn("_j", F.from_json(message, f"{order}, data struct<{order.replace(' ', ':', 1)}>"))
+    x = x.withColumn("_o", F.coalesce("_j.o", "_j.data.o"))
+    sold = F.when(F.col("_o.S") == "SELL", "long_liquidation").when(F.col("_o.S") == "BUY", "short_liquidation")
+    notional = F.col("_o.ap") * F.col("_o.z")
+    return x.select("*", F.when(notional.isNull(), "malformed").otherwise(F.coalesce(sold, F.lit("malformed"))).alias("direction"), notional.alias("notional")).drop("_j", "_o")
+
+
+def wallet_positions(states: DataFrame, state: str) -> DataFrame:
+    """One row a position of {assetPositions: [{position: {szi}}]}: its number, side by sign, and size without sign."""
+    x = states.withColumn("_s", F.from_json(state, "assetPositions array<struct<position:struct<szi:double>>>"))
+    x = x.select(*(c for c in states.columns if c != state), F.posexplode("_s.assetPositions").alias("position", "_p"))
+    size = F.col("_p.position.szi")
+    return x.select("*", F.when(size >= 0, "long").otherwise("short").alias("side"), F.abs(size).alias("notional")).drop("_p")
+
+
+def wallet_fills(fills: DataFrame, fill: str, wallet: str = "wallet") -> DataFrame:
+    """Fills {px, sz, side, tid} as rows; repeated tells of a (wallet, trade) that is there more than once."""
+    x = fills.withColumn("_f", F.from_json(fill, "px double, sz double, side string, tid int"))
+    x = x.select(*(c for c in fills.columns if c != fill), F.col("_f.tid").alias("trade"), F.when(F.col("_f.side") == "B", "buy").otherwise("sell").alias("side"), F.abs(F.col("_f.px") * F.col("_f.sz")).alias("notional"))
+    times = x.groupBy(wallet, "trade").agg(F.count("*").alias("_n"))
+    return x.join(times, [wallet, "trade"]).withColumn("repeated", F.col("_n") > 1).drop("_n")
