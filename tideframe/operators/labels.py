@@ -85,18 +85,27 @@ def trailing_exit(bars: DataFrame, horizon: int, stop: float, activate_r: float,
 
 
 def first_touch(entries: DataFrame, path: DataFrame, horizon_s: int, bucket_s: int, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """Entries (id, t, side, entry, stop, target) resolved on a path (t, price): first barrier touched, a tie is a stop.
+    """Entries (id, t, side, entry, stop, target) resolved on path bars (t, high, low, close) from t to t + horizon_s.
 
-    A path without a touch ends at its last price (timeout); an entry without a path has no outcome.
+    The first bar that touches a barrier decides; both in one bar are a stop. Without a touch the last close counts
+    (timeout). Excursions are those up to the exit; at a barrier, its price is the one on its side. Entries with fewer
+    than two path bars have no row. A path is one array of at most horizon_s worth of bars.
     """
     e = entries.withColumn("_until", F.col("t") + horizon_s).withColumnRenamed("t", "entry_t")
-    p = path.select(*by, F.col("t").alias("path_t"), "us", "price")
-    x = interval_join(e.withColumn("_from", F.col("entry_t") + 1), p, "_from", "_until", "path_t", list(by), bucket_s)
-    long = F.col("side") == "long"
-    stop = F.when(long, F.col("price") <= F.col("stop")).otherwise(F.col("price") >= F.col("stop"))
-    target = F.when(long, F.col("price") >= F.col("target")).otherwise(F.col("price") <= F.col("target"))
+    p = path.select(*by, F.col("t").alias("path_t"), "high", "low", "close")
     key = [*by, "id", "entry_t", "side", "entry", "stop", "target"]
-    hits = x.groupBy(*key).agg(F.min(F.when(stop, F.col("us"))).alias("_s"), F.min(F.when(target, F.col("us"))).alias("_t"), F.max_by("price", "us").alias("_last"), F.max("us").alias("_end"), F.count("*").alias("path_rows"))
+    x = interval_join(e, p, "entry_t", "_until", "path_t", list(by), bucket_s)
+    x = x.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("path_t", "high", "low", "close"))).alias("path")).where(F.size("path") >= 2)
+    long = F.col("side") == "long"
+    first = lambda up, down: F.nullif(F.array_position(F.transform("path", lambda b: F.when(long, up(b)).otherwise(down(b))), True), F.lit(0))
+    x = x.withColumn("_s", first(lambda b: b["low"] <= F.col("stop"), lambda b: b["high"] >= F.col("stop"))).withColumn("_t", first(lambda b: b["high"] >= F.col("target"), lambda b: b["low"] <= F.col("target")))
     kind = F.when(F.col("_s").isNull() & F.col("_t").isNull(), "timeout").when(F.col("_t").isNull() | (F.col("_s") <= F.col("_t")), "stop").otherwise("target")
-    out = hits.withColumn("barrier", kind).withColumn("exit_price", F.when(F.col("barrier") == "stop", F.col("stop")).when(F.col("barrier") == "target", F.col("target")).otherwise(F.col("_last")))
-    return out.select(*key, "path_rows", "barrier", "exit_price", F.coalesce(F.when(F.col("barrier") == "stop", F.col("_s")).when(F.col("barrier") == "target", F.col("_t")), F.col("_end")).alias("exit_us"), in_r(F.col("exit_price"), F.col("entry"), F.col("side"), F.abs(F.col("entry") - F.col("stop"))).alias("gross_r"))
+    x = x.withColumn("barrier", kind).withColumn("_held", F.slice("path", F.lit(1), F.coalesce(F.least("_s", "_t"), F.size("path")).cast("int")))
+    stopped, hit = F.col("barrier") == "stop", F.col("barrier") == "target"
+    end = F.element_at("_held", -1)
+    highest, lowest = F.array_max(F.transform("_held", lambda b: b["high"])), F.array_min(F.transform("_held", lambda b: b["low"]))
+    best = F.when(hit, F.col("target")).when(long, highest).otherwise(lowest)
+    worst = F.when(stopped, F.col("stop")).when(long, lowest).otherwise(highest)
+    exit_price = F.when(stopped, F.col("stop")).when(hit, F.col("target")).otherwise(end["close"])
+    r = lambda price: in_r(price, F.col("entry"), F.col("side"), F.abs(F.col("entry") - F.col("stop")))
+    return x.select(*key, F.size("path").cast("long").alias("path_rows"), "barrier", exit_price.alias("exit_price"), end["path_t"].alias("exit_t"), r(exit_price).alias("gross_r"), r(best).alias("mfe_r"), r(worst).alias("mae_r"), ((end["path_t"] - F.col("entry_t")) / 3600).alias("hours_held"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tideframe.functions.scalars import ratio
+from tideframe.operators.chunks import SPAN
 
 
 def profit_factor(r: Column, on_no_loss: float | None = float("inf")) -> Column:
@@ -61,24 +62,41 @@ def runner_shares(df: DataFrame, thresholds: Sequence[float], mfe: str = "mfe_r"
     return x.groupBy("threshold").agg(F.count("*").alias("rows"), share(up).alias("reached"), share(up & (F.col(mae) > -1)).alias("clean"), share(F.col(mae) <= -1).alias("stopped"))
 
 
-def equity_curve(trades: DataFrame, initial: float, risk: float, by: Sequence[str], order: Sequence[str], r: str = "net_r", weight: str | None = None) -> DataFrame:
-    """Compounded equity in order: initial * product(1 + risk * weight * r); with peak and drawdown.
+def equity_curve(trades: DataFrame, initial: float, risk: float, by: Sequence[str], order: Sequence[str], r: str = "net_r", weight: str | None = None, span: int = SPAN) -> DataFrame:
+    """Compounded equity in order: initial * product(1 + risk * weight * r); with peak, drawdown and _n (place in its book).
 
-    One partition a key; give `by` a scenario, symbol or month.
+    The first column of order is a number; books are cut into chunks of `span` of its units, and what a chunk passes on
+    is one row, so a long book is not one task. A trade may not lose all (1 + risk * weight * r > 0).
     """
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    step = 1 + risk * (F.col(weight) if weight else F.lit(1.0)) * F.col(r)
-    x = trades.withColumn("equity", initial * F.product(step).over(w))
-    x = x.withColumn("peak", F.greatest(F.lit(initial), F.max("equity").over(w)))
+    x = trades.withColumn("_step", F.ln(1 + risk * (F.col(weight) if weight else F.lit(1.0)) * F.col(r))).withColumn("_chunk", F.floor(F.col(order[0]) / F.lit(span)))
+    inside = Window.partitionBy(*by, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("_l", F.sum("_step").over(inside)).withColumn("_top", F.max("_l").over(inside)).withColumn("_k", F.count("*").over(inside))
+    earlier = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    ends = x.groupBy(*by, "_chunk").agg(F.sum("_step").alias("_e"), F.max("_l").alias("_m"), F.count("*").alias("_c"))
+    ends = ends.withColumn("_b", F.coalesce(F.sum("_e").over(earlier), F.lit(0.0)))
+    ends = ends.select(*by, "_chunk", "_b", F.max(F.col("_b") + F.col("_m")).over(earlier).alias("_p"), F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_o"))
+    x = x.join(ends, [*by, "_chunk"])
+    equity, peak = initial * F.exp(F.col("_b") + F.col("_l")), initial * F.exp(F.greatest(F.lit(0.0), F.col("_b") + F.col("_top"), F.coalesce("_p", F.lit(0.0))))
+    x = x.select(*trades.columns, (F.col("_o") + F.col("_k")).alias("_n"), equity.alias("equity"), peak.alias("peak"))
     return x.withColumn("drawdown", (F.col("peak") - F.col("equity")) / F.col("peak"))
 
 
-def longest_drawdown(curve: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Largest drawdown and the longest run of rows below the peak, per key."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    below = F.round("drawdown", 12) > 0
-    x = curve.withColumn("_n", F.row_number().over(w)).withColumn("_run", F.when(below, F.col("_n") - F.coalesce(F.max(F.when(~below, F.col("_n"))).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))).otherwise(0))
-    return x.groupBy(*by).agg(F.round(F.max("drawdown"), 8).alias("max_drawdown"), F.max("_run").alias("longest_run"), F.round(F.max_by("equity", "_n"), 6).alias("final_equity"))
+def longest_drawdown(curve: DataFrame, by: Sequence[str], order: Sequence[str], span: int = SPAN) -> DataFrame:
+    """Largest drawdown and the longest run of rows below the peak, per key, of an equity_curve().
+
+    A run is as long as the gap between two rows at the peak, or between the last of them and the end; gaps within a
+    chunk and those across chunks are found apart.
+    """
+    at_peak = F.round("drawdown", 12) <= 0
+    x = curve.withColumn("_chunk", F.floor(F.col(order[0]) / F.lit(span)))
+    peaks = x.where(at_peak).withColumn("_gap", F.col("_n") - F.lag("_n").over(Window.partitionBy(*by, "_chunk").orderBy("_n")) - 1)
+    per = x.groupBy(*by, "_chunk").agg(F.max("_n").alias("_end"), F.max("drawdown").alias("_d"), F.max_by("equity", "_n").alias("_q"))
+    per = per.join(peaks.groupBy(*by, "_chunk").agg(F.max("_gap").alias("_g"), F.min("_n").alias("_f"), F.max("_n").alias("_z")), [*by, "_chunk"], "left")
+    before = F.coalesce(F.max("_z").over(Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = per.withColumn("_across", F.col("_f") - before - 1)
+    g = per.groupBy(*by).agg(F.max("_d").alias("_d"), F.max(F.greatest("_g", "_across")).alias("_r"), F.max("_end").alias("_end"), F.max("_z").alias("_z"), F.max_by("_q", "_end").alias("_q"))
+    longest = F.greatest(F.coalesce("_r", F.lit(0)), F.col("_end") - F.coalesce("_z", F.lit(0)))
+    return g.select(*by, F.round("_d", 8).alias("max_drawdown"), longest.alias("longest_run"), F.round("_q", 6).alias("final_equity"))
 
 
 def concurrent_exposure(trades: DataFrame, by: Sequence[str], start: str = "decision_t", end: str = "exit_t", size: str = "size") -> DataFrame:

@@ -11,8 +11,15 @@ from pyspark.sql.window import Window
 from tideframe.functions.scalars import clean_text, rfc3339
 
 # Columns of a candle source, and columns that only the future can fill.
-CANDLE_COLUMNS = "schema_version venue market_type symbol base_asset quote_asset timeframe open_time close_time source_available_at open high low close volume quote_volume number_of_trades taker_buy_base_volume taker_buy_quote_volume data_source source_file checksum".split()
-LEAKAGE_COLUMNS = "forward_return_1 forward_return_3 forward_return_12 max_favorable_excursion_r max_adverse_excursion_r target_before_stop expected_r_after_costs gross_r net_r exit_time exit_reason exit_price".split()
+CANDLE_COLUMNS = (
+    "schema_version", "venue", "market_type", "symbol", "base_asset", "quote_asset", "timeframe", "open_time", "close_time",
+    "source_available_at", "open", "high", "low", "close", "volume", "quote_volume", "number_of_trades",
+    "taker_buy_base_volume", "taker_buy_quote_volume", "data_source", "source_file", "checksum",
+)
+LEAKAGE_COLUMNS = (
+    "forward_return_1", "forward_return_3", "forward_return_12", "max_favorable_excursion_r", "max_adverse_excursion_r",
+    "target_before_stop", "expected_r_after_costs", "no_trade_reason", "gross_r", "net_r", "exit_time", "exit_reason",
+)
 
 
 def require_columns(df: DataFrame, needed: Iterable[str], forbidden: Iterable[str] = LEAKAGE_COLUMNS) -> DataFrame:
@@ -86,16 +93,18 @@ def null_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def manifest(df: DataFrame, time: str) -> DataFrame:
     """Rows, first and last time, and a content digest that doesn't depend on order or partitioning."""
-    return df.agg(F.count("*").alias("rows"), F.min(time).alias("first_t"), F.max(time).alias("last_t"), F.bit_xor(F.xxhash64(*df.columns)).alias("digest"))
+    return df.agg(F.count("*").alias("rows"), F.min(time).alias("first_t"), F.max(time).alias("last_t"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("digest"))
 
 
-def coverage(present: DataFrame, by: str, day: str, start: int, end: int) -> DataFrame:
-    """Days from start to end (day numbers) of each key: expected, present, missing and share."""
-    days = F.explode(F.sequence(F.lit(start), F.lit(end))).alias(day)
-    expected = present.select(by).distinct().select(by, days)
-    seen = present.select(by, day).distinct().withColumn("_there", F.lit(1))
-    x = expected.join(seen, [by, day], "left")
-    return x.groupBy(by).agg(F.count("*").alias("expected"), F.count("_there").alias("present"), F.count_if(F.col("_there").isNull()).alias("missing")).withColumn("share", F.round(F.col("present") / F.col("expected"), 8))
+def coverage(present: DataFrame, by: str, day: str, start: int, end: int, keys: Sequence[str] | None = None) -> DataFrame:
+    """Days from start to end (day numbers) of each key: expected, present, missing and share.
+
+    keys: those that should be there, so that a key without any row is missed as well; by default those that are.
+    """
+    seen = present.where(F.col(day).between(start, end)).groupBy(by).agg(F.count_distinct(day).alias("present"))
+    wanted = present.select(by).distinct() if keys is None else present.sparkSession.createDataFrame([(k,) for k in keys], f"{by} string")
+    x = wanted.join(seen, by, "left").select(by, F.lit(end - start + 1).cast("long").alias("expected"), F.coalesce("present", F.lit(0)).cast("long").alias("present"))
+    return x.select("*", (F.col("expected") - F.col("present")).alias("missing"), F.round(F.col("present") / F.col("expected"), 8).alias("share"))
 
 
 def write_clean(df: DataFrame, path: str, partition_by: Sequence[str], order: Sequence[str]) -> None:

@@ -34,11 +34,14 @@ def daily_split(daily: DataFrame, monthly: float) -> DataFrame:
 
 
 def trailing_percentile(daily: DataFrame, window: int) -> DataFrame:
-    """Share of the window's earlier closes below the current one, and the weight 2 - 1.5 p (1 before the window is full)."""
-    w = Window.partitionBy("symbol").orderBy("day").rowsBetween(-window, -1)
-    x = daily.withColumn("_before", F.collect_list("close").over(w))
-    p = F.when(F.size("_before") == window, F.size(F.filter("_before", lambda v: v < F.col("close"))) / window)
-    return x.withColumn("percentile", p).withColumn("weight", F.coalesce(2 - 1.5 * F.col("percentile"), F.lit(1.0))).drop("_before")
+    """Share of the window's other closes below the current one (the window includes it), and the weight 2 - 1.5 p.
+
+    Before the window is full the percentile is null and the weight 1.
+    """
+    w = Window.partitionBy("symbol").orderBy("day").rowsBetween(-(window - 1), 0)
+    x = daily.withColumn("_in", F.collect_list("close").over(w))
+    p = F.when(F.size("_in") == window, F.size(F.filter("_in", lambda v: v < F.col("close"))) / (window - 1))
+    return x.withColumn("percentile", p).withColumn("weight", F.coalesce(2 - 1.5 * F.col("percentile"), F.lit(1.0))).drop("_in")
 
 
 def ma_distance_weight(daily: DataFrame, window: int, slope: float = 2.5) -> DataFrame:
@@ -57,28 +60,65 @@ def weighted_split(weighted: DataFrame, monthly: float) -> DataFrame:
     return x.select("symbol", "month", F.lit("weighted").alias("schedule"), "day", F.col("close").alias("price"), (monthly * kept * F.col("_part")).alias("spend"))
 
 
-def dip_band(daily: DataFrame, monthly: float, drawdown: float, lookback: int) -> DataFrame:
-    """Hold each month's money until a close is at most (1 - drawdown) of the lookback's high; the last bar takes the rest.
+def weekly_split(daily: DataFrame, monthly: float, anchors: tuple[int, ...] = (1, 8, 15, 22)) -> DataFrame:
+    """The month's money in equal parts, each on the first bar on or after its anchor day, else on the month's last bar."""
+    x = fixed_day(daily, list(anchors), monthly / len(anchors))
+    g = x.groupBy("symbol", "month", "day").agg(F.first("price").alias("price"), F.sum("spend").alias("spend"))
+    return g.select("symbol", "month", F.lit("weekly").alias("schedule"), "day", "price", "spend")
 
-    Money arrives on a month's first bar; all that has come since the last purchase is spent at once.
+
+def dip_band(daily: DataFrame, monthly: float, drawdown: float, lookback: int, max_wait_months: int = 3, min_rows: int = 30) -> DataFrame:
+    """Hold each month's money until a close is at most (1 - drawdown) of the lookback's high, its own bar included.
+
+    Money arrives on a month's first bar. Each parcel is spent on its first dip, or on the last bar of the first month
+    that is max_wait_months later, or on the series' last bar, whichever comes first. There is no dip before the
+    lookback has min_rows bars.
+    """
+    back = Window.partitionBy("symbol").orderBy("day").rowsBetween(-(lookback - 1), 0)
+    ahead = Window.partitionBy("symbol").orderBy("day").rowsBetween(0, Window.unboundedFollowing)
+    high = F.when(F.count("close").over(back) >= min_rows, F.max("close").over(back))
+    x = months(daily).withColumn("_dip", F.coalesce(F.col("close") <= high * (1 - drawdown), F.lit(False)))
+    x = x.withColumn("_next", F.min(F.when(F.col("_dip"), F.col("day"))).over(ahead)).withColumn("_m", F.year("day") * 12 + F.month("day"))
+    parcels = x.groupBy("symbol", "_m").agg(F.min_by("_next", "day").alias("_next"), F.max("day").alias("_last"))
+    late = Window.partitionBy("symbol").orderBy("_m").rangeBetween(max_wait_months, Window.unboundedFollowing)
+    whole = Window.partitionBy("symbol")
+    spent = parcels.select("symbol", F.least("_next", F.min("_last").over(late), F.max("_last").over(whole)).alias("day"))
+    g = spent.groupBy("symbol", "day").agg((F.count("*") * F.lit(float(monthly))).alias("spend"))
+    return g.join(months(daily), ["symbol", "day"]).select("symbol", "month", F.lit("dip").alias("schedule"), "day", F.col("close").alias("price"), "spend")
+
+
+def evaluate(buys: DataFrame, daily: DataFrame, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """Per key and schedule: spent, units, cost basis against the mean, harmonic mean and range of closes, and worth at the end."""
+    c = F.col("close")
+    end = daily.groupBy(*by).agg(F.max_by("close", "day").alias("last_close"), F.avg(c).alias("mean_close"), (F.count("*") / F.sum(1 / c)).alias("harmonic_close"), F.min(c).alias("best"), F.max(c).alias("worst"))
+    g = buys.groupBy(*by, "schedule").agg(F.count("*").alias("buys"), F.sum("spend").alias("spent"), F.sum(F.col("spend") / F.col("price")).alias("units"))
+    x = g.join(end, list(by)).withColumn("cost_basis", F.col("spent") / F.col("units"))
+    basis = F.col("cost_basis")
+    return x.select(
+        *by, "schedule", "buys", "spent", "units", "cost_basis", (F.col("units") * F.col("last_close")).alias("value"),
+        ((basis / F.col("mean_close") - 1) * 100).alias("vs_mean_pct"), ((basis / F.col("harmonic_close") - 1) * 100).alias("vs_harmonic_pct"),
+        "best", "worst", ratio(basis - F.col("best"), F.col("worst") - F.col("best")).alias("position_in_range"),
+    )
+
+
+def rolling_campaigns(daily: DataFrame, length: int, step: int = 1) -> DataFrame:
+    """Daily closes of every campaign: each start month (month number) with all of its `length` months of data.
+
+    A bar is in at most `length` campaigns.
     """
-    w = Window.partitionBy("symbol").orderBy("day")
-    m = months(daily)
-    arrives = F.when(F.row_number().over(Window.partitionBy("symbol", "month").orderBy("day")) == 1, F.lit(float(monthly))).otherwise(0.0)
-    last = F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("day").desc())) == 1
-    x = m.select("*", arrives.alias("_in"), last.alias("_last"), F.max("close").over(w.rowsBetween(-lookback, -1)).alias("_high"))
-    x = x.withColumn("_buy", F.coalesce(F.col("close") <= F.col("_high") * (1 - drawdown), F.lit(False)) | F.col("_last"))
-    x = x.withColumn("_got", F.sum("_in").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    x = x.where("_buy").withColumn("spend", F.col("_got") - F.coalesce(F.lag("_got").over(w), F.lit(0.0)))
-    return x.where("spend > 0").select("symbol", "month", F.lit("dip").alias("schedule"), "day", F.col("close").alias("price"), "spend")
-
-
-def evaluate(buys: DataFrame, daily: DataFrame) -> DataFrame:
-    """Per symbol and schedule: spent, units, cost basis, and what they are worth at the last close."""
-    end = daily.groupBy("symbol").agg(F.max_by("close", "day").alias("last_close"), F.avg("close").alias("mean_close"), (F.count("*") / F.sum(1 / F.col("close"))).alias("harmonic_close"))
-    g = buys.groupBy("symbol", "schedule").agg(F.count("*").alias("buys"), F.sum("spend").alias("spent"), F.sum(F.col("spend") / F.col("price")).alias("units"))
-    x = g.join(end, "symbol").withColumn("cost_basis", F.col("spent") / F.col("units"))
-    return x.select("symbol", "schedule", "buys", "spent", "units", "cost_basis", (F.col("units") * F.col("last_close")).alias("value"), ((F.col("cost_basis") / F.col("mean_close") - 1) * 100).alias("vs_mean_pct"), ((F.col("cost_basis") / F.col("harmonic_close") - 1) * 100).alias("vs_harmonic_pct"))
+    x = daily.withColumn("_m", F.year("day") * 12 + F.month("day") - 1)
+    span = x.groupBy("symbol").agg(F.min("_m").alias("_a"), F.max("_m").alias("_z"))
+    starts = F.explode(F.sequence(F.greatest(F.col("_a"), F.col("_m") - (length - 1)), F.least(F.col("_m"), F.col("_z") - (length - 1))))
+    y = x.join(span, "symbol").where(F.greatest(F.col("_a"), F.col("_m") - (length - 1)) <= F.least(F.col("_m"), F.col("_z") - (length - 1)))
+    return y.select(*daily.columns, starts.alias("start")).where((F.col("start") % step) == 0)
+
+
+def paired_summary(results: DataFrame, by: list[str], base: str = "day_", value: str = "cost_basis") -> DataFrame:
+    """Per schedule: mean gap in percent to the campaign's mean over schedules named base..., and its 5th and 95th percentile."""
+    ref = F.avg(F.when(F.col("schedule").startswith(base), F.col(value))).over(Window.partitionBy(*by))
+    gap = results.withColumn("gap", (F.col(value) / ref - 1) * 100)
+    q = F.percentile("gap", F.array(F.lit(0.05), F.lit(0.95)))
+    return gap.groupBy("schedule").agg(F.count("*").alias("campaigns"), F.avg("gap").alias("mean_gap"), q.alias("_q")).select("schedule", "campaigns", "mean_gap", F.col("_q")[0].alias("p5"), F.col("_q")[1].alias("p95"))
 
 
 def versus_fixed_days(results: DataFrame, value: str = "cost_basis") -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tideframe.functions.scalars import ratio, sigmoid
+from tideframe.operators.chunks import SPAN, numbered
 
 
 def average_rank(column: str, by: Sequence[str]) -> Column:
@@ -96,22 +97,36 @@ def threshold_sweep(scored: DataFrame, score: str, r: str, thresholds: Sequence[
     return g.withColumn("chosen", F.coalesce(F.struct("mean_r", "trades", "threshold") == best, F.lit(False)))
 
 
-def block_bootstrap(values: DataFrame, value: str, order: Sequence[str], block: int, iterations: int, seed: int) -> DataFrame:
-    """Mean and 95 % interval of the mean by moving blocks.
+def picks(spark: SparkSession, draws: int, per_draw: int, below: int, seed: int) -> DataFrame:
+    """(it, j, i): for each draw and position a number below `below`, from an MD5 of position and seed."""
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long")
+    return spark.range(draws * per_draw).select(F.expr(f"id div {per_draw}").alias("it"), (F.col("id") % per_draw).alias("j"), (h % below).alias("i"))
 
-    Block sums come from running sums; a resample is a set of hashed block starts, so resampling moves no values.
+
+def block_bootstrap(values: DataFrame, value: str, order: str, block: int, iterations: int, seed: int, span: int = SPAN) -> DataFrame:
+    """Mean and 95 % interval of the mean by moving blocks; resamples have as many values as there are.
+
+    Block sums are differences of running sums, which are made in chunks of the order column (a number, in units of
+    span); a resample is a set of block starts, so resampling moves no values. With at most `block` values the
+    interval is their range.
     """
-    w = Window.orderBy(*order)  # a report's series of trades; see README
-    v = values.select(F.col(value).alias("v"), (F.row_number().over(w) - 1).alias("i"))
-    n = v.count()
+    x = numbered(values.select(F.lit(0).alias("_k"), F.col(order).alias("_o"), F.col(value).alias("v")), ["_k"], "_o", span).drop("_next")
+    inside = Window.partitionBy("_chunk").orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)
+    ends = x.groupBy("_chunk").agg(F.sum("v").alias("_e"))  # one row a chunk
+    before = ends.select("_chunk", F.coalesce(F.sum("_e").over(Window.partitionBy(F.lit(0)).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_b"))
+    sums = x.withColumn("_s", F.sum("v").over(inside)).join(before, "_chunk").select((F.col("_row") + 1).alias("i"), (F.col("_s") + F.col("_b")).alias("p"))
+    total = values.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high"))
+    n = total.first()["n"]
     if n <= block:
-        return v.agg(F.avg("v").alias("mean"), F.min("v").alias("low"), F.max("v").alias("high"))
-    sums = v.select("i", F.sum("v").over(Window.orderBy("i").rowsBetween(0, block - 1)).alias("s")).where(F.col("i") <= n - block)
-    blocks = -(-n // block)
-    spark = values.sparkSession
-    picks = spark.range(iterations * blocks).select((F.col("id") / blocks).cast("int").alias("it"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n - block + 1)).cast("int").alias("i"))
-    means = picks.join(sums, "i").groupBy("it").agg((F.sum("s") / (blocks * block)).alias("m"))
-    return means.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q")).crossJoin(v.agg(F.avg("v").alias("mean"))).select("mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+        return total.drop("n")
+    spark, blocks = values.sparkSession, -(-n // block)
+    sums = sums.unionByName(spark.createDataFrame([(0, 0.0)], "i long, p double"))
+    length = F.when(F.col("j") == blocks - 1, n - (blocks - 1) * block).otherwise(block)  # the last block is cut
+    drawn = picks(spark, iterations, blocks, n - block + 1, seed).withColumn("_to", F.col("i") + length)
+    both = drawn.join(sums.select("i", F.col("p").alias("_a")), "i").join(sums.select(F.col("i").alias("_to"), F.col("p").alias("_z")), "_to")
+    means = both.groupBy("it").agg((F.sum(F.col("_z") - F.col("_a")) / n).alias("m"))
+    q = means.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    return q.crossJoin(total.select("mean")).select("mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
 def purged_folds(samples: DataFrame, time: str, exit_time: str, folds: Sequence[tuple[int, int]], embargo: int) -> DataFrame:

@@ -77,12 +77,13 @@ def null_report(spark: SparkSession, d: str) -> DataFrame:
     return quality.null_report(tables.read(spark, d, "documents"), ["text", "lang"])
 
 
-@query("s20_coverage", f"""WITH {DAILY_SQL}, span AS (SELECT unnest(generate_series(DATE '1995-01-01', DATE '2001-12-31', INTERVAL 1 DAY))::DATE AS day),
-x AS (SELECT s.symbol, span.day, d.day IS NOT NULL AS there FROM (SELECT DISTINCT symbol FROM daily) s CROSS JOIN span LEFT JOIN daily d ON d.symbol = s.symbol AND d.day = span.day)
+@query("s20_coverage", f"""WITH {DAILY_SQL}, span AS (SELECT unnest(generate_series(DATE '1995-01-01', DATE '2001-12-31', INTERVAL 1 DAY))::DATE AS day), k AS (SELECT DISTINCT symbol FROM daily UNION ALL SELECT '0-NONE'),
+x AS (SELECT s.symbol, span.day, d.day IS NOT NULL AS there FROM k s CROSS JOIN span LEFT JOIN daily d ON d.symbol = s.symbol AND d.day = span.day)
 SELECT symbol, count(*) AS expected, count(*) FILTER (there) AS present, count(*) FILTER (NOT there) AS missing, round(CAST(count(*) FILTER (there) AS DOUBLE) / count(*), 8) AS share FROM x GROUP BY 1""")
 def coverage(spark: SparkSession, d: str) -> DataFrame:
+    """A configured list of keys, one of which has no row at all."""
     x = tables.daily_closes(spark, d).withColumn("n", F.unix_date("day"))
-    return quality.coverage(x, "symbol", "n", 9131, 11687)
+    return quality.coverage(x, "symbol", "n", 9131, 11687, ["0-NONE", "1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"])
 
 
 @query("u03_keep_last", f"WITH {TICKS_SQL} SELECT symbol, t // 60 AS minute, arg_max(price, us) AS price FROM ticks GROUP BY 1, 2")
@@ -277,11 +278,11 @@ def asof_derived(spark: SparkSession, d: str) -> DataFrame:
     return aj.asof(c.select("symbol", F.col("close_t").alias("at_t")), r, "at_t", "close_t", ["symbol"], ["ret"], prefix="h4_")
 
 
-@query("j15_range_join_lookback", f"""WITH {TICKS_SQL}, c AS (SELECT id, symbol, t FROM ticks WHERE k = 7)
+@query("j15_range_join_lookback", f"""WITH {TICKS_SQL}, c AS (SELECT id, symbol, t FROM ticks WHERE true)
 SELECT c.id, count(*) AS trades, round(sum(x.price), 6) AS notional, round(coalesce(sum(x.price) FILTER (x.is_buyer), 0) / sum(x.price), 6) AS buy_ratio FROM c JOIN ticks x ON x.symbol = c.symbol AND x.t BETWEEN c.t - 21600 AND c.t GROUP BY c.id""")
 def range_join(spark: SparkSession, d: str) -> DataFrame:
     t = tables.ticks(spark, d)
-    c = t.where("k = 7").select("symbol", F.col("id").alias("candidate"), (F.col("t") - 21600).alias("from_t"), F.col("t").alias("to_t"))
+    c = t.select("symbol", F.col("id").alias("candidate"), (F.col("t") - 21600).alias("from_t"), F.col("t").alias("to_t"))
     x = aj.interval_join(c, t, "from_t", "to_t", "t", ["symbol"], 21600)
     buy = F.coalesce(F.sum(F.when(F.col("is_buyer"), F.col("price"))), F.lit(0.0))
     return x.groupBy(F.col("candidate").alias("id")).agg(F.count("*").alias("trades"), F.round(F.sum("price"), 6).alias("notional"), F.round(buy / F.sum("price"), 6).alias("buy_ratio"))
@@ -290,8 +291,8 @@ def range_join(spark: SparkSession, d: str) -> DataFrame:
 _LABELS = CANDLES + """, f AS (SELECT *, list(high) OVER w AS hs, list(low) OVER w AS ls, list(close) OVER w AS cs FROM candles WINDOW w AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING)),
 g AS (SELECT symbol, t, close, coalesce(len(hs), 0) = 6 AS whole, list_max(hs) AS mh, list_min(ls) AS ml, nullif(list_position([x >= close * 1.4 FOR x IN hs], true), 0) AS bt, nullif(list_position([x <= close * 0.8 FOR x IN ls], true), 0) AS bs, cs[-1] AS last FROM f),
 h AS (SELECT *, CASE WHEN bt IS NULL AND bs IS NULL THEN NULL WHEN bs IS NULL THEN true WHEN bt IS NULL THEN false ELSE bt < bs END AS hit FROM g),
-labels AS (SELECT symbol, t, CASE WHEN whole THEN round((mh - close) / (close * 0.2), 4) END AS mfe_r, CASE WHEN whole THEN round((ml - close) / (close * 0.2), 4) END AS mae_r, CASE WHEN whole THEN CAST(bt AS INT) END AS bars_to_target, CASE WHEN whole THEN CAST(bs AS INT) END AS bars_to_stop,
-  CASE WHEN whole THEN hit END AS target_before_stop, CASE WHEN whole THEN round(last / close - 1, 4) END AS forward_return, CASE WHEN whole THEN round(CASE WHEN hit THEN 2.0 WHEN NOT hit THEN -1.0 ELSE (last / close - 1) / 0.2 END - 0.05, 4) END AS realized_r, CASE WHEN NOT whole THEN 'insufficient_window' END AS reason FROM h)"""
+labels AS (SELECT symbol, t, CASE WHEN whole THEN round((mh - close) / (close * 0.2), 8) END AS mfe_r, CASE WHEN whole THEN round((ml - close) / (close * 0.2), 8) END AS mae_r, CASE WHEN whole THEN CAST(bt AS INT) END AS bars_to_target, CASE WHEN whole THEN CAST(bs AS INT) END AS bars_to_stop,
+  CASE WHEN whole THEN hit END AS target_before_stop, CASE WHEN whole THEN round(last / close - 1, 8) END AS forward_return, CASE WHEN whole THEN round(CASE WHEN hit THEN 2.0 WHEN NOT hit THEN -1.0 ELSE (last / close - 1) / 0.2 END - 0.05, 8) END AS realized_r, CASE WHEN NOT whole THEN 'insufficient_window' END AS reason FROM h)"""
 
 
 def _barriers(spark: SparkSession, d: str) -> DataFrame:
@@ -301,7 +302,7 @@ def _barriers(spark: SparkSession, d: str) -> DataFrame:
 @query("w49_barrier_labels", _LABELS + " SELECT * FROM labels")
 def barrier_labels(spark: SparkSession, d: str) -> DataFrame:
     x = _barriers(spark, d).select("symbol", "t", "mfe_r", "mae_r", "bars_to_target", "bars_to_stop", "target_before_stop", "forward_return", "realized_r", "reason")
-    return rounded(x, 4)
+    return rounded(x, 8)
 
 
 @query("w52_trailing_exit")
@@ -309,14 +310,19 @@ def trailing_exit(spark: SparkSession, d: str) -> DataFrame:
     return rounded(labels.trailing_exit(tables.candles(spark, d), 12, 0.2, 1.0, 0.1, 0.8).select("symbol", "t", "exit_r", "exit_bars", "exit_reason"))
 
 
-@query("w53_triple_barrier_path", f"""WITH {TICKS_SQL}, e AS (SELECT symbol, id, t, price AS entry FROM ticks WHERE k = 11),
-x AS (SELECT e.*, p.us, p.price FROM e JOIN ticks p ON p.symbol = e.symbol AND p.t BETWEEN e.t + 1 AND e.t + 43200),
-g AS (SELECT symbol, id, t, entry, min(us) FILTER (price <= round(entry * 0.5, 4)) AS s, min(us) FILTER (price >= round(entry * 2, 4)) AS g, max(us) AS e, arg_max(price, us) AS last, count(*) AS path_rows FROM x GROUP BY 1, 2, 3, 4)
-SELECT symbol, id, path_rows, CASE WHEN s IS NULL AND g IS NULL THEN 'timeout' WHEN g IS NULL OR s <= g THEN 'stop' ELSE 'target' END AS barrier, CASE WHEN s IS NULL AND g IS NULL THEN e WHEN g IS NULL OR s <= g THEN s ELSE g END AS exit_us FROM g""")
+@query("w53_triple_barrier_path", f"""WITH {candles_sql(600, 'bars')}, e AS (SELECT symbol, id, t, CASE WHEN is_buyer THEN 'long' ELSE 'short' END AS side, price AS entry, CASE WHEN is_buyer THEN round(price * 0.5, 4) ELSE round(price * 1.5, 4) END AS stop, CASE WHEN is_buyer THEN round(price * 2, 4) ELSE round(price * 0.3, 4) END AS target FROM ticks),
+x AS (SELECT e.*, b.t AS pt, b.high, b.low, b.close, CASE WHEN side = 'long' THEN b.low <= stop ELSE b.high >= stop END AS s, CASE WHEN side = 'long' THEN b.high >= target ELSE b.low <= target END AS g FROM e JOIN bars b ON b.symbol = e.symbol AND b.t BETWEEN e.t AND e.t + 43200),
+h AS (SELECT *, min(CASE WHEN s THEN pt END) OVER w AS st, min(CASE WHEN g THEN pt END) OVER w AS gt, max(pt) OVER w AS lt, count(*) OVER w AS n FROM x WINDOW w AS (PARTITION BY symbol, id, t, side, entry)),
+k AS (SELECT *, CASE WHEN st IS NULL AND gt IS NULL THEN 'timeout' WHEN gt IS NULL OR st <= gt THEN 'stop' ELSE 'target' END AS barrier FROM h WHERE n >= 2),
+z AS (SELECT symbol, id, t, side, entry, stop, target, barrier, max(n) AS path_rows, max(pt) AS exit_t, max(high) AS mh, min(low) AS ml, arg_max(close, pt) AS last FROM k WHERE pt <= coalesce(least(st, gt), lt) GROUP BY ALL)
+SELECT symbol, id, path_rows, barrier, exit_t, round((exit_t - t) / 3600.0, 6) AS hours_held, round(CASE side WHEN 'long' THEN 1 ELSE -1 END * (CASE barrier WHEN 'stop' THEN stop WHEN 'target' THEN target ELSE last END - entry) / nullif(abs(entry - stop), 0), 6) AS gross_r,
+ round(CASE side WHEN 'long' THEN 1 ELSE -1 END * (CASE WHEN barrier = 'target' THEN target WHEN side = 'long' THEN mh ELSE ml END - entry) / nullif(abs(entry - stop), 0), 6) AS mfe_r, round(CASE side WHEN 'long' THEN 1 ELSE -1 END * (CASE WHEN barrier = 'stop' THEN stop WHEN side = 'long' THEN ml ELSE mh END - entry) / nullif(abs(entry - stop), 0), 6) AS mae_r FROM z""")
 def triple_barrier(spark: SparkSession, d: str) -> DataFrame:
-    t = tables.ticks(spark, d)
-    e = t.where("k = 11").select("symbol", "id", "t", F.lit("long").alias("side"), F.col("price").alias("entry"), F.round(F.col("price") * 0.5, 4).alias("stop"), F.round(F.col("price") * 2, 4).alias("target"))
-    return labels.first_touch(e, t, 43200, 43200).select("symbol", "id", "path_rows", "barrier", "exit_us")
+    """All ticks as entries, resolved on the highs and lows of ten-minute bars."""
+    buy, price = F.col("is_buyer"), F.col("price")
+    e = tables.ticks(spark, d).select("symbol", "id", "t", F.when(buy, "long").otherwise("short").alias("side"), price.alias("entry"), F.round(price * F.when(buy, 0.5).otherwise(1.5), 4).alias("stop"), F.round(price * F.when(buy, 2.0).otherwise(0.3), 4).alias("target"))
+    x = labels.first_touch(e, tables.candles(spark, d, 600), 43200, 43200)
+    return rounded(x.select("symbol", "id", "path_rows", "barrier", "exit_t", "hours_held", "gross_r", "mfe_r", "mae_r"))
 
 
 @query("j01_feature_label_join", _CORE + ", " + _LABELS.split(", ", 1)[1].split("FROM ticks GROUP BY 1, 2, 3)", 1)[1].lstrip(", ") + " SELECT core.symbol, core.t, round(volatility_expansion, 6) AS volatility_expansion, target_before_stop, realized_r FROM core JOIN labels USING (symbol, t) WHERE target_before_stop IS NOT NULL")

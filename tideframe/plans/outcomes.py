@@ -56,14 +56,16 @@ def gates(spark: SparkSession, d: str) -> DataFrame:
     return x.select("symbol", F.array_join("failed", ",").alias("failed"), "passed")
 
 
-_CURVE = f"""{T}, k AS (SELECT symbol || side AS book, decision_t, id, net_r, exit_t FROM (SELECT *, row_number() OVER (PARTITION BY decision_t, symbol, side ORDER BY id, exit_t, size, hour) AS k FROM trades) WHERE k = 1),
-c AS (SELECT *, 10000 * exp(sum(ln(1 + 0.01 * net_r)) OVER (PARTITION BY book ORDER BY decision_t, id)) AS equity FROM k), dd AS (SELECT *, greatest(10000, max(equity) OVER (PARTITION BY book ORDER BY decision_t, id)) AS peak FROM c)"""
+# Every trade, in a total order.
+_ORDER = ["decision_t", "id", "exit_t", "net_r", "size", "hour", "notional"]
+_W = "PARTITION BY book ORDER BY " + ", ".join(_ORDER) + " ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+_CURVE = f"""{T}, k AS (SELECT *, symbol || side AS book FROM trades),
+c AS (SELECT *, 10000 * exp(sum(ln(1 + 0.01 * net_r)) OVER ({_W})) AS equity, row_number() OVER ({_W.split(' ROWS')[0]}) AS n FROM k), dd AS (SELECT *, greatest(10000, max(equity) OVER ({_W})) AS peak FROM c)"""
 
 
 def _curve(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("decision_t", "symbol", "side").orderBy("id", "exit_t", "size", "hour")
-    one = tables.trades(spark, d).withColumn("k", F.row_number().over(w)).where("k = 1").withColumn("book", F.concat("symbol", "side"))
-    return metrics.equity_curve(one, 10000.0, 0.01, ["book"], ["decision_t", "id"])
+    t = tables.trades(spark, d).withColumn("book", F.concat("symbol", "side"))
+    return metrics.equity_curve(t, 10000.0, 0.01, ["book"], _ORDER)
 
 
 @query("w60_compounded_equity", _CURVE + " SELECT book, decision_t, id, round(equity, 3) AS equity, round((peak - equity) / peak, 6) AS drawdown FROM dd")
@@ -71,19 +73,19 @@ def compounded_equity(spark: SparkSession, d: str) -> DataFrame:
     return _curve(spark, d).select("book", "decision_t", "id", F.round("equity", 3).alias("equity"), F.round("drawdown", 6).alias("drawdown"))
 
 
-@query("w61_drawdown_duration", _CURVE + """, n AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY decision_t, id) AS n, round((peak - equity) / peak, 12) > 0.0000000001 AS below FROM dd),
+@query("w61_drawdown_duration", _CURVE + """, n AS (SELECT *, round((peak - equity) / peak, 12) > 0.0000000001 AS below FROM dd),
 r AS (SELECT *, CASE WHEN below THEN n - coalesce(max(CASE WHEN NOT below THEN n END) OVER (PARTITION BY book ORDER BY n), 0) ELSE 0 END AS run FROM n)
 SELECT book, round(max((peak - equity) / peak), 6) AS max_drawdown, max(run) AS longest_run FROM r GROUP BY book""")
 def drawdown_duration(spark: SparkSession, d: str) -> DataFrame:
-    x = metrics.longest_drawdown(_curve(spark, d), ["book"], ["decision_t", "id"])
+    x = metrics.longest_drawdown(_curve(spark, d), ["book"], _ORDER)
     return x.select("book", F.round("max_drawdown", 6).alias("max_drawdown"), F.col("longest_run").cast("bigint").alias("longest_run"))
 
 
-@query("a26_monthly_rollup", _CURVE + """, m AS (SELECT book, strftime(to_timestamp(decision_t) AT TIME ZONE 'UTC', '%Y-%m') AS month, first(equity ORDER BY decision_t, id) AS a, last(equity ORDER BY decision_t, id) AS b, count(*) AS trades, avg(net_r) AS r FROM c GROUP BY 1, 2)
-SELECT book, month, trades, round(r, 6) AS mean_r, round(b / a - 1, 6) AS month_return FROM m""")
+@query("a26_monthly_rollup", _CURVE + """, m AS (SELECT book, strftime(to_timestamp(decision_t) AT TIME ZONE 'UTC', '%Y-%m') AS month, arg_min(equity, n) AS a, arg_max(equity, n) AS b, count(*) AS trades, avg(net_r) AS r FROM c GROUP BY 1, 2)
+SELECT book, month, trades, round(r, 8) AS mean_r, round(b / a - 1, 6) AS month_return FROM m""")
 def monthly_rollup(spark: SparkSession, d: str) -> DataFrame:
-    x = metrics.monthly_rollup(_curve(spark, d), ["book"])
-    return x.select("book", "month", "trades", F.round("mean_r", 6).alias("mean_r"), F.round("month_return", 6).alias("month_return"))
+    x = metrics.monthly_rollup(_curve(spark, d), ["book"], order=("_n",))
+    return x.select("book", "month", "trades", F.round("mean_r", 8).alias("mean_r"), F.round("month_return", 6).alias("month_return"))
 
 
 @query("w62_concurrent_exposure", f"""{T}, e AS (SELECT symbol, decision_t AS t, 1 AS o, 1 AS d, size AS s FROM trades UNION ALL SELECT symbol, exit_t, CASE WHEN exit_t = decision_t THEN 2 ELSE 0 END, -1, -size FROM trades),
@@ -126,13 +128,15 @@ def non_overlap(spark: SparkSession, d: str) -> DataFrame:
     return ranking.non_overlapping(_book(spark, d)).select("symbol", "id")
 
 
-@query("j22_ledger_merge", """SELECT o_orderkey AS k, max(p) AS source FROM (SELECT o_orderkey, 'b' AS p FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 'a' FROM orders WHERE o_orderkey % 2 = 0) GROUP BY 1""")
+@query("j22_ledger_merge", """SELECT o_orderkey AS k, coalesce(l.total, o_totalprice) AS total, CASE WHEN l.total IS NULL THEN 'existing' ELSE 'incoming' END AS source FROM orders LEFT JOIN (SELECT l_orderkey, round(sum(l_extendedprice), 2) AS total FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey
+UNION ALL SELECT l_orderkey, round(sum(l_extendedprice), 2), 'incoming' FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) GROUP BY 1""")
 def ledger_merge(spark: SparkSession, d: str) -> DataFrame:
+    """All orders as the existing ledger, totals of all lineitems as what comes in; incoming rows replace existing ones."""
     from tideframe.operators.quality import keep_last
 
-    o = tables.read(spark, d, "orders").select(F.col("o_orderkey").alias("k"))
-    both = o.where("k % 3 = 0").select("k", F.lit("b").alias("source"), F.lit(1).alias("p")).unionByName(o.where("k % 2 = 0").select("k", F.lit("a").alias("source"), F.lit(0).alias("p")))
-    return keep_last(both, ["k"], ["p"]).drop("p")
+    old = tables.read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("total"), F.lit("existing").alias("source"), F.lit(0).alias("p"))
+    new = tables.read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.round(F.sum("l_extendedprice"), 2).alias("total")).select("k", "total", F.lit("incoming").alias("source"), F.lit(1).alias("p"))
+    return keep_last(old.unionByName(new), ["k"], ["p"]).drop("p")
 
 
 # Schedules -----------------------------------------------------------------------------------------------------------
@@ -152,15 +156,15 @@ def fixed_days(spark: SparkSession, d: str) -> DataFrame:
     return schedules.fixed_day(tables.daily_closes(spark, d), [1, 8, 15, 22], 100)
 
 
-_EVALUATED = _FIXED + """, e AS (SELECT symbol, arg_max(close, day) AS lc, avg(close) AS mc, count(*) / sum(1 / close) AS hc FROM daily GROUP BY 1), g AS (SELECT symbol, schedule, count(*) AS buys, sum(spend) AS spent, sum(spend / price) AS units FROM fixed GROUP BY 1, 2),
-ev AS (SELECT symbol, schedule, buys, spent, units, spent / units AS cb, units * lc AS value, mc, hc FROM g JOIN e USING (symbol))"""
+_EVALUATED = _FIXED + """, e AS (SELECT symbol, arg_max(close, day) AS lc, avg(close) AS mc, count(*) / sum(1 / close) AS hc, min(close) AS best, max(close) AS worst FROM daily GROUP BY 1), g AS (SELECT symbol, schedule, count(*) AS buys, sum(spend) AS spent, sum(spend / price) AS units FROM fixed GROUP BY 1, 2),
+ev AS (SELECT symbol, schedule, buys, spent, units, spent / units AS cb, units * lc AS value, mc, hc, best, worst FROM g JOIN e USING (symbol))"""
 
 
-@query("a36_campaign_evaluation", _EVALUATED + " SELECT symbol, schedule, buys, round(spent, 4) AS spent, round(units, 6) AS units, round(cb, 4) AS cost_basis, round(value, 4) AS value, round((cb / mc - 1) * 100, 6) AS vs_mean_pct, round((cb / hc - 1) * 100, 6) AS vs_harmonic_pct FROM ev")
+@query("a36_campaign_evaluation", _EVALUATED + " SELECT symbol, schedule, buys, round(spent, 4) AS spent, round(units, 6) AS units, round(cb, 4) AS cost_basis, round(value, 4) AS value, round((cb / mc - 1) * 100, 6) AS vs_mean_pct, round((cb / hc - 1) * 100, 6) AS vs_harmonic_pct, best, worst, round((cb - best) / nullif(worst - best, 0), 6) AS position_in_range FROM ev")
 def campaign_evaluation(spark: SparkSession, d: str) -> DataFrame:
     daily = tables.daily_closes(spark, d)
     x = schedules.evaluate(schedules.fixed_day(daily, [1, 8, 15, 22], 100), daily)
-    return x.select("symbol", "schedule", "buys", F.round("spent", 4).alias("spent"), F.round("units", 6).alias("units"), F.round("cost_basis", 4).alias("cost_basis"), F.round("value", 4).alias("value"), F.round("vs_mean_pct", 6).alias("vs_mean_pct"), F.round("vs_harmonic_pct", 6).alias("vs_harmonic_pct"))
+    return x.select("symbol", "schedule", "buys", F.round("spent", 4).alias("spent"), F.round("units", 6).alias("units"), F.round("cost_basis", 4).alias("cost_basis"), F.round("value", 4).alias("value"), F.round("vs_mean_pct", 6).alias("vs_mean_pct"), F.round("vs_harmonic_pct", 6).alias("vs_harmonic_pct"), "best", "worst", F.round("position_in_range", 6).alias("position_in_range"))
 
 
 @query("a38_day_of_month_gap", _EVALUATED + " SELECT symbol, schedule, round((cb / avg(cb) OVER (PARTITION BY symbol) - 1) * 100, 6) AS gap_pct FROM ev")
@@ -176,8 +180,8 @@ def intramonth_bias(spark: SparkSession, d: str) -> DataFrame:
     return rounded(schedules.intramonth_bias(tables.daily_closes(spark, d), 15))
 
 
-@query("w67_trailing_percentile", D + """, x AS (SELECT symbol, day, close, list(close) OVER (PARTITION BY symbol ORDER BY day ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) AS b FROM daily)
-SELECT symbol, day, CASE WHEN len(b) = 60 THEN round(len(list_filter(b, lambda v: v < close)) / 60.0, 6) END AS percentile FROM x""")
+@query("w67_trailing_percentile", D + """, x AS (SELECT symbol, day, close, list(close) OVER (PARTITION BY symbol ORDER BY day ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS b FROM daily)
+SELECT symbol, day, CASE WHEN len(b) = 60 THEN round(len(list_filter(b, lambda v: v < close)) / 59.0, 6) END AS percentile FROM x""")
 def trailing_percentile(spark: SparkSession, d: str) -> DataFrame:
     return rounded(schedules.trailing_percentile(tables.daily_closes(spark, d), 60).select("symbol", "day", "percentile"))
 
@@ -194,7 +198,10 @@ def weighted_split(spark: SparkSession, d: str) -> DataFrame:
     return rounded(schedules.weighted_split(schedules.ma_distance_weight(daily, 50), 100))
 
 
-@query("w71_dip_band")
+@query("w71_dip_band", D + """, x AS (SELECT symbol, day, close, year(day) * 12 + month(day) AS m, coalesce(close <= (CASE WHEN count(close) OVER b >= 30 THEN max(close) OVER b END) * 0.9, false) AS dip FROM daily WINDOW b AS (PARTITION BY symbol ORDER BY day ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)),
+n AS (SELECT *, min(CASE WHEN dip THEN day END) OVER (PARTITION BY symbol ORDER BY day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nd FROM x), p AS (SELECT symbol, m, arg_min(nd, day) AS nd0, min(day) AS a, max(day) AS last FROM n GROUP BY 1, 2),
+f AS (SELECT symbol, a, m, last FROM p), q AS (SELECT p.symbol, p.a, (SELECT min(nd) FROM n WHERE n.symbol = p.symbol AND n.day = p.a) AS nd, (SELECT min(f.last) FROM f WHERE f.symbol = p.symbol AND f.m >= p.m + 3) AS late, (SELECT max(f.last) FROM f WHERE f.symbol = p.symbol) AS fin FROM p)
+SELECT q.symbol, strftime(least(nd, late, fin), '%Y-%m') AS month, 'dip' AS schedule, least(nd, late, fin) AS day, any_value(d.close) AS price, count(*) * 100.0 AS spend FROM q JOIN daily d ON d.symbol = q.symbol AND d.day = least(nd, late, fin) GROUP BY 1, 2, 3, 4""")
 def dip_band(spark: SparkSession, d: str) -> DataFrame:
     return rounded(schedules.dip_band(tables.daily_closes(spark, d), 100, 0.1, 60))
 
@@ -237,10 +244,13 @@ def rank_stability(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stats.spearman(tables.trades(spark, d), "size", "notional", ["symbol"]))
 
 
-@query("m12_block_bootstrap")
+@query("m12_block_bootstrap", f"""{T}, v AS (SELECT decision_t, avg(net_r) AS r, row_number() OVER (ORDER BY decision_t) - 1 AS i FROM trades GROUP BY 1), n AS (SELECT count(*) AS n, CAST(ceil(count(*) / 30.0) AS BIGINT) AS b FROM v),
+k AS (SELECT id // b AS it, id % b AS j, ('0x' || substr(md5(id || ':7'), 1, 8))::BIGINT % (n - 29) AS s, n, b FROM n, range(500 * (SELECT b FROM n)) r(id)),
+m AS (SELECT k.it, sum(v.r) / max(n) AS m FROM k JOIN v ON v.i >= s AND v.i < s + CASE WHEN j = b - 1 THEN n - (b - 1) * 30 ELSE 30 END GROUP BY 1)
+SELECT (SELECT round(avg(r), 6) FROM v) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m""")
 def block_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     daily = tables.trades(spark, d).groupBy("decision_t").agg(F.avg("net_r").alias("r"))
-    return rounded(stats.block_bootstrap(daily, "r", ["decision_t"], 30, 500, 7))
+    return rounded(stats.block_bootstrap(daily, "r", "decision_t", 30, 500, 7))
 
 
 @query("m09_purged_folds", f"""{T}, f AS (SELECT * FROM (VALUES (0, 852076800, 883612800), (1, 883612800, 915148800)) AS v(fold, lo, hi))
