@@ -124,9 +124,16 @@ def gates(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
 
 
 def risk_adjusted(curve: DataFrame, by: Sequence[str], day: str = "day", equity: str = "equity", per_year: int = 365) -> DataFrame:
-    """Sharpe and Sortino ratios of daily returns of a daily equity table."""
+    """Sharpe and Sortino ratios of daily returns of a daily equity table (number of the day), and the annual return."""
     w = Window.partitionBy(*by).orderBy(day)
     x = curve.withColumn("_r", ratio(F.col(equity), F.lag(equity).over(w)) - 1)
-    down = F.sqrt(F.avg(F.when(F.col("_r") < 0, F.col("_r") ** 2).when(F.col("_r").isNotNull(), 0.0)))
-    root = per_year**0.5
-    return x.groupBy(*by).agg(F.round(ratio(F.avg("_r"), F.stddev_pop("_r")) * root, 6).alias("sharpe"), F.round(ratio(F.avg("_r"), down) * root, 6).alias("sortino"), F.count("_r").alias("days"))
+    g = x.groupBy(*by).agg(F.avg("_r").alias("_m"), F.stddev_pop("_r").alias("_s"), F.avg(F.when(F.col("_r").isNotNull(), F.pow(F.least(F.col("_r"), F.lit(0.0)), F.lit(2.0)))).alias("_d"), (F.max(day) - F.min(day)).alias("_span"), ratio(F.max_by(equity, day), F.min_by(equity, day)).alias("_g"))
+    year = F.sqrt(F.lit(float(per_year)))
+    return g.select(*by, (ratio(F.col("_m"), F.col("_s")) * year).alias("sharpe"), (ratio(F.col("_m"), F.sqrt("_d")) * year).alias("sortino"), (F.pow(F.col("_g"), F.lit(float(per_year)) / F.col("_span")) - 1).alias("annual_return"))
+
+
+def monthly_target(months: DataFrame, by: Sequence[str], r: str, target: float) -> DataFrame:
+    """Geometric and arithmetic mean month, shares of months at the target and above zero; -1 where all was lost."""
+    c = F.col(r)
+    geometric = F.when(F.min(c) <= -1, F.lit(-1.0)).otherwise(F.exp(F.sum(F.when(c > -1, F.ln(1 + c))) / F.count(c)) - 1)
+    return months.groupBy(*by).agg(F.count(c).alias("months"), geometric.alias("geometric_mean"), F.avg(c).alias("mean_month"), F.avg((c >= target).cast("double")).alias("target_rate"), F.avg((c > 0).cast("double")).alias("positive_rate"))
