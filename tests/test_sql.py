@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from conftest import SF
 
-from tideframe.plans import candidates, columns, context, market, outcomes, performance, registry, streams  # noqa: F401
+from tideframe.plans import candidates, columns, context, market, outcomes, performance, registry, streams, swing  # noqa: F401
 
 
 @pytest.fixture(scope="module")
