@@ -114,11 +114,11 @@ def test_surrogates_share_names_and_addresses(spark):
 # 3 ---------------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("frequent", [0, 1 << 12])
-def test_bpe(spark, frequent):
+@pytest.mark.parametrize("sets", [1, 1 << 10])
+def test_bpe(spark, sets):
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(BPE), special_tokens={})
     texts = [*ODD, *itertools.islice(texts_of(spark).values(), 40)]
-    got = {r["doc_id"]: r for r in byte_bpe.encode(table(spark, texts), BPE, public_tokenizers.PATTERN, frequent=frequent, with_ids=True).collect()}
+    got = {r["doc_id"]: r for r in byte_bpe.encode(table(spark, texts), BPE, public_tokenizers.PATTERN, sets=sets, with_ids=True).collect()}
     assert len(got) == len(texts)
     for i, t in enumerate(texts):
         ids = library.encode_ordinary(t or "")
@@ -127,6 +127,15 @@ def test_bpe(spark, frequent):
         assert got[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
 
 
+def test_bpe_of_very_long_words(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(300_000)), "a" * 20_000, "é" * 200, "z" * 257, "z" * 256, "z" * 256]
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(BPE), special_tokens={})
+    rows = spark.createDataFrame([(7, t) for t in texts], "doc_id long, text string")  # one id for all
+    got = byte_bpe.encode(rows, BPE, public_tokenizers.PATTERN, sets=1 << 7, with_ids=True).collect()
+    assert sorted(r["token_ids"] for r in got) == sorted(library.encode_ordinary(t) for t in texts)
+
+
 def test_bpe_of_nothing(spark):
     assert byte_bpe.encode(table(spark, ["a"]).limit(0), BPE, public_tokenizers.PATTERN).count() == 0
 
@@ -174,21 +183,87 @@ def test_url_links(spark):
     assert url_filter.judge_urls(pages.limit(0)).count() == 0
 
 
+# Names and ids that get in the way ------------------------------------------------------------------------------------
+
+
+def test_columns_with_inner_names_pass(spark):
+    rows = [(i, f"text number {i} of some words here", "en", "ab"[i % 2], 1, 7, 8, "x", None) for i in range(20)] + [(None, None, None, None, 1, 7, 8, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _s int, _h int, _id int, _suspect string, _sha string").withColumn("_k", F.lit(1)).withColumn("_T", F.lit(2)).withColumn("_language", F.lit("l"))
+    want = sorted(map(str, docs.collect()))
+    for out in (mixing.mix(docs).select(*docs.columns), exact_dedup.drop_copies(docs), jaccard_join.drop_near(docs)):
+        assert out.columns == docs.columns and sorted(map(str, out.collect())) == want
+
+
+def test_mixing_with_more_sources_than_may_be_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 5)
+    docs = spark.createDataFrame([(i, f"s{i % 40 if i % 3 else 0}") for i in range(400)], "doc_id long, source string")
+    got = mixing.mix(docs).collect()
+    assert len(got) == 400 and len({(r["mix_slot"], r["mix_offset"]) for r in got}) == 400
+
+
 # 6 ---------------------------------------------------------------------------------------------------------------------
 
 
-def test_cotraining_held_out():
-    rng = random.Random(5)
+def quality_rows(n, seed=5):
+    """(text, quality, source): both views tell the quality most of the time only, and apart from each other."""
+    rng = random.Random(seed)
     words = [f"w{i}" for i in range(300)]
-    good = [" ".join(rng.choice(words) for _ in range(rng.randint(30, 90))) + "." for _ in range(200)]
-    bad = [" ".join([rng.choice(words) + "###"] * rng.randint(30, 90)) for _ in range(200)]
-    rows = [(t, 1, "a") for t in good] + [(t, 0, "b") for t in bad]
-    rng.shuffle(rows)
+    rows = []
+    for _ in range(n):
+        q = rng.random() < 0.5
+        text = " ".join(rng.choice(words) + ("###" if not q and rng.random() < 0.3 else "") for _ in range(rng.randint(30, 90)))
+        rows.append((text + "." if q else text, int(q), ("a" if q else "b") if rng.random() < 0.8 else rng.choice("ab")))
+    return rows
+
+
+def test_cotraining_held_out():
+    rows = quality_rows(400)
+    x = np.array([cotraining.text_features(t) for t, _, _ in rows])
+    m = cotraining.metadata_features(np.array([cotraining.metadata_cells(s, "en", len(t)) for t, _, s in rows]))
+    y = np.array([q for _, q, _ in rows], float)
+    asked = []
+
+    def most_sure(teacher, model, label, taken):
+        odds = model.log_odds({"text": x, "meta": m}[teacher])
+        side = [i for i in range(100, 200) if i not in taken and (odds[i] > 2 if label else odds[i] < -2)]
+        asked.append(teacher)
+        return [(i, x[i], m[i]) for i in sorted(side, key=lambda i: -abs(odds[i]))[:10]]
+
+    model = cotraining.co_train(x[:100], m[:100], y[:100], most_sure, 0.5)
+    right = ((model.score(x[200:], m[200:]) >= 0.5) == (y[200:] == 1)).mean()
+    by_source = np.mean([(s == "a") == (q == 1) for _, q, s in rows[200:]])
+    assert set(asked) == {"text", "meta"} and right > 0.95 > by_source
+
+
+def test_cotraining_over_a_table_against_numpy(spark):
+    rows = quality_rows(300, 6)
+    docs = spark.createDataFrame([(i, t, s, "en", len(t)) for i, (t, _, s) in enumerate(rows)], "doc_id long, text string, source string, lang string, n_chars long")
+    labels = spark.createDataFrame([(i, q) for i, (_, q, _) in enumerate(rows[:80])] + [(0, rows[0][1])], "doc_id long, quality int")
     x = np.array([cotraining.text_features(t) for t, _, _ in rows])
-    m = np.array([cotraining.metadata_features(s, "en", len(t)) for t, _, s in rows])
+    m = cotraining.metadata_features(np.array([cotraining.metadata_cells(s, "en", len(t)) for t, _, s in rows]))
     y = np.array([q for _, q, _ in rows], float)
-    model = cotraining.co_train(x[:100], m[:100], y[:100], x[100:200], m[100:200])
-    assert ((model.score(x[200:], m[200:]) >= 0.5) == (y[200:] == 1)).mean() > 0.95
+    made = []
+    real = cotraining.co_train
+
+    def spy(tx, mx, ty, most_sure, rate):
+        def checked(teacher, model, label, taken):
+            got = most_sure(teacher, model, label, taken)
+            odds = model.log_odds({"text": x, "meta": m}[teacher])
+            sure = [i for i in range(80, 300) if i not in taken and (odds[i] > np.log(9) if label else odds[i] < -np.log(9))]
+            assert len(got) == min(20, len(sure)) and {g[0] for g in got} <= set(sure)
+            return got
+
+        made.append(real(tx, mx, ty, checked, rate))
+        return made[0]
+
+    cotraining.co_train = spy
+    try:
+        got = {r["doc_id"]: r["score"] for r in cotraining.score_quality(docs, labels, per_round=20).collect()}
+    finally:
+        cotraining.co_train = real
+    want = made[0].score(x, m)
+    assert all(abs(got[i] - want[i]) < 1e-9 for i in range(300))
+    assert np.mean([(got[i] >= 0.5) == (y[i] == 1) for i in range(80, 300)]) > 0.9
 
 
 def test_cotraining_odd_tables(spark):
@@ -241,13 +316,29 @@ def near_copies(seed, n=120):
     return texts + ["a b c d e f g h", "a b c d e f g h i", "A b  c", "a b c"]
 
 
-@pytest.mark.parametrize("seed,bucket,pivots", [(1, 24, 3), (2, 1, 1)])
-def test_jaccard_components(spark, seed, bucket, pivots):
+@pytest.mark.parametrize("seed,bucket,pivots,few", [(1, 24, 3, 4), (2, 1, 1, 0), (4, 2, 1, 0)])
+def test_jaccard_components(spark, seed, bucket, pivots, few):
     texts = [*near_copies(seed), *ODD]
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(table(spark, texts), small_bucket=bucket, pivots=pivots).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(table(spark, texts), small_bucket=bucket, pivots=pivots, few_pairs=few).collect()}
     assert got == components_of(list(enumerate(texts)))
 
 
+def test_jaccard_links_and_membership(spark):
+    texts = near_copies(5, 60)
+    links, member = jaccard_join.jaccard_links(table(spark, texts))
+    rep = {r["doc_id"]: r["class_id"] for r in member.collect()}
+    sets = {i: {tuple(w[j : j + min(5, len(w))]) for j in range(max(1, len(w) - 4))} for i, w in ((i, t.lower().split()) for i, t in enumerate(texts))}
+    want = {(a, b) for a, b in itertools.combinations(sorted(set(rep.values())), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert {(r["a"], r["b"]) for r in links.collect()} == want != set()
+    assert rep == {i: min(j for j in sets if sets[j] == s) for i, s in sets.items()}
+
+
+def test_jaccard_keeps_rows_without_id_and_with_repeated_ids(spark):
+    rows = [(None, "a b c d e f"), (1, "a b c d e f"), (1, "g h i j k l"), (2, "g h i j k l"), (None, "no other has this"), (3, None)]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == sorted([(None, 2, 1), (1, 2, 1), (1, 2, 1), (2, 2, 1), (None, 1, None), (3, 0, 3)], key=str)
+
+
 def test_jaccard_of_nothing_and_drop_near(spark):
     assert jaccard_join.jaccard_components(table(spark, ["a"]).limit(0)).count() == 0
     out = jaccard_join.drop_near(table(spark, ["a b c d e f g h i j k", "a b c d e f g h i j", "other text", None]))
@@ -294,11 +385,11 @@ def test_js_distance(spark):
 # 9 ---------------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("frequent", [1, 1 << 16])
-def test_token_counts(spark, frequent):
+@pytest.mark.parametrize("slots", [1, 1 << 16])
+def test_token_counts(spark, slots):
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     texts = [*ODD, *itertools.islice(texts_of(spark).values(), 60)]
-    got = {r["doc_id"]: tuple(r)[1:] for r in token_counts.count_tokens(table(spark, texts), PIECES, limit=100, frequent=frequent).collect()}
+    got = {r["doc_id"]: tuple(r)[1:] for r in token_counts.count_tokens(table(spark, texts), PIECES, limit=100, slots=slots).collect()}
     n = [len(library.encode(t or "")) for t in texts]
     assert got == {i: (len((t or "").encode()), n[i], n[i] > 100) for i, t in enumerate(texts)}
 

@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideframe.llm.common import bloom_semi, documents, maybe_in, scratch, stage, text_of
+from tideframe.llm.common import bloom_semi, documents, maybe_in, scratch, stage, text_of, unused
 
 #: Settings of the state store while the stream runs.
 _STATE = {
@@ -118,20 +118,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without the rows that exact_dedup() drops; rows that repeat an id and a text leave one.
+    """docs without the rows that exact_dedup() drops, and all columns whatever their names.
 
-    Only rows whose id may be among those of groups with more than one row are shuffled. Rows with a null id stay.
+    Rows that repeat an id and a text leave one. Only rows whose id may be among those of groups with more than one row
+    are shuffled. Rows with a null id stay.
     """
     found = stage(exact_dedup(docs, id_col, text_col, **options).where("group_size > 1").select("doc_id", "kept", "text_sha256"), "copies")
     maybe = maybe_in(docs.sparkSession, found.select("doc_id").distinct())
+    id_, suspect, sha, kept = unused(docs, "_id", "_suspect", "_sha", "_kept")
     key = F.col(id_col).cast("long")
-    suspect = F.when(key.isNull(), False).otherwise(maybe(F.coalesce(key, F.lit(0))))
-    flagged = docs.withColumn("_suspect", suspect)
-    suspects = flagged.where("_suspect").withColumn("_id", key).withColumn("_sha", sha256(text_of(text_col)))
-    in_group = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).agg(F.bool_or("kept").alias("_kept"))
-    judged = suspects.join(in_group, ["_id", "_sha"], "left")
-    stay = judged.where("_kept is null").select(*docs.columns).unionByName(judged.where("_kept").dropDuplicates(["_id", "_sha"]).select(*docs.columns))
-    return flagged.where("not _suspect").select(*docs.columns).unionByName(stay)
+    flagged = docs.withColumn(suspect, F.when(key.isNull(), False).otherwise(maybe(F.coalesce(key, F.lit(0)))))
+    suspects = flagged.where(F.col(suspect)).withColumn(id_, key).withColumn(sha, sha256(text_of(text_col)))
+    in_group = found.groupBy(F.col("doc_id").alias(id_), F.col("text_sha256").alias(sha)).agg(F.bool_or("kept").alias(kept))
+    judged = suspects.join(in_group, [id_, sha], "left")
+    stay = judged.where(F.col(kept).isNull()).select(*docs.columns).unionByName(judged.where(F.col(kept)).dropDuplicates([id_, sha]).select(*docs.columns))
+    return flagged.where(~F.col(suspect)).select(*docs.columns).unionByName(stay)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

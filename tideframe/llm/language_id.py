@@ -16,14 +16,15 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideframe.llm.common import documents
+from tideframe.llm.common import bound_batches, documents
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
-#: Labelled rows of each language that training may use, and bytes of each such row.
-SAMPLE_ROWS, SAMPLE_BYTES = 500, 4096
-#: Languages that may be learned; more are an error.
+#: Labelled rows of each language that training may use, of all languages together, and windows of each such row,
+#: spread evenly over its whole text.
+SAMPLE_ROWS, ALL_ROWS, SAMPLE_WINDOWS = 500, 20_000, 16
+#: Languages that may be learned: those with most labelled rows.
 MAX_LANGUAGES = 400
 UNKNOWN = "und"
 _has_letter = regex.compile(r"\p{L}").search
@@ -80,13 +81,16 @@ def log_probabilities(net: Network, tables: list, x: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
-def train(texts: list[bytes], labels: list[str], filters: int = FILTERS, steps: int = 400, batch: int = 64, rate: float = 0.02, seed: int = 7) -> Network:
-    """Adam on cross-entropy. Gradients of the filters flow to the place of each filter's largest response only."""
+def train(texts: list[list[bytes]], labels: list[str], filters: int = FILTERS, steps: int = 400, batch: int = 64, rate: float = 0.02, seed: int = 7) -> Network:
+    """Adam on cross-entropy. Gradients of the filters flow to the place of each filter's largest response only.
+
+    texts: passages of each text.
+    """
     rng = np.random.default_rng(seed)
     languages = sorted(set(labels))
     xs, ys = [], []
-    for text, label in zip(texts, labels):
-        w = windows_of(text[:SAMPLE_BYTES])
+    for passages, label in zip(texts, labels):
+        w = np.concatenate([windows_of(x)[:1] for x in passages])
         xs.append(w)
         ys.extend([languages.index(label)] * len(w))
     x, y = np.concatenate(xs), np.array(ys)
@@ -132,26 +136,32 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def sample_labelled(docs: DataFrame, rows: int, id_col: str, text_col: str, lang_col: str) -> tuple[list[bytes], list[str]]:
-    """Up to `rows` labelled rows of each language, picked by a hash of the id, outside the held-out part."""
+def passages(text: Column, many: int = SAMPLE_WINDOWS, size: int = WINDOW) -> Column:
+    """Up to `many` passages of `size` characters, spread evenly from the begin of a text to its end."""
+    n = F.length(text)
+    count = F.least(F.lit(many), F.ceil(n / size)).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: F.substring(text, F.floor(i * F.greatest(n - size, F.lit(0)) / F.greatest(count - 1, F.lit(1))).cast("int") + 1, F.lit(size)))
+
+
+def sample_labelled(docs: DataFrame, rows: int, id_col: str, text_col: str, lang_col: str) -> tuple[list[list[bytes]], list[str]]:
+    """Passages of up to `rows` labelled rows of each language, picked by a hash of the id, outside the held-out part."""
     labelled = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
     if not counts:
         return [], []
+    rows = max(1, min(rows, ALL_ROWS // len(counts)))
     share = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     want = F.lit(False)
     for lang, n in counts.items():
-        want = want | ((F.col("lang") == lang) & (share < 1.3 * rows / n))
-    picked = labelled.where(want).select("id", "lang", F.substring("text", 1, SAMPLE_BYTES).alias("text"), share.alias("at"))
-    got = picked.orderBy("at", "id").limit(2 * rows * len(counts)).collect()
+        want = want | ((F.col("lang") == lang) & (share < 1.3 * rows / n + 20 / n))
+    picked = labelled.where(want).select("id", "lang", passages(F.col("text")).alias("passages"), share.alias("at"))
+    got = picked.orderBy("at", "id").limit(2 * rows * len(counts) + 20 * len(counts)).collect()
     kept: dict[str, int] = {}
     texts, labels = [], []
     for r in got:
         if kept.get(r["lang"], 0) < rows:
             kept[r["lang"]] = kept.get(r["lang"], 0) + 1
-            texts.append(r["text"].encode())
+            texts.append([x.encode("utf-8", "surrogatepass") for x in r["passages"]])
             labels.append(r["lang"])
     return texts, labels
 
@@ -192,9 +202,10 @@ def with_language(docs: DataFrame, net: Network | None = None, rows: int = SAMPL
     """docs with a struct column `to` of lang_pred and score.
 
     Learns from rows with a language whose crc32(id as text) mod 4 is not 2 (unless net is given); predictions use
-    the text alone. Training uses up to `rows` rows of each language and their first SAMPLE_BYTES bytes; predictions
-    use whole texts.
+    the text alone. Training uses passages from all over up to `rows` rows of each language; predictions use whole texts.
+    The column `to` is replaced where docs has one; all others pass.
     """
+    bound_batches(docs.sparkSession)
     if net is None:
         texts, labels = sample_labelled(docs, rows, id_col, text_col, lang_col)
         net = train(texts, labels) if texts else None

@@ -29,7 +29,7 @@ from tideframe.llm.common import documents, stage
 #: Rows of one numbering group at most (about); a larger source is spread over more groups, so that none grows with
 #: the corpus. Smaller sources are spread too, over up to SPREAD groups.
 GROUP_ROWS, SPREAD = 20_000, 256
-#: Sources whose counts may come to the driver; more are an error.
+#: Sources whose counts may come to the driver. Of more, those with the fewest rows are mixed as one source.
 MAX_SOURCES = 100_000
 #: Slots of a period for each source at least, so that sources which get a slot only because none gets less take at
 #: most one slot in so many from the others.
@@ -108,17 +108,24 @@ def mix(docs: DataFrame, shares: Mapping[str, int] | None = None, temperature: f
     that shares leaves out gets weight 1; one of weight 0 comes after all others, block by block. The number of sources is small against the rows: their counts, and nothing else, come to the driver.
     Adds mix_block (block within the source), mix_slot, mix_release, mix_deadline and mix_offset (row within the
     block); ordering by mix_slot, mix_offset is the mixture. Rows of a source are taken in the order of a hash of id
-    (ties by id; repeated rows in any order). A null source is a source of its own. An empty table stays empty.
-    Columns named like those added are replaced; all others pass.
+    (ties by id; repeated rows in any order), rows without id in that of a hash of all their columns. A null source is a
+    source of its own. An empty table stays empty. Columns named like those added are replaced; all others pass,
+    whatever their names.
     """
     spark = docs.sparkSession
     added = ["mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_offset"]
     docs = docs.drop(*added)
     source = F.when(F.col(source_col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source_col).cast("string")))
-    keyed = docs.withColumn("_s", source).withColumn("_h", F.xxhash64(F.col(id_col)))
-    counts = {r["_s"]: r["count"] for r in keyed.groupBy("_s").count().limit(MAX_SOURCES + 1).collect()}
+    content = [c for c, t in docs.dtypes if "map<" not in t]
+    place = F.when(F.col(id_col).isNull(), F.xxhash64(*content)).otherwise(F.xxhash64(F.col(id_col)))
+    # A row travels as one struct, so that no name of its columns meets one of those used here.
+    keyed = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(id_col).alias("_id"), source.alias("_s"), place.alias("_h"))
+    counts = {r["_s"]: r["count"] for r in keyed.groupBy("_s").count().orderBy(F.desc("count"), "_s").limit(MAX_SOURCES + 1).collect()}
     if len(counts) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources; give coarser ones in {source_col}")
+        counts = dict(islice(counts.items(), MAX_SOURCES - 1))
+        known = spark.createDataFrame([(s,) for s in counts], "_s string").withColumn("_known", F.lit(True))
+        keyed = keyed.join(F.broadcast(known), "_s", "left").withColumn("_s", F.when(F.col("_known"), F.col("_s")).otherwise("r")).drop("_known")
+        counts["r"] = keyed.where("_s = 'r'").count()
     if shares is None:
         shares = tempered_shares(counts, temperature, slots)
     else:
@@ -142,8 +149,7 @@ def mix(docs: DataFrame, shares: Mapping[str, int] | None = None, temperature: f
     split = keyed.join(F.broadcast(groups), "_s").withColumn("_g", F.floor(F.pmod(F.shiftright("_h", 8), F.lit(1 << 40)) * F.col("_groups") / F.lit(1 << 40)).cast("long"))
     sizes = split.groupBy("_s", "_g").count()
     starts = sizes.withColumn("_start", F.sum("count").over(Window.partitionBy("_s").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1))).select("_s", "_g", F.coalesce("_start", F.lit(0)).alias("_start"))
-    narrow = [F.col(id_col).alias("_id")] if id_col else []
-    within = Window.partitionBy("_s", "_g").orderBy("_h", *narrow)
+    within = Window.partitionBy("_s", "_g").orderBy("_h", "_id")
     numbered = split.withColumn("_n", F.row_number().over(within) - 1).join(starts, ["_s", "_g"]).withColumn("_n", F.col("_n") + F.col("_start"))
 
     table = _period_table(spark, shares)
@@ -152,7 +158,7 @@ def mix(docs: DataFrame, shares: Mapping[str, int] | None = None, temperature: f
     placed = numbered.withColumn("mix_block", block).withColumn("_k", F.col("mix_block") % F.col("_share")).join(table, ["_s", "_k"], "left" if last else "inner")
     at = lambda c, late=0: F.coalesce(F.col("_last") + F.col("mix_block") + late, round_ * period + F.col(c))
     return placed.select(
-        *docs.columns,
+        "_doc.*",
         "mix_block",
         at("_t").alias("mix_slot"),
         at("_r").alias("mix_release"),

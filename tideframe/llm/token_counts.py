@@ -18,13 +18,14 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideframe.llm.common import documents, stage
+from tideframe.llm.common import bound_batches, documents, stage
 
 MARK = "▁"
-#: Most frequent pre-tokens whose counts each task holds; all others go through a shuffle join.
-FREQUENT = 1 << 18
-#: Pre-tokens that a task counts before it passes them on.
-_HELD = 400_000
+#: Slots of the table of frequent pre-tokens whose counts each task holds, one a slot, and bytes of a pre-token that
+#: may be held; all others go through a shuffle join.
+SLOTS, HELD_BYTES = 1 << 18, 64
+#: Pre-tokens, and their characters, that a task counts before it passes them on.
+_HELD, _HELD_CHARS = 400_000, 16 << 20
 
 
 def load(model: str) -> sentencepiece.SentencePieceProcessor:
@@ -58,25 +59,29 @@ class PreTokens:
         return self.find(marked)
 
 
-def count_tokens(docs: DataFrame, model: str, limit: int = 4096, frequent: int = FREQUENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def count_tokens(docs: DataFrame, model: str, limit: int = 4096, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Returns id, n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit), one row for each row.
 
     Null text counts as empty, and both have no tokens. Special strings inside texts are ordinary text. Rows that
     repeat an id are counted each. Other columns are not read. An empty table gives an empty result. The path of the
-    model must exist on every machine.
+    model must exist on every machine. slots: pre-tokens held, at most; any number gives the same result.
     """
     check_model(model)
     spark = docs.sparkSession
+    bound_batches(spark)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def corpus_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, held = PreTokens(model), Counter()
+        split, held, chars = PreTokens(model), Counter(), 0
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                held.update(split(text))
-                if len(held) > _HELD:
+                before = len(held)
+                found = split(text)
+                held.update(found)
+                chars += len(text) * (len(held) - before) // max(1, len(found))  # of the new ones, about
+                if len(held) > _HELD or chars > _HELD_CHARS:
                     yield pa.record_batch({"piece": pa.array(held.keys(), pa.string()), "n": pa.array(held.values(), pa.int64())})
-                    held = Counter()
+                    held, chars = Counter(), 0
         if held:
             yield pa.record_batch({"piece": pa.array(held.keys(), pa.string()), "n": pa.array(held.values(), pa.int64())})
 
@@ -95,18 +100,14 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096, frequent: int =
 
     counted = texts.select("text").mapInArrow(corpus_counts, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     vocabulary = stage(counted.mapInArrow(pieces, "piece string, n long, tokens int"), "pieces")
-    # The count from which pre-tokens are frequent, so that there are at most so many.
-    least, room = 1, frequent
-    for row in vocabulary.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).count().orderBy(F.desc("n")).collect():
-        room -= row["count"]
-        if room < 0:
-            least = row["n"] + 1
-            break
-    top = vocabulary.where(F.col("n") >= least) if least <= 1 << 16 else vocabulary.limit(0)
-    common = spark.sparkContext.broadcast({r["piece"]: r["tokens"] for r in top.select("piece", "tokens").collect()})
+    # The most frequent pre-token of each slot: no pre-token that many documents hold goes through the join, unless a
+    # more frequent one has its slot.
+    slot = F.pmod(F.xxhash64("piece"), F.lit(slots)).alias("slot")
+    top = vocabulary.where(F.octet_length("piece") <= HELD_BYTES).groupBy(slot).agg(F.max_by(F.struct("piece", "tokens"), F.struct("n", "piece")).alias("top")).select("top.*").toArrow()
+    common = spark.sparkContext.broadcast((top.column("piece").combine_chunks(), top.column("tokens").to_numpy()))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, known = PreTokens(model), common.value
+        split, known = PreTokens(model), dict(zip(common.value[0].to_pylist(), common.value[1].tolist()))
         for batch in batches:
             n_bytes, n_known, rest, times = [], [], [], []
             for text in batch.column("text").to_pylist():

@@ -15,8 +15,12 @@ from pyspark.sql import functions as F
 from tideframe.llm.common import shared_dir
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Absolute links in a page; group 1 is the host, with any port.
-_LINK = r"(?i)href\s*=\s*[\"']?\s*[a-z][a-z0-9+.-]*://([^/?#\"'\s>]+)"
+#: Links with a host in a page, also those without a scheme; group 1 is the host, with any port.
+_LINK = r"(?i)<a\b[^>]{0,2000}?\bhref\s{0,20}=\s{0,20}[\"']?\s{0,20}(?:[a-z][a-z0-9+.-]{0,20}:)?//([^/?#\"'\s>]+)"
+#: The host that links without one are relative to, where a page names it.
+_BASE = r"(?i)<base\b[^>]{0,2000}?\bhref\s{0,20}=\s{0,20}[\"']?\s{0,20}(?:[a-z][a-z0-9+.-]{0,20}:)?//([^/?#\"'\s>]+)"
+#: A link without a host.
+_RELATIVE = r"(?i)<a\b[^>]{0,2000}?\bhref\s{0,20}=\s{0,20}[\"']?\s{0,20}(?!//)(?![a-z][a-z0-9+.-]{0,20}:)[^\"'\s>#]"
 
 
 @dataclass(frozen=True)
@@ -62,12 +66,13 @@ def matching_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> tuple[
     return name, verdict
 
 
-def page_rank(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int, every: int = 4) -> DataFrame:
+def page_rank(edges: DataFrame, seeds: DataFrame, damping: float, tolerance: float, every: int = 4) -> DataFrame:
     """Personalised PageRank.
 
     edges: src, dst, weight, one row a pair; seeds: host, mass. Returns host, rank for hosts that mass reaches. What
-    a host without outgoing edges would pass on is lost, which lowers all ranks alike. Lineage is cut by checkpoint()
-    every few rounds.
+    a host without outgoing edges would pass on is lost, which lowers all ranks alike. Rounds end when less than
+    `tolerance` of the mass is still on its way; each leaves at most `damping` of it, so they do end. Lineage is cut by
+    checkpoint() every few rounds.
     """
     out = edges.groupBy("src").agg(F.sum("weight").alias("out"))
     steps = edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("part")).checkpoint()
@@ -75,19 +80,23 @@ def page_rank(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int, e
     if not total:
         return seeds.select("host", F.lit(0.0).alias("rank")).limit(0)
     seed = seeds.select("host", (F.col("mass") / F.lit(float(total))).alias("mass")).checkpoint()
-    rank = seed.select("host", F.col("mass").alias("rank"))
     if steps.isEmpty():
-        return rank
-    for i in range(rounds):
-        moved = rank.join(steps, rank["host"] == steps["src"]).select(F.col("dst").alias("host"), (F.col("rank") * F.col("part") * damping).alias("rank"))
-        start = seed.select("host", (F.col("mass") * (1 - damping)).alias("rank"))
-        rank = moved.unionByName(start).groupBy("host").agg(F.sum("rank").alias("rank"))
-        if i % every == every - 1:
-            rank = rank.checkpoint()
-    return rank
-
-
-def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, damping: float = 0.85, rounds: int = 12, ratio: float = 1.0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+        return seed.select("host", F.col("mass").alias("rank"))
+    # What arrives in a round is passed on in the next one, and what has arrived so far is the rank.
+    moving = seed.select("host", (F.col("mass") * (1 - damping)).alias("rank"))
+    rank, i = moving, 0
+    while True:
+        moving = moving.join(steps, moving["host"] == steps["src"]).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("part") * damping).alias("rank"))
+        rank = rank.unionByName(moving).groupBy("host").agg(F.sum("rank").alias("rank"))
+        i += 1
+        if i % every == 0:
+            moving, rank = moving.checkpoint(), rank.checkpoint()
+            left = moving.agg(F.sum("rank").alias("left")).first()["left"]
+            if left is None or left < tolerance * (1 - damping):
+                return rank
+
+
+def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, damping: float = 0.85, tolerance: float = 1e-4, ratio: float = 1.0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Returns id, host, path, rule, verdict, trust and distrust (null for a host that neither reaches).
 
     A null url, or one without ://, has empty host and path, no rule, and the verdict allow unless links say
@@ -99,14 +108,17 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, damping: float
     name, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     judged = pages.select(F.col(id_col), host.alias("host"), path.alias("path")).select(id_col, "host", "path", name.alias("rule"), verdict.alias("_by_rule"))
 
-    links = pages.select(host.alias("src"), F.explode(F.array_distinct(F.regexp_extract_all(F.col(html_col), F.lit(_LINK), F.lit(1)))).alias("dst"))
+    html = F.col(html_col)
+    base = F.when(html.rlike(_RELATIVE), F.slice(F.regexp_extract_all(html, F.lit(_BASE), F.lit(1)), 1, 1))
+    linked = F.concat(F.regexp_extract_all(html, F.lit(_LINK), F.lit(1)), F.coalesce(base, F.array().cast("array<string>")))
+    links = pages.select(host.alias("src"), F.explode(F.array_distinct(linked)).alias("dst"))
     links = links.select("src", lower_ascii("dst").alias("dst")).where("src <> dst and src <> '' and dst <> ''")
     edges = links.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight")).checkpoint()
     marks = judged.where("_by_rule is not null and host <> ''").groupBy("host").agg(F.count_if(F.col("_by_rule") == "allow").cast("double").alias("allowed"), F.count_if(F.col("_by_rule") == "block").cast("double").alias("blocked")).checkpoint()
 
-    trust = page_rank(edges, marks.where("allowed > 0").select("host", F.col("allowed").alias("mass")), damping, rounds)
+    trust = page_rank(edges, marks.where("allowed > 0").select("host", F.col("allowed").alias("mass")), damping, tolerance)
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    distrust = page_rank(back, marks.where("blocked > 0").select("host", F.col("blocked").alias("mass")), damping, rounds)
+    distrust = page_rank(back, marks.where("blocked > 0").select("host", F.col("blocked").alias("mass")), damping, tolerance)
     hosts = trust.select("host", F.col("rank").alias("trust"), F.lit(0.0).alias("distrust")).unionByName(distrust.select("host", F.lit(0.0).alias("trust"), F.col("rank").alias("distrust"))).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
     by_links = F.when(F.col("distrust") > F.col("trust") * ratio, "block").otherwise("allow")
     return judged.join(hosts, "host", "left").select(id_col, "host", "path", "rule", F.coalesce("_by_rule", by_links).alias("verdict"), "trust", "distrust")
