@@ -5,15 +5,15 @@ from pathlib import Path
 
 import duckdb
 import pytest
-from conftest import SF
+from conftest import SF, SF_SQL
 
-from tideframe.plans import candidates, columns, context, market, outcomes, performance, registry, streams, swing  # noqa: F401
+from tideframe.plans import candidates, columns, context, files, market, outcomes, performance, registry, streams, swing  # noqa: F401
 
 
 @pytest.fixture(scope="module")
 def tables():
     con = duckdb.connect()
-    for f in Path(SF).glob("*.parquet"):
+    for f in Path(SF_SQL).glob("*.parquet"):
         con.sql(f"create view {f.stem} as select * from '{f}'")
     return con
 
@@ -26,7 +26,7 @@ def same(v):
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_same_rows(spark, tables, name):
-    got = registry.QUERIES[name](spark, SF)
+    got = registry.QUERIES[name](spark, SF_SQL)
     names = sorted(got.columns)
     want = tables.sql(registry.ORACLE_SQL[name])
     assert sorted(want.columns) == names

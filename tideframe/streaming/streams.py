@@ -5,9 +5,10 @@ Sources are folders of landed files; run_once() drives a stream over what is the
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -22,9 +23,13 @@ def landed(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFr
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """Folder that driver and executors share: spark.checkpoint.dir; a temporary one where it is unset on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named.rstrip("/") if named else "file://" + tempfile.mkdtemp(prefix="spark-")
+    if named:
+        return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return "file://" + tempfile.mkdtemp(prefix="spark-")
 
 
 def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -43,6 +48,26 @@ def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/rows/*")
 
 
+def newest_by_batch(stream: DataFrame, derive: Callable[[DataFrame], DataFrame], keep: Callable[[DataFrame], DataFrame], base: str) -> DataFrame:
+    """derive(what is kept) after each batch of a stream; keep(rows kept before and new ones) bounds what goes on.
+
+    keep must leave all that derive needs of earlier batches, as a bounded history or a day's best rows do. What is kept
+    is written under the batch's number, so that a repeated batch does no harm. Without any batch the result is that of
+    an empty table.
+    """
+    spark, done = stream.sparkSession, []
+
+    def put(batch: DataFrame, n: int) -> None:
+        rows = batch.unionByName(spark.read.parquet(f"{base}/kept/batch={done[-1]}")) if done else batch
+        keep(rows).write.mode("overwrite").parquet(f"{base}/kept/batch={n}")
+        done.append(n)
+
+    stream.writeStream.option("checkpointLocation", f"{base}/state").foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
+    if not done:
+        return derive(spark.createDataFrame([], stream.schema))
+    return derive(spark.read.parquet(f"{base}/kept/batch={done[-1]}"))
+
+
 def tick_stream(events: DataFrame) -> DataFrame:
     """symbol, at (timestamp), id, price, user of an events stream."""
     return events.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("id"), F.col("value").alias("price"), F.col("user_id").alias("user"))
