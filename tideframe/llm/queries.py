@@ -19,4 +19,5 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
+    "op7_ngram_jaccard": jaccard_join.OP7_SQL,
 }
