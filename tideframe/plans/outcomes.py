@@ -192,7 +192,10 @@ def ma_distance_weight(spark: SparkSession, d: str) -> DataFrame:
     return rounded(schedules.ma_distance_weight(tables.daily_closes(spark, d), 50).select("symbol", "day", "weight"))
 
 
-@query("w70_weighted_split")
+@query("w70_weighted_split", D + """, x AS (SELECT symbol, day, close, strftime(day, '%Y-%m') AS month, CASE WHEN count(close) OVER w = 50 THEN avg(close) OVER w END AS ma FROM daily WINDOW w AS (PARTITION BY symbol ORDER BY day ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)),
+y AS (SELECT *, coalesce(CASE WHEN ma IS NOT NULL THEN greatest(0.5, least(2.0, 1 + 2.5 * (1 - close / ma))) END, 1.0) AS weight, count(*) OVER (PARTITION BY symbol, month) - row_number() OVER (PARTITION BY symbol, month ORDER BY day) + 1 AS left_ FROM x),
+p AS (SELECT *, CASE WHEN left_ = 1 THEN 1.0 ELSE least(1.0, weight / left_) END AS part FROM y)
+SELECT symbol, month, 'weighted' AS schedule, day, close AS price, round(100 * coalesce(product(1 - part) OVER (PARTITION BY symbol, month ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) * part, 6) AS spend FROM p""")
 def weighted_split(spark: SparkSession, d: str) -> DataFrame:
     daily = tables.daily_closes(spark, d)
     return rounded(schedules.weighted_split(schedules.ma_distance_weight(daily, 50), 100))
