@@ -29,6 +29,10 @@ _STATE = {
 }
 
 
+#: Stands for a null id in the state, below all others.
+_NO_ID = -(2**63)
+
+
 def sha256(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
 
@@ -59,33 +63,26 @@ def stream_state(spark: SparkSession, path: str, id_col: str, text_col: str, dig
         state = (
             _located(source, id_col, text_col, digest)
             .groupBy("digest", "n_bytes")
-            .agg(F.max("doc_id").alias("keep_id"), F.max_by("file_key", "doc_id").alias("file_key"), F.max_by("row_index", "doc_id").alias("row_index"), F.count("*").alias("group_size"))
+            .agg(F.max(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), "file_key", "row_index")).alias("stays"), F.count("*").alias("group_size"))
         )
         query = state.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
-        kept = spark.read.format("statestore").load(checkpoint)
-        fields = kept.schema["value"].dataType.fieldNames()
-        # The state's value holds the aggregates' buffers in the order of agg(): max, (value, ordering) twice, count.
-        keep, file_key, _, row_index, _, size = (F.col("value").getField(x) if fields.count(x) == 1 else None for x in fields) if len(set(fields)) == len(fields) else _by_position(fields)
-        return kept.select("key.digest", "key.n_bytes", keep.alias("keep_id"), file_key.alias("file_key"), row_index.alias("row_index"), size.alias("group_size"))
+        # The state's value is what the aggregation keeps of a digest: the row that stays, then the count.
+        state = spark.read.format("statestore").load(checkpoint)
+        value = F.col("value").cast("struct<stays:struct<doc_id:bigint,file_key:bigint,row_index:bigint>,group_size:bigint>")
+        return state.select("key.digest", "key.n_bytes", value.alias("v")).select("digest", "n_bytes", F.nullif("v.stays.doc_id", F.lit(_NO_ID)).alias("keep_id"), "v.stays.file_key", "v.stays.row_index", "v.group_size")
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def _by_position(fields: list[str]) -> list[Column]:
-    names = [f"f{i}" for i in range(len(fields))]
-    as_struct = F.col("value").cast("struct<" + ",".join(f"{n}:bigint" for n in names) + ">")
-    return [as_struct.getField(n) for n in names]
-
-
 def exact_dedup_files(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, files_per_batch: int = 1000, checkpoint: str | None = None) -> DataFrame:
     """Group equal texts of the Parquet files at path; the largest id of a group stays.
 
     Returns doc_id, keep_id, group_size, kept, text_sha256, one row for each row read. Null text counts as empty, and
     all empty texts are one group. Rows that repeat an id with an equal text count in group_size; each of them is
     marked kept when its id is the group's largest. Rows with a null id belong to groups and are never kept unless
-    the whole group has none. Other columns are not read. An empty table gives an empty result.
+    the whole group has none; then one of them is. Other columns are not read. An empty table gives an empty result.
     """
     state = stage(stream_state(spark, path, id_col, text_col, digest, files_per_batch, checkpoint), "state")
     rows = _located(spark.read.parquet(path), id_col, text_col, digest)
@@ -100,14 +97,16 @@ def exact_dedup_files(spark: SparkSession, path: str, id_col: str = "doc_id", te
 
     narrow = rows.select("doc_id", "digest", "n_bytes", "file_key", "row_index", sha256(F.col("text")).alias("text_sha256"))
     if differing.isEmpty():
-        out = narrow.join(state.select("digest", "n_bytes", "keep_id", "group_size"), ["digest", "n_bytes"])
+        out = narrow.join(state.select("digest", "n_bytes", "keep_id", "group_size", F.col("file_key").alias("f"), F.col("row_index").alias("r")), ["digest", "n_bytes"])
     else:
-        groups = differing.groupBy("digest", "n_bytes", "variant").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+        stays = F.max(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), "file_key", "row_index"))
+        groups = differing.groupBy("digest", "n_bytes", "variant").agg(stays.alias("s"), F.count("*").alias("group_size")).select("digest", "n_bytes", "variant", F.nullif("s.doc_id", F.lit(_NO_ID)).alias("keep_id"), "group_size", F.col("s.file_key").alias("f"), F.col("s.row_index").alias("r"))
         less = differing.groupBy("digest", "n_bytes").agg(F.count("*").alias("less"))
-        first = state.join(less, ["digest", "n_bytes"], "left").select("digest", "n_bytes", F.lit("").alias("variant"), "keep_id", (F.col("group_size") - F.coalesce("less", F.lit(0))).alias("group_size"))
+        first = state.join(less, ["digest", "n_bytes"], "left").select("digest", "n_bytes", F.lit("").alias("variant"), "keep_id", (F.col("group_size") - F.coalesce("less", F.lit(0))).alias("group_size"), F.col("file_key").alias("f"), F.col("row_index").alias("r"))
         marked = narrow.join(differing.select("file_key", "row_index", "variant"), ["file_key", "row_index"], "left").withColumn("variant", F.coalesce("variant", F.lit("")))
         out = marked.join(first.unionByName(groups), ["digest", "n_bytes", "variant"])
-    return out.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    here = F.col("keep_id").isNotNull() | ((F.col("file_key") == F.col("f")) & (F.col("row_index") == F.col("r")))
+    return out.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), (F.col("doc_id").eqNullSafe(F.col("keep_id")) & here).alias("kept"), "text_sha256")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

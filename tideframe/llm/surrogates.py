@@ -12,6 +12,7 @@ that no replacement is an entity of the corpus; what collides is derived again i
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,11 +29,13 @@ _SYLLABLES = {
 _ENDINGS = {("latin", "f"): "ina", ("latin", "m"): "on", ("cyrillic", "f"): "ина", ("cyrillic", "m"): "ов"}
 
 _ALL_TITLES = "|".join(t for g in _TITLES.values() for t in g)
+#: Characters that a title begins with.
+_FIRST = "".join(sorted({t[0] for g in _TITLES.values() for t in g}))
 _PARTICLES = "von|van|der|den|de|del|della|di|da|du|la|le|zu|al|bin|ibn"
 #: A word of a name, and a name of some such words, initials and particles.
 _WORD = r"\p{Lu}(?:\p{L}+(?:['’]\p{L}{2,})*|(?:['’]\p{L}{2,})+)"
 _NAME = rf"(?:\p{{Lu}}\.[ ]?){{0,3}}(?:(?:{_PARTICLES}) ){{0,3}}{_WORD}(?:(?: (?:\p{{Lu}}\.[ ]?){{0,3}}(?:(?:{_PARTICLES}) ){{0,3}}|-){_WORD}){{0,4}}"
-_TITLED = rf"(?:(?:{_ALL_TITLES})\.? )+"
+_TITLED = rf"(?:(?:{_ALL_TITLES})\.? ){{1,6}}"
 #: Country code and area in parentheses; after a plus sign; groups of 3, 3 and 4; with a leading 0; French pairs.
 _PHONE = r"""(?<![\w+])(?:\+?\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)
 |\+(?=(?:[ ()./-]{0,2}\d){8})\d{1,3}(?:[ ./-]?(?:\(\d{1,5}\)|\d{1,5})){2,7}
@@ -42,16 +45,19 @@ _PHONE = r"""(?<![\w+])(?:\+?\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(
 |(?<!\d[.,/-])0\d(?:[ .-]\d{2}){4}(?![.-]?\d))""".replace("\n", "")
 #: type -> pattern; where several could match, the first does.
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?<=(?:password|passwd|pwd|secret|token|api_key)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_+/-]{8,}",
+    # A local part has 64 characters at most and begins a run of letters and digits, so that long runs are passed once.
+    "email": r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,63}",
+    "secret": r"(?<=[=:\s\"'])(?<=(?:password|passwd|pwd|secret|token|api_key)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_+/-]{8,}",
     "phone": _PHONE,
     "ipv4": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d)(?!\.\d)",
     "card": r"(?<![\d-])(?:[2-6]\d{3}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}|3\d{3}[ -]?\d{6}[ -]?\d{4,5})(?!\d)",
-    "name": rf"(?<!\w){_TITLED}{_NAME}",
+    "name": rf"(?<!\w)(?=[{_FIRST}]){_TITLED}{_NAME}",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+_NUMERIC = ("phone", "ipv4", "card")
+#: All patterns in their order; those of numbers are tried only where a number can begin.
+ANY = "|".join([*(f"(?:{PATTERNS[k]})" for k in ("email", "secret")), rf"(?=[\d+(])(?:{'|'.join(f'(?:{PATTERNS[k]})' for k in _NUMERIC)})", f"(?:{PATTERNS['name']})"])
 #: A cheap sign that a text may hold an entity.
-_HINT = rf"[@=:]|\d{{4}}|\(\d|\d\.\d|\+\d|\d{{2}}[ ./-]\d{{2}}|(?:{_ALL_TITLES})\.? \p{{Lu}}|(?:{_ALL_TITLES})\.? (?:{_PARTICLES}|{_ALL_TITLES})[ .]"
+_HINT = rf"[@=:]|\d{{4}}|\(\d|\d\.\d|\+\d|\d{{2}}[ ./-]\d{{2}}|(?<!\w)(?=[{_FIRST}])(?:{_ALL_TITLES})\.? (?:\p{{Lu}}|(?:{_PARTICLES}|{_ALL_TITLES})[ .])"
 
 
 def entity_type(value: Column) -> Column:
@@ -146,10 +152,16 @@ def surrogate(kind: Column, value: Column, key: str, rounds: Column) -> Column:
     )
 
 
-def assign(entities: DataFrame, key: str, max_rounds: int = 12) -> DataFrame:
+#: Round from which surrogates grow.
+WIDER = 12
+
+
+def assign(entities: DataFrame, key: str) -> DataFrame:
     """(value, kind, surrogate) for distinct canonical entities (value, kind), with collisions resolved over rounds.
 
-    Of entities that meet in one surrogate, the smallest keeps it.
+    Of entities that meet in one surrogate, the smallest keeps it; the others get another in the next round. From round
+    WIDER on, a surrogate that keeps its entity's format takes some characters more each round, so that rounds end also
+    where a format has too few values.
     """
     taken: list[DataFrame] = []
     left = entities
@@ -157,8 +169,13 @@ def assign(entities: DataFrame, key: str, max_rounds: int = 12) -> DataFrame:
     endings = "(?:" + "|".join(_ENDINGS.values()) + ")$"
     used = entities.select(F.explode(F.array(F.col("value"), F.when(F.col("kind") == "name", F.regexp_replace("value", endings, "")))).alias("_used")).where("_used IS NOT NULL").distinct()
     lowered = F.when(F.col("kind").isin("email", "name"), F.lower("surrogate")).otherwise(F.col("surrogate"))
-    for i in range(max_rounds):
-        tried = left.select("value", "kind", surrogate(F.col("kind"), F.col("value"), key, F.lit(i)).alias("surrogate"))
+    for i in count():
+        made = surrogate(F.col("kind"), F.col("value"), key, F.lit(i))
+        if i >= WIDER:
+            more = F.substring(F.conv(F.substring(F.sha2(F.concat_ws("\x1f", F.lit(key), "kind", "value", F.lit(str(i))), 256), 1, 15), 16, 10), 1, i - WIDER + 2)
+            # A mail address takes them in front, so that it stays one; addresses and card numbers of any length stay as they are.
+            made = F.when(F.col("kind") == "email", F.concat(more, made)).when(F.col("kind").isin("phone", "secret", "card"), F.concat(made, more)).otherwise(made)
+        tried = left.select("value", "kind", made.alias("surrogate"))
         free = tried.withColumn("_used", lowered).join(used, "_used", "left_anti").drop("_used")
         for earlier in taken:
             free = free.join(earlier.select("surrogate"), "surrogate", "left_anti")
@@ -167,7 +184,7 @@ def assign(entities: DataFrame, key: str, max_rounds: int = 12) -> DataFrame:
         left = stage(left.join(taken[-1].select("value", "kind"), ["value", "kind"], "left_anti"), f"open{i}")
         if left.isEmpty():
             return reduce(DataFrame.unionByName, taken)
-    raise RuntimeError(f"entities without a surrogate after {max_rounds} rounds; a type's format has too few values")
+    raise AssertionError("rounds end when no entity is left")
 
 
 def _of_kind(kind: str) -> Column:
@@ -184,7 +201,10 @@ def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
     base = docs.select(F.col(id_col), F.col(text_col).alias("text"))
     found = F.when(F.col("text").rlike(_HINT), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
     marked = base.withColumn("found", F.coalesce(found, F.array().cast("array<string>")))
-    some = marked.where(F.size("found") > 0).withColumn("digest", F.sha2(F.encode("text", "UTF-8"), 256))
+    # Texts are searched once; those with entities go on as the pieces between them.
+    some_found = F.size("found") > 0
+    marked = stage(marked.select(id_col, F.when(~some_found, F.col("text")).alias("text"), "found", F.when(some_found, F.split("text", ANY, -1)).alias("pieces"), F.when(some_found, F.sha2(F.encode("text", "UTF-8"), 256)).alias("digest")), "marked")
+    some = marked.where(F.size("found") > 0)
     used = stage(some.select("digest", F.explode(F.array_distinct("found")).alias("raw")).distinct(), "used")
     kinds = used.select("raw").distinct().withColumn("kind", entity_type(F.col("raw")))
     is_name = F.col("kind") == "name"
@@ -206,7 +226,7 @@ def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
     counts = [f"n_{k}" for k in PATTERNS]
     joined = some.join(by_text, "digest").withColumn("hits", F.transform("found", lambda v: F.element_at(F.col("map"), v)))
     # Names that have a title somewhere in the text are replaced between the entities, too; the first mention decides.
-    between = joined.withColumn("mentions", F.flatten(F.transform("hits", lambda h: h["mentions"]))).withColumn("pieces", F.split("text", ANY, -1))
+    between = joined.withColumn("mentions", F.flatten(F.transform("hits", lambda h: h["mentions"])))
     named = F.concat(F.lit(r"(?<![\p{L}\p{N}_])(?:"), F.array_join(F.array_distinct(F.transform("mentions", lambda m: m["word"])), "|"), F.lit(r")(?![\p{L}\p{N}_])"))
     bare = lambda p: F.regexp_extract_all(p, F.col("named"), F.lit(0))
     again = lambda p: F.array_join(F.zip_with(F.split(p, F.col("named"), -1), F.transform(bare(p), lambda w: F.element_at(F.filter("mentions", lambda m: m["word"] == w), 1)["made"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
