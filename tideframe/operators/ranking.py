@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -51,22 +54,42 @@ def relative_strength(bars: DataFrame, lookback: int, time: str = "t", name: str
     return x.select("*", F.row_number().over(at.orderBy(F.col("strength").desc(), name)).alias("strength_rank"), F.count("*").over(at).alias("strength_of"))
 
 
-def keyed_fold(df: DataFrame, by: list[str], order: list[str], fields: list[str], zero: Column, step, to: str, finish=None) -> DataFrame:
-    """Ordered fold over the rows of a key: step(state, row) -> state. For keys of at most some 100,000 rows."""
-    rows = F.sort_array(F.collect_list(F.struct(*order, *fields)))
-    folded = F.aggregate(F.col("_rows"), zero, step, finish) if finish else F.aggregate(F.col("_rows"), zero, step)
-    return df.groupBy(*by).agg(rows.alias("_rows")).select(*by, folded.alias(to))
+def ordered_filter(df: DataFrame, by: list[str], order: list[str], start: Callable[[], Callable[..., bool]], fields: list[str]) -> DataFrame:
+    """Rows that a rule with memory keeps: each key's rows go by in order, start() makes the key's rule, and the rule is
+    asked with the fields of one row after another.
+
+    Rows stream through sorted partitions, so that a key may have any number of rows: a task holds one batch of them and
+    one rule. Rows that are equal in key and order come in any order among them.
+    """
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, rule = None, None
+        for rows in batches:
+            kept = []
+            for own, values in zip(zip(*(rows[c] for c in by)), zip(*(rows[c] for c in fields))):
+                if rule is None or own != key:
+                    key, rule = own, start()
+                kept.append(rule(*values))
+            yield rows[kept]
+
+    return df.repartition(*(F.col(c) for c in by)).sortWithinPartitions(*by, *order).mapInPandas(keep, df.schema)
 
 
 def non_overlapping(trades: DataFrame, by: str = "symbol", start: str = "decision_t", end: str = "exit_t", tie: str = "id") -> DataFrame:
     """Greedy in order of start: a trade is kept when it starts no earlier than the last kept one of its key ended."""
-    zero = F.struct(F.lit(-(1 << 62)).cast("bigint").alias("until"), F.array().cast("array<bigint>").alias("kept"))
 
-    def step(a: Column, x: Column) -> Column:
-        return F.when(x[start] >= a["until"], F.struct(x[end].cast("bigint").alias("until"), F.concat(a["kept"], F.array(x[tie].cast("bigint"))).alias("kept"))).otherwise(a)
+    def rule() -> Callable[..., bool]:
+        until = [float("-inf")]
 
-    kept = keyed_fold(trades, [by], [start, tie], [end], zero, step, "_f").select(by, F.explode("_f.kept").alias(tie))
-    return trades.join(kept, [by, tie], "left_semi")
+        def ask(begins: int, ends: int) -> bool:
+            if begins < until[0]:
+                return False
+            until[0] = ends
+            return True
+
+        return ask
+
+    return ordered_filter(trades, [by], [start, tie], rule, [start, end])
 
 
 def admitted(signals: DataFrame, cap: int, cooldown: int, by: str = "symbol", order: str = "decision_t", tie: str = "id", result: str = "net_r") -> DataFrame:
@@ -74,12 +97,20 @@ def admitted(signals: DataFrame, cap: int, cooldown: int, by: str = "symbol", or
 
     The cooldown counts down on skipped signals only, and not while the cap blocks.
     """
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("wait"), F.array().cast("array<bigint>").alias("kept"))
 
-    def step(a: Column, x: Column) -> Column:
-        took = F.struct((a["n"] + 1).alias("n"), F.when(x[result] < 0, F.lit(cooldown)).otherwise(F.lit(0)).alias("wait"), F.concat(a["kept"], F.array(x[tie].cast("bigint"))).alias("kept"))
-        waits = F.struct(a["n"].alias("n"), (a["wait"] - 1).alias("wait"), a["kept"].alias("kept"))
-        return F.when(a["n"] >= cap, a).when(a["wait"] > 0, waits).otherwise(took)
+    def rule() -> Callable[..., bool]:
+        taken, wait = [0], [0]
+
+        def ask(r: float) -> bool:
+            if taken[0] >= cap:
+                return False
+            if wait[0] > 0:
+                wait[0] -= 1
+                return False
+            taken[0] += 1
+            wait[0] = cooldown if r < 0 else 0
+            return True
+
+        return ask
 
-    kept = keyed_fold(signals, [by], [order, tie], [result], zero, step, "_f").select(by, F.explode("_f.kept").alias(tie))
-    return signals.join(kept, [by, tie], "left_semi")
+    return ordered_filter(signals, [by], [order, tie], rule, [result])

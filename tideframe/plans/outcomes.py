@@ -111,19 +111,22 @@ def daily_cap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _book(spark: SparkSession, d: str) -> DataFrame:
-    """One trade an id and customer-sized books, so that folds stay short."""
-    return tables.trades(spark, d).groupBy("id").agg(F.min("decision_t").alias("decision_t"), F.min("exit_t").alias("exit_t"), F.min("net_r").alias("net_r"), F.min(F.col("hour")).alias("hour")).withColumn("symbol", F.concat_ws("-", "hour", F.col("id") % 50))
+    """One trade an id, by symbol."""
+    return tables.trades(spark, d).groupBy("id").agg(F.min("symbol").alias("symbol"), F.min("decision_t").alias("decision_t"), F.min("exit_t").alias("exit_t"), F.min("net_r").alias("net_r"))
 
 
-@query("w58_admission_fold")
+_BOOK = f"{TRADES_SQL}, b AS (SELECT id, min(symbol) AS symbol, min(decision_t) AS s, min(exit_t) AS e, min(net_r) AS r FROM trades GROUP BY id)"
+
+
+@query("w58_admission_fold", f"""WITH RECURSIVE {_BOOK}, o AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY s, id) AS n FROM b),
+k AS (SELECT symbol, id, s, r, n, 1 AS taken FROM o WHERE n = 1 UNION ALL SELECT o.symbol, o.id, o.s, o.r, o.n, k.taken + 1 FROM k JOIN o ON o.symbol = k.symbol AND o.n = k.n + CASE WHEN k.r < 0 THEN 3 ELSE 1 END WHERE k.taken < 200)
+SELECT symbol, id, s AS decision_t, r AS net_r FROM k""")
 def admission(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.admitted(_book(spark, d), 20, 2).select("symbol", "id", "decision_t", "net_r")
+    return ranking.admitted(_book(spark, d), 200, 2).select("symbol", "id", "decision_t", "net_r")
 
 
-@query("w59_non_overlap", f"""WITH RECURSIVE {TRADES_SQL}, b AS (SELECT id, min(decision_t) AS s, min(exit_t) AS e, CAST(min(hour) AS VARCHAR) || '-' || CAST(id % 50 AS VARCHAR) AS symbol FROM trades GROUP BY id),
-o AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY s, id) AS n FROM b),
-f AS (SELECT symbol, n, id, e AS until, true AS kept FROM o WHERE n = 1 UNION ALL SELECT o.symbol, o.n, o.id, CASE WHEN o.s >= f.until THEN o.e ELSE f.until END, o.s >= f.until FROM f JOIN o ON o.symbol = f.symbol AND o.n = f.n + 1)
-SELECT symbol, id FROM f WHERE kept""")
+@query("w59_non_overlap", f"""WITH RECURSIVE {_BOOK}, f AS (SELECT symbol, arg_min(id, (s, id)) AS id, arg_min(e, (s, id)) AS until FROM b GROUP BY symbol UNION ALL SELECT f.symbol, arg_min(b.id, (b.s, b.id)), arg_min(b.e, (b.s, b.id)) FROM f JOIN b ON b.symbol = f.symbol AND b.s >= f.until GROUP BY f.symbol)
+SELECT symbol, id FROM f""")
 def non_overlap(spark: SparkSession, d: str) -> DataFrame:
     return ranking.non_overlapping(_book(spark, d)).select("symbol", "id")
 
