@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from conftest import SF, SF_SQL
 
-from tideframe.plans import candidates, columns, context, files, market, outcomes, performance, registry, streams, swing  # noqa: F401
+from tideframe.plans import candidates, columns, context, files, indicators, market, outcomes, performance, registry, streams, swing  # noqa: F401
 
 
 @pytest.fixture(scope="module")

@@ -109,3 +109,14 @@ def first_touch(entries: DataFrame, path: DataFrame, horizon_s: int, bucket_s: i
     exit_price = F.when(stopped, F.col("stop")).when(hit, F.col("target")).otherwise(end["close"])
     r = lambda price: in_r(price, F.col("entry"), F.col("side"), F.abs(F.col("entry") - F.col("stop")))
     return x.select(*key, F.size("path").cast("long").alias("path_rows"), "barrier", exit_price.alias("exit_price"), end["path_t"].alias("exit_t"), r(exit_price).alias("gross_r"), r(best).alias("mfe_r"), r(worst).alias("mae_r"), ((end["path_t"] - F.col("entry_t")) / 3600).alias("hours_held"))
+
+
+def resolved(bars: DataFrame, horizon: int, stop: float, target: float, by: tuple[str, ...] = ("symbol",), order: str = "t") -> DataFrame:
+    """Long trades at each close by the bars there are: target or stop at the first touch (a tie is a stop), horizon after
+    so many bars without one, else open."""
+    x = with_future(bars, horizon, by, order)
+    at = lambda hit: F.nullif(F.array_position(F.transform("future", hit), True), F.lit(0))
+    x = x.withColumn("_t", at(lambda b: b["high"] >= F.col("close") * (1 + target))).withColumn("_s", at(lambda b: b["low"] <= F.col("close") * (1 - stop)))
+    none = F.col("_t").isNull() & F.col("_s").isNull()
+    state = F.when(none & (F.size("future") < horizon), "open").when(none, "horizon").when(F.col("_s").isNull() | (F.col("_t") < F.col("_s")), "target").otherwise("stop")
+    return x.select(*bars.columns, state.alias("state"))
