@@ -197,12 +197,12 @@ def skipped_signals(spark: SparkSession, d: str) -> DataFrame:
     return _signals(spark, d).where((F.col("action") == "skip") & F.array_contains("reason_codes", "expected_r_below_threshold")).select("id", "expected_r")
 
 
-_OUTCOMES = "o AS (SELECT o_orderkey, round(o_totalprice / 100000 - 2, 4) AS realized_r, CASE o_orderstatus WHEN 'F' THEN 'target' WHEN 'P' THEN 'stop' END AS exit_reason FROM orders WHERE o_orderstatus <> 'O')"
+_OUTCOMES = "o AS (SELECT o_orderkey, round(o_totalprice / 100000 - 2, 8) AS realized_r, CASE o_orderstatus WHEN 'F' THEN 'target' WHEN 'P' THEN 'stop' END AS exit_reason FROM orders WHERE o_orderstatus <> 'O')"
 
 
 def _outcomes(spark: SparkSession, d: str) -> DataFrame:
     o = tables.read(spark, d, "orders").where("o_orderstatus <> 'O'")
-    return o.select(F.col("o_orderkey").alias("k"), F.round(F.col("o_totalprice") / 100000 - 2, 4).alias("realized_r"), F.when(F.col("o_orderstatus") == "F", "target").when(F.col("o_orderstatus") == "P", "stop").alias("exit_reason"))
+    return o.select(F.col("o_orderkey").alias("k"), F.round(F.col("o_totalprice") / 100000 - 2, 8).alias("realized_r"), F.when(F.col("o_orderstatus") == "F", "target").when(F.col("o_orderstatus") == "P", "stop").alias("exit_reason"))
 
 
 @query("p25_ledger_rows", _SIGNALS + f", {_OUTCOMES} SELECT id, CASE WHEN realized_r IS NULL THEN 'open' ELSE 'closed' END AS status, CASE WHEN realized_r IS NOT NULL THEN coalesce(exit_reason, 'label') END AS exit_reason, realized_r FROM g LEFT JOIN o ON o_orderkey = id // 10 WHERE reasons = ''")

@@ -34,8 +34,12 @@ CORE_FAMILIES = {
 _WHOLE = ("above_ma", "bull_run", "bear_run")
 
 
+#: Means of true ranges over closes meet rounding ties at fewer digits.
+_DIGITS = {"atr": 7, "atr_share": 7}
+
+
 def _shown(x: DataFrame, columns: list[str]) -> DataFrame:
-    return x.select("symbol", "t", *(F.col(c).cast("int").alias(c) if c in _WHOLE else F.round(c, 5).alias(c) for c in columns))
+    return x.select("symbol", "t", *(F.col(c).cast("int").alias(c) if c in _WHOLE else F.round(c, _DIGITS.get(c, 5)).alias(c) for c in columns))
 
 
 def _family(columns: list[str]):
@@ -48,7 +52,7 @@ def _family(columns: list[str]):
 
 
 for _name, _columns in CORE_FAMILIES.items():
-    query(_name, _CORE + " SELECT symbol, t, " + ", ".join(f"CAST({c} AS INT) AS {c}" if c in _WHOLE else f"round({c}, 5) AS {c}" for c in _columns) + " FROM core")(_family(_columns))
+    query(_name, _CORE + " SELECT symbol, t, " + ", ".join(f"CAST({c} AS INT) AS {c}" if c in _WHOLE else f"round({c}, {_DIGITS.get(c, 5)}) AS {c}" for c in _columns) + " FROM core")(_family(_columns))
 
 
 @query("w16_windowed_dmi", CANDLES + f""", a AS (SELECT *, high - lag(high) OVER w AS up, lag(low) OVER w - low AS dn, lag(close) OVER w AS pc FROM candles WINDOW w AS (PARTITION BY symbol ORDER BY t)),

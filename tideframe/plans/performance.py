@@ -211,11 +211,11 @@ def daily_split(spark: SparkSession, d: str) -> DataFrame:
 _CAMPAIGNS = D + """, x AS (SELECT *, year(day) * 12 + month(day) - 1 AS m FROM daily), s AS (SELECT symbol, min(m) AS a, max(m) AS z FROM x GROUP BY 1), st AS (SELECT symbol, unnest(generate_series(a, z - 11)) AS start FROM s), c AS (SELECT x.symbol, x.day, x.close, st.start FROM x JOIN st ON st.symbol = x.symbol AND x.m BETWEEN st.start AND st.start + 11)"""
 
 
-@query("w72_rolling_campaigns", _CAMPAIGNS + " SELECT symbol, start, count(*) AS days, min(day) AS first_day, max(day) AS last_day, round(avg(close), 3) AS mean_close FROM c GROUP BY 1, 2")
+@query("w72_rolling_campaigns", _CAMPAIGNS + " SELECT symbol, start, count(*) AS days, min(day) AS first_day, max(day) AS last_day, round(sum(close), 2) AS total_close FROM c GROUP BY 1, 2")
 def rolling_campaigns(spark: SparkSession, d: str) -> DataFrame:
     """Every start month with its twelve months."""
     c = schedules.rolling_campaigns(tables.daily_closes(spark, d), 12)
-    return c.groupBy("symbol", F.col("start").cast("bigint").alias("start")).agg(F.count("*").alias("days"), F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.round(F.avg("close"), 3).alias("mean_close"))
+    return c.groupBy("symbol", F.col("start").cast("bigint").alias("start")).agg(F.count("*").alias("days"), F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.round(F.sum("close"), 2).alias("total_close"))
 
 
 @query("a37_paired_summary", _CAMPAIGNS + """, b AS (SELECT symbol, start, strftime(day, '%Y-%m') AS month, 'day_' || lpad(CAST(a AS VARCHAR), 2, '0') AS schedule, coalesce(arg_min(close, CASE WHEN day(day) >= a THEN day END), arg_max(close, day)) AS price FROM c CROSS JOIN (SELECT unnest([1, 10, 20]) AS a) GROUP BY 1, 2, 3, 4),
