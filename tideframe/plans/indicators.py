@@ -35,7 +35,7 @@ _WHOLE = ("above_ma", "bull_run", "bear_run")
 
 
 #: Means of true ranges over closes meet rounding ties at fewer digits.
-_DIGITS = {"atr": 7, "atr_share": 7}
+_DIGITS = {"atr": 9, "atr_share": 9}
 
 
 def _shown(x: DataFrame, columns: list[str]) -> DataFrame:
