@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -62,7 +62,7 @@ def stage(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bound_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+def bound_batches(spark: SparkSession, size: int = 4 << 20) -> None:
     """Bound Arrow batches by bytes, for rows that hold whole texts or sets; a bound that the session has stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.conf.get(name, str(2**31 - 1))) >= 2**31 - 1:
@@ -138,8 +138,9 @@ def vector_total(partial: DataFrame, length: int, dtype: str, how: str) -> np.nd
     return out
 
 
-def maybe_in(spark: SparkSession, keys: DataFrame, bits: int = 1 << 24):
-    """A UDF that tells of a bigint whether it may be among keys (one bigint column); some others pass as well.
+def may_hold(spark: SparkSession, keys: DataFrame, bits: int = 1 << 24) -> Callable[[np.ndarray], np.ndarray]:
+    """A function for tasks that tells of int64 values whether they may be among keys (one bigint column); some others
+    pass as well.
 
     For use before an exact join. The broadcast is bits / 8 bytes (2 MB by default) whatever the number of keys; with
     very many keys more rows pass, and the join that follows still decides.
@@ -161,12 +162,22 @@ def maybe_in(spark: SparkSession, keys: DataFrame, bits: int = 1 << 24):
     total = vector_total(keys.where(F.col(name).isNotNull()).mapInArrow(fill, "slot int, cells binary"), bits // 8, "uint8", "or")
     shared = spark.sparkContext.broadcast(total)
 
-    @F.pandas_udf("boolean")
-    def maybe(k: pd.Series) -> pd.Series:
+    def among(k: np.ndarray) -> np.ndarray:
         own, ok = shared.value, np.ones(len(k), bool)
-        for p in places(k.to_numpy()):
+        for p in places(k):
             ok &= (own[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
-        return pd.Series(ok)
+        return ok
+
+    return among
+
+
+def maybe_in(spark: SparkSession, keys: DataFrame, bits: int = 1 << 24):
+    """may_hold() as a UDF of a bigint column without nulls."""
+    among = may_hold(spark, keys, bits)
+
+    @F.pandas_udf("boolean")
+    def maybe(k: pd.Series) -> pd.Series:
+        return pd.Series(among(k.to_numpy()))
 
     return maybe
 
