@@ -22,7 +22,7 @@ from tideframe.llm.common import bloom_semi, documents, maybe_in, scratch, stage
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "48",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     # Else each partition's store sets aside some MB of disk, however few keys it holds.
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
