@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -64,6 +65,13 @@ def test_exact_dedup_of_nothing_and_drop_copies(spark):
     assert sorted(r["doc_id"] for r in out.collect()) == [1, 2, 4] and out.columns == table(spark, []).columns
 
 
+def test_exact_dedup_keeps_one_of_rows_without_id(spark):
+    rows = [(None, "same"), (None, "same"), (None, "same"), (None, "x"), (4, "x"), (9, None), (None, "")]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = collections.Counter((r["text_sha256"], r["keep_id"], r["group_size"]) for r in got if r["kept"])
+    assert len(got) == 7 and sorted((k[1] or 0, k[2], n) for k, n in kept.items()) == [(0, 3, 1), (4, 2, 1), (9, 2, 1)]
+
+
 # 2 ---------------------------------------------------------------------------------------------------------------------
 
 
@@ -111,6 +119,13 @@ def test_surrogates_share_names_and_addresses(spark):
     assert re.fullmatch(r"г-н (\w+)ов и г-жа \1ина", t[5])
 
 
+def test_surrogates_of_very_long_texts(spark):
+    texts = ["a" * 300_000, "a." * 100_000 + "@", "x@" * 50_000, "7" * 100_000, "Mr " * 50_000, "1-" * 60_000, "password=" * 20_000]
+    t0 = time.time()
+    got = surrogates.replace_entities(table(spark, texts), "k").collect()
+    assert len(got) == len(texts) and time.time() - t0 < 60
+
+
 # 3 ---------------------------------------------------------------------------------------------------------------------
 
 

@@ -38,3 +38,23 @@ def test_mixture_survives_to_the_end(spark, tmp_path):
     got = [r["doc_id"] for r in out.orderBy("mix_part", "mix_row").select("doc_id").collect()]
     want = [r["doc_id"] for r in corpus_pipeline.mixing.mix(docs).orderBy("mix_slot", "mix_offset").select("doc_id").collect()]
     assert got == want != sorted(want)
+
+
+def test_run_on_odd_tables(spark, tmp_path):
+    """Nulls in any column, repeated rows, empty texts, names that stages use inside, and no rows at all."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = [(None, None, None, None, None), (None, "some words in a text without id", "en", "web", 3), (7_000_001, "", None, None, None), (7_000_002, None, "en", "web", None), (7_000_003, "12 34 !?", "xx", None, 8)]
+    docs = docs.unionByName(docs.limit(20)).unionByName(spark.createDataFrame(odd, docs.schema))
+    named = docs.withColumns({c: corpus_pipeline.F.lit(c) for c in ("_language", "_id", "_suspect", "_s", "_h", "_t", "_sha")})
+    for name, table in (("odd", named), ("none", docs.limit(0))):
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    for name, apply in corpus_pipeline.STAGES[:-1]:
+        named = spark.read.parquet(f"{tmp_path}/odd/documents.parquet")
+        out = apply(spark, named, SF)
+        assert out.columns == named.columns, name
+        assert {tuple(r) for r in out.select("_language", "_id", "_s", "_t").distinct().collect()} <= {("_language", "_id", "_s", "_t")}, name
+    whole = corpus_pipeline.run(spark, f"{tmp_path}/odd")
+    ids = [r["doc_id"] for r in whole.select("doc_id").collect()]
+    assert len([i for i in ids if i is not None]) == len({i for i in ids if i is not None}) > 100
+    assert not {7_000_001, 7_000_002, 7_000_003} & set(ids)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
