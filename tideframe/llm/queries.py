@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tideframe.llm import byte_bpe, cotraining, exact_dedup, jaccard_join, language_id, mixing, quality_rules, surrogates, token_counts, url_filter
+from tideframe.llm import byte_bpe, cotraining, exact_dedup, jaccard_join, language_id, mixing, periodic_runs, prefix_trie, quality_rules, surrogates, token_counts, url_filter, weighted_sampling
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_quality_divergence": quality_rules.op8_quality_divergence,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_mix_sources": mixing.op10_mix_sources,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_weighted_sampling": weighted_sampling.op13_weighted_sampling,
 }
 
 ORACLE_SQL = {
