@@ -65,8 +65,16 @@ def test_labels_without_a_whole_window(spark):
 def test_trailing_exit(spark):
     rows = [(100, 100, 100, 100), (100, 103, 99.5, 102), (102, 102, 99, 99)]
     df = spark.createDataFrame([("x", i, *map(float, r)) for i, r in enumerate(rows)], "symbol string, t int, open double, high double, low double, close double")
-    r = labels.trailing_exit(df, 2, 0.02, 1.0, 0.1, 1.0).orderBy("t").first()
-    assert (r["exit_reason"], r["exit_bars"]) == ("trailing_stop", 2) and r["exit_r"] == pytest.approx(0.5)
+    for tie, bars in (("stop_first", 1), ("target_first", 2)):
+        r = labels.trailing_exit(df, 2, 0.02, 1.0, 0.1, 1.0, cost=0.001, tie=tie).orderBy("t").first()
+        assert (r["exit_reason"], r["exit_bars"], r["breakeven_bars"]) == ("dynamic_stop", bars, 1) and r["exit_r"] == pytest.approx(0.45)
+    # Trailing doesn't wait for the break-even level; a short mirrors a long; too few bars give nulls.
+    far = labels.trailing_exit(df, 2, 0.02, 9.0, 0.1, 1.0).orderBy("t").first()
+    assert (far["exit_bars"], far["breakeven_bars"]) == (1, None) and far["exit_r"] == pytest.approx(0.5)
+    mirrored = df.select("symbol", "t", (200 - F.col("open")).alias("open"), (200 - F.col("low")).alias("high"), (200 - F.col("high")).alias("low"), (200 - F.col("close")).alias("close"))
+    short = labels.trailing_exit(mirrored, 2, 0.02, 1.0, 0.1, 1.0, cost=0.001, side=F.lit("short")).orderBy("t").first()
+    assert (short["exit_reason"], short["exit_bars"]) == ("dynamic_stop", 1) and short["exit_r"] == pytest.approx(0.45)
+    assert labels.trailing_exit(df, 3, 0.02, 1.0, 0.1, 1.0).where("exit_r IS NOT NULL OR exit_reason IS NOT NULL").count() == 0
 
 
 def test_outcome_metrics_golden(spark):

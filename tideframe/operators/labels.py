@@ -62,26 +62,40 @@ def barrier_labels(bars: DataFrame, horizon: int, stop: float, target: float, co
     )
 
 
-def trailing_exit(bars: DataFrame, horizon: int, stop: float, activate_r: float, lock_r: float, trail_r: float, by: tuple[str, ...] = ("symbol",), order: str = "t") -> DataFrame:
-    """Long entries at the close with a stop that is moved up once a bar's high has earned activate_r.
-
-    Then the stop is the higher of lock_r and the best high less trail_r, from the next bar on. Returns exit_r,
-    exit_bars and exit_reason (initial_stop, trailing_stop, horizon).
+def trailing_exit(bars: DataFrame, horizon: int, stop: float, activate_r: float | None, lock_r: float, trail_r: float | None, cost: float = 0.0, side: Column | None = None, tie: str = "stop_first", by: tuple[str, ...] = ("symbol",), order: str = "t") -> DataFrame:
+    """Entries at the close with a stop that is moved up: exit_r (after costs), exit_bars, breakeven_bars, exit_reason.
+
+    The risk is `stop` of the entry price, costs are a share of the price. A bar that reaches the stop ends the trade there
+    (dynamic_stop). Else one that earns activate_r raises the stop to lock_r (breakeven_bars is the first), and one that
+    earns trail_r raises it to trail_r behind its best price; a stop never goes back. A bar that raises the stop and
+    reaches it ends the trade there with tie stop_first, else the new stop holds from the next bar on. Without a stop the
+    last close counts (horizon_exit, exit_bars null). side: long (default) or short. With fewer than `horizon` bars all
+    are null.
     """
-    x = with_future(bars, horizon, by, order).withColumn("_risk", F.col("close") * stop)
-    zero = F.struct(F.lit(0).alias("n"), F.lit(-1.0).alias("stop"), F.lit(0.0).alias("best"), F.lit(None).cast("double").alias("r"), F.lit(None).cast("string").alias("why"), F.lit(0.0).alias("last"))
+    way = F.lit("long") if side is None else side
+    x = with_future(bars, horizon, by, order).withColumn("_risk", F.col("close") * stop).withColumn("_long", way == "long")
+    nothing = F.lit(None).cast("int")
+    zero = F.struct(F.lit(0).alias("n"), F.lit(-1.0).alias("stop"), nothing.alias("even"), nothing.alias("out"))
 
     def step(a: Column, b: Column) -> Column:
-        high, low, close = (in_r(b[c], F.col("close"), F.lit("long"), F.col("_risk")) for c in ("high", "low", "close"))
-        n, best = a["n"] + 1, F.greatest(a["best"], high)
-        raised = F.when(best >= activate_r, F.greatest(a["stop"], F.lit(lock_r), best - trail_r)).otherwise(a["stop"])
-        out = F.struct(n.alias("n"), a["stop"].alias("stop"), a["best"].alias("best"), a["stop"].alias("r"), F.when(a["stop"] > -1, "trailing_stop").otherwise("initial_stop").alias("why"), close.alias("last"))
-        on = F.struct(n.alias("n"), raised.alias("stop"), best.alias("best"), a["r"].alias("r"), a["why"].alias("why"), close.alias("last"))
-        return F.when(a["why"].isNotNull(), a).when(low <= a["stop"], out).otherwise(on)
+        up, down = ((b[c] - F.col("close")) / F.col("_risk") for c in ("high", "low"))
+        best, worst = F.when(F.col("_long"), up).otherwise(-down), F.when(F.col("_long"), down).otherwise(-up)
+        n, raised, even = a["n"] + 1, a["stop"], a["even"]
+        if activate_r is not None:
+            raised = F.when(best >= activate_r, F.greatest(raised, F.lit(lock_r))).otherwise(raised)
+            even = F.when(even.isNull() & (best >= activate_r), n).otherwise(even)
+        if trail_r is not None:
+            raised = F.when(best >= trail_r, F.greatest(raised, best - trail_r)).otherwise(raised)
+        stopped = F.struct(n.alias("n"), a["stop"].alias("stop"), a["even"].alias("even"), n.alias("out"))
+        again = F.when((raised != a["stop"]) & (worst <= raised), n) if tie == "stop_first" else nothing
+        on = F.struct(n.alias("n"), raised.alias("stop"), even.alias("even"), again.alias("out"))
+        return F.when(a["out"].isNotNull(), a).when(worst <= a["stop"], stopped).otherwise(on)
 
     x = x.withColumn("_e", F.aggregate("future", zero, step))
-    whole = (F.size("future") == horizon) | F.col("_e.why").isNotNull()
-    return x.select(*bars.columns, F.when(whole, F.coalesce("_e.r", "_e.last")).alias("exit_r"), F.when(whole, F.col("_e.n")).alias("exit_bars"), F.when(whole, F.coalesce("_e.why", F.lit("horizon"))).alias("exit_reason"))
+    last = (F.element_at("future", -1)["close"] - F.col("close")) / F.col("_risk")
+    gross = F.when(F.col("_e.out").isNotNull(), F.col("_e.stop")).otherwise(F.when(F.col("_long"), last).otherwise(-last))
+    only = lambda c: F.when(F.size("future") == horizon, c)
+    return x.select(*bars.columns, only(gross - cost / stop).alias("exit_r"), only(F.col("_e.out")).alias("exit_bars"), only(F.col("_e.even")).alias("breakeven_bars"), only(F.when(F.col("_e.out").isNotNull(), "dynamic_stop").otherwise("horizon_exit")).alias("exit_reason"))
 
 
 def first_touch(entries: DataFrame, path: DataFrame, horizon_s: int, bucket_s: int, by: tuple[str, ...] = ("symbol",)) -> DataFrame:

@@ -108,12 +108,15 @@ def concurrent_exposure(trades: DataFrame, by: Sequence[str], start: str = "deci
     return summed.select(*by, F.sum("d").over(w).alias("open"), F.sum("s").over(w).alias("exposure")).groupBy(*by).agg(F.max("open").alias("max_open"), F.round(F.max("exposure"), 6).alias("max_exposure"))
 
 
-def monthly_rollup(curve: DataFrame, by: Sequence[str], time: str = "decision_t", order: Sequence[str] = ("decision_t", "id")) -> DataFrame:
-    """First and last equity of a month, its return from the month before's last equity's point of view, trades and mean R."""
+def monthly_rollup(curve: DataFrame, by: Sequence[str], initial: float, time: str = "decision_t", order: Sequence[str] = ("decision_t", "id"), r: str = "net_r") -> DataFrame:
+    """Equity before a month's first trade and after its last, return and gain between them, trades, mean R, win rate and
+    profit factor of each month with trades, from an equity_curve(); order is total within a key."""
     month = F.date_format(F.timestamp_seconds(time), "yyyy-MM")
-    o = F.struct(*order)
-    x = curve.groupBy(*by, month.alias("month")).agg(F.min_by("equity", o).alias("first_equity"), F.max_by("equity", o).alias("last_equity"), F.count("*").alias("trades"), F.round(F.avg("net_r"), 8).alias("mean_r"))
-    return x.withColumn("month_return", ratio(F.col("last_equity"), F.col("first_equity")) - 1)
+    o, c = F.struct(*order), F.col(r)
+    months = curve.groupBy(*by, month.alias("month")).agg(F.max_by("equity", o).alias("last_equity"), F.count("*").alias("trades"), F.avg(c).alias("mean_r"), F.avg((c > 0).cast("double")).alias("win_rate"), ratio(F.coalesce(F.sum(F.when(c > 0, c)), F.lit(0.0)), -F.sum(F.when(c < 0, c))).alias("profit_factor"))
+    # One row a month: a small table.
+    x = months.withColumn("first_equity", F.coalesce(F.lag("last_equity").over(Window.partitionBy(*by).orderBy("month")), F.lit(initial)))
+    return x.withColumn("gain", F.col("last_equity") - F.col("first_equity")).withColumn("month_return", ratio(F.col("last_equity"), F.col("first_equity")) - 1)
 
 
 def gates(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
@@ -124,12 +127,23 @@ def gates(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
 
 
 def risk_adjusted(curve: DataFrame, by: Sequence[str], day: str = "day", equity: str = "equity", per_year: int = 365) -> DataFrame:
-    """Sharpe and Sortino ratios of daily returns of a daily equity table (number of the day), and the annual return."""
+    """Sharpe and Sortino ratios of daily returns of a daily equity table (number of the day), and the annual return.
+
+    Both divide the mean return by a population deviation: of all returns, or of the negative ones only. With fewer than
+    two returns, without a negative one (beyond the noise of running sums) or with a deviation of 0, a ratio is 0.
+    """
     w = Window.partitionBy(*by).orderBy(day)
     x = curve.withColumn("_r", ratio(F.col(equity), F.lag(equity).over(w)) - 1)
-    g = x.groupBy(*by).agg(F.avg("_r").alias("_m"), F.stddev_pop("_r").alias("_s"), F.avg(F.when(F.col("_r").isNotNull(), F.pow(F.least(F.col("_r"), F.lit(0.0)), F.lit(2.0)))).alias("_d"), (F.max(day) - F.min(day)).alias("_span"), ratio(F.max_by(equity, day), F.min_by(equity, day)).alias("_g"))
-    year = F.sqrt(F.lit(float(per_year)))
-    return g.select(*by, (ratio(F.col("_m"), F.col("_s")) * year).alias("sharpe"), (ratio(F.col("_m"), F.sqrt("_d")) * year).alias("sortino"), (F.pow(F.col("_g"), F.lit(float(per_year)) / F.col("_span")) - 1).alias("annual_return"))
+    r = F.col("_r")
+    g = x.groupBy(*by).agg(F.avg(r).alias("_m"), F.count(r).alias("_n"), F.stddev_pop(r).alias("_s"), F.stddev_pop(F.when(F.round(r, 12) < 0, r)).alias("_d"), (F.max(day) - F.min(day)).alias("_span"), ratio(F.max_by(equity, day), F.min_by(equity, day)).alias("_g"))
+    scaled = lambda d: F.when((F.col("_n") >= 2) & (F.col(d) > 0), F.col("_m") / F.col(d) * F.sqrt(F.lit(float(per_year)))).otherwise(0.0)
+    return g.select(*by, scaled("_s").alias("sharpe"), scaled("_d").alias("sortino"), (F.pow(F.col("_g"), F.lit(float(per_year)) / F.greatest(F.col("_span"), F.lit(1))) - 1).alias("annual_return"))
+
+
+def trade_load(trades: DataFrame, by: Sequence[str], pair: str, start: str, end: str, cost: Column) -> DataFrame:
+    """Share of the time in the market of each pair (hours held by hours spanned and pairs), and the sum of costs."""
+    x = trades.groupBy(*by).agg(F.sum(F.col(end) - F.col(start)).alias("_held"), (F.max(end) - F.min(start)).alias("_span"), F.count_distinct(pair).alias("_pairs"), F.sum(cost).alias("cost_drag"))
+    return x.select(*by, (F.col("_held") / (F.greatest(F.col("_span"), F.lit(86400)) * F.greatest(F.col("_pairs"), F.lit(1)))).alias("exposure"), "cost_drag")
 
 
 def monthly_target(months: DataFrame, by: Sequence[str], r: str, target: float) -> DataFrame:

@@ -74,27 +74,56 @@ def lookahead_reach(s: Series, min_hold: int, n: int, target: float) -> Column:
 
 
 def swing_exit(entries: DataFrame, bars: DataFrame, number: str, target: float, min_hold: int, max_hold: int) -> DataFrame:
-    """Entries (symbol, entry_n, entry) out at the first bar that is min_hold or more rows on, at the target and fading.
+    """Entries (symbol, entry_n, entry) out at the first bar that is min_hold or more rows on, at the target and fading
+    (profit_fade); else at max_hold or, where the series ends before, its last bar (time_stop).
 
-    Else at max_hold (time), or open where the series ends before. Gives exit_n, exit, reason, return_share, and the
-    largest move for and against the entry up to the exit. bars: symbol, number, high, low, close, fading.
+    Gives exit_n, exit, reason, return_share, and the largest move for and against the entry up to the exit (at least and
+    at most 0). bars: symbol, number, high, low, close, fading. An entry at the last bar leaves there. Exits that wait for
+    a profit without a horizon are folds.profit_exits().
     """
-    e = entries.withColumn("_until", F.col("entry_n") + max_hold).withColumn("_from", F.col("entry_n") + 1)
+    e = entries.withColumn("_until", F.col("entry_n") + max_hold).withColumn("_from", F.col("entry_n"))
     b = bars.select("symbol", F.col(number).alias("bar_n"), "high", "low", "close", "fading")
     x = interval_join(e, b, "_from", "_until", "bar_n", ["symbol"], max_hold)
     path = x.groupBy("symbol", "entry_n", "entry").agg(F.sort_array(F.collect_list(F.struct("bar_n", "high", "low", "close", "fading"))).alias("path"))
-    hit = lambda p: (p["bar_n"] - F.col("entry_n") >= min_hold) & (p["close"] >= F.col("entry") * (1 + target)) & p["fading"]
+    hit = lambda p: (p["bar_n"] - F.col("entry_n") >= max(min_hold, 1)) & (p["close"] / F.col("entry") - 1 >= target) & p["fading"]
     at = F.nullif(F.array_position(F.transform("path", hit), True), F.lit(0))
-    y = path.withColumn("_at", at).withColumn("_whole", F.element_at("path", -1)["bar_n"] == F.col("entry_n") + max_hold)
-    y = y.withColumn("reason", F.when(F.col("_at").isNotNull(), "target").when(F.col("_whole"), "time").otherwise("open"))
+    y = path.withColumn("_at", at).withColumn("reason", F.when(at.isNotNull(), "profit_fade").otherwise("time_stop"))
     y = y.withColumn("_held", F.slice("path", F.lit(1), F.coalesce("_at", F.size("path")).cast("int")))
     end, entry = F.element_at("_held", -1), F.col("entry")
-    return y.select("symbol", "entry_n", "entry", end["bar_n"].alias("exit_n"), end["close"].alias("exit"), "reason", change(end["close"], entry).alias("return_share"), change(F.array_max(F.transform("_held", lambda p: p["high"])), entry).alias("best"), change(F.array_min(F.transform("_held", lambda p: p["low"])), entry).alias("worst"))
+    after = F.filter("_held", lambda p: p["bar_n"] > F.col("entry_n"))
+    best = F.greatest(F.lit(0.0), change(F.array_max(F.transform(after, lambda p: p["high"])), entry))
+    worst = F.least(F.lit(0.0), change(F.array_min(F.transform(after, lambda p: p["low"])), entry))
+    return y.select("symbol", "entry_n", "entry", end["bar_n"].alias("exit_n"), end["close"].alias("exit"), "reason", change(end["close"], entry).alias("return_share"), best.alias("best"), worst.alias("worst"))
 
 
-def market_guard(index: DataFrame, time: str, value: str, lookback: int, recent: int, min_bounce: float, min_recent: float) -> DataFrame:
-    """Per time of an index with one row a time: bounce from its low, recent return, and whether both suffice."""
+def market_guard(index: DataFrame, time: str, value: str, lookback: int | None = None, min_bounce: float | None = None, recent: int | None = None, min_recent: float | None = None, min_rising: float | None = None, trend: int | None = None, min_trend: float | None = None, closes: str | None = None) -> DataFrame:
+    """Per time of an index with one row a time: bounce, recent_return, rising, trend_return and whether the guard is open.
+
+    bounce: from the lowest of the last lookback + 1 values; returns over recent and trend rows; rising: share of the
+    symbols in the map `closes` (name -> close), there and recent rows back, that rose. A part without a lookback
+    is left out; one whose lookback isn't full yet keeps the guard shut, whatever its limit; rising without a common
+    symbol does, too.
+    """
     w = Window.partitionBy(F.lit(0)).orderBy(time)
-    c = F.col(value)
-    x = index.withColumn("bounce", change(c, F.min(c).over(w.rowsBetween(-lookback, 0)))).withColumn("recent_return", change(c, F.lag(c, recent).over(w)))
-    return x.withColumn("open", F.coalesce((F.col("bounce") >= min_bounce) & (F.col("recent_return") >= min_recent), F.lit(False)))
+    c, row = F.col(value), F.row_number().over(w) - 1
+    none = F.lit(None).cast("double")
+    full = lambda n, x: F.when(row >= n, x)
+    x = index.withColumn("bounce", none if lookback is None else full(lookback, change(c, F.min(c).over(w.rowsBetween(-lookback, 0)))))
+    x = x.withColumn("recent_return", none if recent is None else full(recent, change(c, F.lag(c, recent).over(w))))
+    rising = none
+    if recent is not None and closes is not None:
+        before = F.lag(closes, recent).over(w)
+        shared = F.array_intersect(F.map_keys(closes), F.map_keys(before))
+        up = F.size(F.filter(shared, lambda k: F.element_at(F.col(closes), k) > F.element_at(F.col("_before"), k)))
+        x = x.withColumn("_before", before).withColumn("_shared", shared)
+        rising = F.when(F.size("_shared") > 0, up / F.size("_shared"))
+    x = x.withColumn("rising", rising)
+    x = x.withColumn("trend_return", none if trend is None else full(trend, change(c, F.lag(c, trend).over(w))))
+    ok = F.lit(True)
+    for n in (lookback, recent, trend):
+        if n is not None:
+            ok = ok & (row >= n)
+    for column, n, least in (("bounce", lookback, min_bounce), ("recent_return", recent, min_recent), ("rising", recent, min_rising), ("trend_return", trend, min_trend)):
+        if n is not None and least is not None:
+            ok = ok & F.coalesce(F.col(column) >= least, F.lit(False))
+    return x.withColumn("open", ok).drop("_before", "_shared")

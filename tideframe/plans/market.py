@@ -282,10 +282,10 @@ def asof_derived(spark: SparkSession, d: str) -> DataFrame:
 SELECT c.id, count(*) AS trades, round(sum(x.price), 6) AS notional, round(coalesce(sum(x.price) FILTER (x.is_buyer), 0) / sum(x.price), 6) AS buy_ratio FROM c JOIN ticks x ON x.symbol = c.symbol AND x.t BETWEEN c.t - 21600 AND c.t GROUP BY c.id""")
 def range_join(spark: SparkSession, d: str) -> DataFrame:
     t = tables.ticks(spark, d)
-    c = t.select("symbol", F.col("id").alias("candidate"), (F.col("t") - 21600).alias("from_t"), F.col("t").alias("to_t"))
-    x = aj.interval_join(c, t, "from_t", "to_t", "t", ["symbol"], 21600)
-    buy = F.coalesce(F.sum(F.when(F.col("is_buyer"), F.col("price"))), F.lit(0.0))
-    return x.groupBy(F.col("candidate").alias("id")).agg(F.count("*").alias("trades"), F.round(F.sum("price"), 6).alias("notional"), F.round(buy / F.sum("price"), 6).alias("buy_ratio"))
+    c = t.select("symbol", "id", (F.col("t") - 21600).alias("from_t"), F.col("t").alias("to_t"))
+    sums = {"trades": F.lit(1), "notional": F.col("price"), "bought": F.when(F.col("is_buyer"), F.col("price"))}
+    x = aj.interval_sums(c, t, "from_t", "to_t", "t", ["symbol"], "id", sums, 21600)
+    return x.select("id", F.round("trades").cast("bigint").alias("trades"), F.round("notional", 6).alias("notional"), F.round(F.col("bought") / F.col("notional"), 6).alias("buy_ratio"))
 
 
 _LABELS = CANDLES + """, f AS (SELECT *, list(high) OVER w AS hs, list(low) OVER w AS ls, list(close) OVER w AS cs FROM candles WINDOW w AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING)),
@@ -305,9 +305,19 @@ def barrier_labels(spark: SparkSession, d: str) -> DataFrame:
     return rounded(x, 8)
 
 
-@query("w52_trailing_exit")
+@query("w52_trailing_exit", CANDLES.replace("WITH ", "WITH RECURSIVE ", 1) + """, b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY t) AS n, count(*) OVER (PARTITION BY symbol) AS total, CASE WHEN t // 3600 % 2 = 0 THEN 1 ELSE -1 END AS sg FROM candles),
+f AS (SELECT symbol, t, n, close, sg, 0 AS k, CAST(-1 AS DOUBLE) AS stop, CAST(NULL AS INT) AS even, CAST(NULL AS INT) AS ended FROM b WHERE n + 12 <= total
+UNION ALL SELECT symbol, t, n, close, sg, k + 1, CASE WHEN worst <= stop THEN stop ELSE raised END, CASE WHEN worst > stop AND even IS NULL AND best >= 1 THEN k + 1 ELSE even END, CASE WHEN worst <= stop OR raised <> stop AND worst <= raised THEN k + 1 END
+FROM (SELECT *, greatest(stop, CASE WHEN best >= 1 THEN 0.1 ELSE stop END, CASE WHEN best >= 0.8 THEN best - 0.8 ELSE stop END) AS raised FROM (SELECT f.*, CASE WHEN f.sg = 1 THEN (b.high - f.close) / (f.close * 0.2) ELSE (f.close - b.low) / (f.close * 0.2) END AS best, CASE WHEN f.sg = 1 THEN (b.low - f.close) / (f.close * 0.2) ELSE (f.close - b.high) / (f.close * 0.2) END AS worst
+FROM f JOIN b ON b.symbol = f.symbol AND b.n = f.n + f.k + 1 WHERE f.ended IS NULL AND f.k < 12))),
+g AS (SELECT symbol, n, arg_max(stop, k) AS stop, arg_max(even, k) FILTER (even IS NOT NULL) AS even, max(ended) AS ended FROM f GROUP BY 1, 2)
+SELECT b.symbol, b.t, round(CASE WHEN g.n IS NOT NULL THEN CASE WHEN ended IS NOT NULL THEN stop ELSE b.sg * (l.close - b.close) / (b.close * 0.2) END - 0.01 END, 6) AS exit_r, ended AS exit_bars, even AS breakeven_bars, CASE WHEN g.n IS NULL THEN NULL WHEN ended IS NOT NULL THEN 'dynamic_stop' ELSE 'horizon_exit' END AS exit_reason
+FROM b LEFT JOIN g ON g.symbol = b.symbol AND g.n = b.n LEFT JOIN b l ON l.symbol = b.symbol AND l.n = b.n + 12""")
 def trailing_exit(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(labels.trailing_exit(tables.candles(spark, d), 12, 0.2, 1.0, 0.1, 0.8).select("symbol", "t", "exit_r", "exit_bars", "exit_reason"))
+    """Longs and shorts by turns, resolved on the bars' own highs and lows."""
+    side = F.when(F.expr("t div 3600") % 2 == 0, "long").otherwise("short")
+    x = labels.trailing_exit(tables.candles(spark, d), 12, 0.2, 1.0, 0.1, 0.8, cost=0.002, side=side)
+    return rounded(x.select("symbol", "t", "exit_r", "exit_bars", "breakeven_bars", "exit_reason"))
 
 
 @query("w53_triple_barrier_path", f"""WITH {candles_sql(600, 'bars')}, e AS (SELECT symbol, id, t, CASE WHEN is_buyer THEN 'long' ELSE 'short' END AS side, price AS entry, CASE WHEN is_buyer THEN round(price * 0.5, 4) ELSE round(price * 1.5, 4) END AS stop, CASE WHEN is_buyer THEN round(price * 2, 4) ELSE round(price * 0.3, 4) END AS target FROM ticks),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tideframe.functions import scalars
-from tideframe.operators import metrics, ranking, schedules, stats
+from tideframe.operators import folds, metrics, ranking, schedules, stats
 from tideframe.plans.market import query, rounded
 from tideframe.sources import tables
 from tideframe.sources.tables import DAILY_SQL, TRADES_SQL
@@ -81,11 +81,13 @@ def drawdown_duration(spark: SparkSession, d: str) -> DataFrame:
     return x.select("book", F.round("max_drawdown", 6).alias("max_drawdown"), F.col("longest_run").cast("bigint").alias("longest_run"))
 
 
-@query("a26_monthly_rollup", _CURVE + """, m AS (SELECT book, strftime(to_timestamp(decision_t) AT TIME ZONE 'UTC', '%Y-%m') AS month, arg_min(equity, n) AS a, arg_max(equity, n) AS b, count(*) AS trades, avg(net_r) AS r FROM c GROUP BY 1, 2)
-SELECT book, month, trades, round(r, 8) AS mean_r, round(b / a - 1, 6) AS month_return FROM m""")
+@query("a26_monthly_rollup", f"""{T}, k AS (SELECT symbol || side AS book, strftime(to_timestamp(decision_t) AT TIME ZONE 'UTC', '%Y-%m') AS month, net_r AS r FROM trades),
+m AS (SELECT book, month, count(*) AS trades, avg(r) AS mean_r, avg(CAST(r > 0 AS DOUBLE)) AS win_rate, coalesce(sum(r) FILTER (r > 0), 0) / nullif(-sum(r) FILTER (r < 0), 0) AS pf, sum(ln(1 + 0.01 * r)) AS s FROM k GROUP BY 1, 2),
+e AS (SELECT *, 10000 * exp(sum(s) OVER (PARTITION BY book ORDER BY month)) AS last FROM m)
+SELECT book, month, trades, round(mean_r, 8) AS mean_r, round(win_rate, 6) AS win_rate, round(pf, 9) AS profit_factor, round(last - last / exp(s), 3) AS gain, round(exp(s) - 1, 6) AS month_return FROM e""")
 def monthly_rollup(spark: SparkSession, d: str) -> DataFrame:
-    x = metrics.monthly_rollup(_curve(spark, d), ["book"], order=("_n",))
-    return x.select("book", "month", "trades", F.round("mean_r", 8).alias("mean_r"), F.round("month_return", 6).alias("month_return"))
+    x = metrics.monthly_rollup(_curve(spark, d), ["book"], 10000.0, order=("_n",))
+    return x.select("book", "month", "trades", F.round("mean_r", 8).alias("mean_r"), F.round("win_rate", 6).alias("win_rate"), F.round("profit_factor", 9).alias("profit_factor"), F.round("gain", 3).alias("gain"), F.round("month_return", 6).alias("month_return"))
 
 
 @query("w62_concurrent_exposure", f"""{T}, e AS (SELECT symbol, decision_t AS t, 1 AS o, 1 AS d, size AS s FROM trades UNION ALL SELECT symbol, exit_t, CASE WHEN exit_t = decision_t THEN 2 ELSE 0 END, -1, -size FROM trades),
@@ -125,6 +127,36 @@ def admission(spark: SparkSession, d: str) -> DataFrame:
     return ranking.admitted(_book(spark, d), 200, 2).select("symbol", "id", "decision_t", "net_r")
 
 
+_EXPOSED = f"""{TRADES_SQL}, c AS (SELECT symbol || side || hour AS book, id, decision_t AS t, CASE WHEN id % 401 > 0 THEN exit_t END AS e, net_r AS r, CASE WHEN id % 7 = 0 THEN 'missing_model_estimate' WHEN confidence < 0.1 THEN 'probability_below_threshold' WHEN size / 25 < 0.4 THEN 'expected_r_below_threshold' WHEN notional > 60000 THEN 'stopout_risk_above_limit' END AS why FROM trades),
+o AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY t, id) AS n FROM c WHERE why IS NULL)"""
+_CHECKS = {"missing_model_estimate": F.col("probability").isNull(), "probability_below_threshold": F.col("probability") < 0.1, "expected_r_below_threshold": F.col("expected_r") < 0.4, "stopout_risk_above_limit": F.col("stop_out") > 60000}
+
+
+def _exposed(spark: SparkSession, d: str) -> DataFrame:
+    """Trades as candidates of books with estimates (one in seven has none); one in 401 never leaves."""
+    t = tables.trades(spark, d).withColumn("book", F.concat("symbol", "side", F.col("hour").cast("string"))).withColumn("risk", F.lit(0.01))
+    known = F.col("id") % 7 > 0
+    t = t.withColumn("exit_t", F.when(F.col("id") % 401 > 0, F.col("exit_t")))
+    return t.withColumn("probability", F.when(known, F.col("confidence"))).withColumn("expected_r", F.when(known, F.col("size") / 25)).withColumn("stop_out", F.when(known, F.col("notional")))
+
+
+@query("j28_exposure_release", f"""WITH RECURSIVE {_EXPOSED}, f AS (SELECT book, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, true AS ok, CAST([] AS BIGINT[]) AS open FROM (SELECT DISTINCT book FROM o)
+UNION ALL SELECT o.book, o.n, o.id, len(list_filter(f.open, lambda x: x > o.t)) * 0.01 + 0.01 <= 0.03, CASE WHEN len(list_filter(f.open, lambda x: x > o.t)) * 0.01 + 0.01 <= 0.03 THEN list_append(list_filter(f.open, lambda x: x > o.t), coalesce(o.e, 9000000000000)) ELSE list_filter(f.open, lambda x: x > o.t) END FROM f JOIN o ON o.book = f.book AND o.n = f.n + 1)
+SELECT book, id, CASE WHEN NOT ok THEN 'symbol_exposure_cap' END AS reason FROM f WHERE n > 0 UNION ALL SELECT book, id, why FROM c WHERE why IS NOT NULL""")
+def exposure_release(spark: SparkSession, d: str) -> DataFrame:
+    """Reason of each rejection, with open exposure released at exits."""
+    return folds.admission(_exposed(spark, d), ["book"], _CHECKS, max_exposure=0.03)
+
+
+@query("w58_admission_exposure", f"""WITH RECURSIVE {_EXPOSED}, f AS (SELECT book, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, '' AS why, CAST([] AS BIGINT[]) AS open, 0 AS taken, 0 AS wait FROM (SELECT DISTINCT book FROM o)
+UNION ALL SELECT book, n, id, why, CASE WHEN why IS NULL THEN list_append(held, coalesce(e, 9000000000000)) ELSE held END, taken + CASE WHEN why IS NULL THEN 1 ELSE 0 END, CASE WHEN why IS NULL THEN CASE WHEN r < 0 THEN 2 ELSE 0 END WHEN why = 'cooldown' THEN wait - 1 ELSE wait END
+FROM (SELECT o.book, o.n, o.id, o.e, o.r, f.taken, f.wait, list_filter(f.open, lambda x: x > o.t) AS held, CASE WHEN f.taken >= 60 THEN 'trade_cap' WHEN f.wait > 0 THEN 'cooldown' WHEN len(list_filter(f.open, lambda x: x > o.t)) * 0.01 + 0.01 > 0.02 THEN 'symbol_exposure_cap' END AS why FROM f JOIN o ON o.book = f.book AND o.n = f.n + 1))
+SELECT book, id, why AS reason FROM f WHERE n > 0 UNION ALL SELECT book, id, why FROM c WHERE why IS NOT NULL""")
+def admission_exposure(spark: SparkSession, d: str) -> DataFrame:
+    """Cap of accepted trades, cooldown after a loss and exposure cap at once."""
+    return folds.admission(_exposed(spark, d), ["book"], _CHECKS, max_exposure=0.02, cap=60, cooldown=2)
+
+
 @query("w59_non_overlap", f"""WITH RECURSIVE {_BOOK}, f AS (SELECT symbol, arg_min(id, (s, id)) AS id, arg_min(e, (s, id)) AS until FROM b GROUP BY symbol UNION ALL SELECT f.symbol, arg_min(b.id, (b.s, b.id)), arg_min(b.e, (b.s, b.id)) FROM f JOIN b ON b.symbol = f.symbol AND b.s >= f.until GROUP BY f.symbol)
 SELECT symbol, id FROM f""")
 def non_overlap(spark: SparkSession, d: str) -> DataFrame:

@@ -54,11 +54,17 @@ _DAILY_EQUITY = _CURVE + """, l AS (SELECT book, decision_t // 86400 AS day, arg
 e AS (SELECT g.book, g.day, last_value(q IGNORE NULLS) OVER (PARTITION BY g.book ORDER BY g.day) AS equity FROM g LEFT JOIN l ON l.book = g.book AND l.day = g.day)"""
 
 
-@query("a29_risk_adjusted", _DAILY_EQUITY + """, r AS (SELECT book, day, equity / lag(equity) OVER (PARTITION BY book ORDER BY day) - 1 AS r, equity FROM e), m AS (SELECT book, avg(r) AS m, stddev_pop(r) AS s, sqrt(avg(CASE WHEN r IS NOT NULL THEN pow(least(r, 0), 2) END)) AS dn, max(day) - min(day) AS span, arg_max(equity, day) / arg_min(equity, day) AS growth FROM r GROUP BY 1)
-SELECT book, round(m / nullif(s, 0) * sqrt(365), 6) AS sharpe, round(m / nullif(dn, 0) * sqrt(365), 6) AS sortino, round(pow(growth, 365.0 / span) - 1, 6) AS annual_return FROM m""")
+@query("a29_risk_adjusted", _DAILY_EQUITY + """, r AS (SELECT book, day, equity / lag(equity) OVER (PARTITION BY book ORDER BY day) - 1 AS r, equity FROM e), m AS (SELECT book, avg(r) AS m, stddev_pop(r) AS s, stddev_pop(r) FILTER (round(r, 12) < 0) AS dn, max(day) - min(day) AS span, arg_max(equity, day) / arg_min(equity, day) AS growth FROM r GROUP BY 1),
+w AS (SELECT book, max((peak - equity) / peak) AS dd FROM dd GROUP BY 1), h AS (SELECT book, sum(exit_t - decision_t) / (greatest(max(exit_t) - min(decision_t), 86400) * count(DISTINCT hour)) AS x, sum(0.0002 * size) AS c FROM k GROUP BY 1)
+SELECT book, round(coalesce(m / nullif(s, 0) * sqrt(365), 0), 6) AS sharpe, round(coalesce(m / nullif(dn, 0) * sqrt(365), 0), 6) AS sortino, round(pow(growth, 365.0 / span) - 1, 6) AS annual_return, round(dd, 6) AS max_drawdown, round(x, 6) AS exposure, round(c, 6) AS cost_drag FROM m JOIN w USING (book) JOIN h USING (book)""")
 def risk_adjusted(spark: SparkSession, d: str) -> DataFrame:
-    daily = pf.daily_equity(_curve(spark, d), ["book"], "decision_t", F.col("_n"))
-    return rounded(metrics.risk_adjusted(daily, ["book"]).select("book", "sharpe", "sortino", "annual_return"))
+    """Books as scenarios, hours of the day as pairs, costs by size."""
+    curve = _curve(spark, d)
+    daily = pf.daily_equity(curve, ["book"], "decision_t", F.col("_n"))
+    worst = curve.groupBy("book").agg(F.max("drawdown").alias("max_drawdown"))
+    t = tables.trades(spark, d).withColumn("book", F.concat("symbol", "side"))
+    load = metrics.trade_load(t, ["book"], "hour", "decision_t", "exit_t", 0.0002 * F.col("size"))
+    return rounded(metrics.risk_adjusted(daily, ["book"]).join(worst, "book").join(load, "book"))
 
 
 @query("a28_monthly_returns", _DAILY_EQUITY + """ SELECT book, strftime(make_timestamp(day * 86400000000), '%Y-%m') AS month, round(arg_max(equity, day) / arg_min(equity, day) - 1, 6) AS month_return FROM e GROUP BY 1, 2""")

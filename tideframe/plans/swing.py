@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tideframe.operators import features, models, swing
+from tideframe.operators import features, folds, models, swing
 from tideframe.operators.performance import basket_index
 from tideframe.operators.scan import ema_weights
 from tideframe.plans.market import CANDLES, S, query, rounded
@@ -93,22 +93,39 @@ def lookahead_reach(spark: SparkSession, d: str) -> DataFrame:
     return tables.candles(spark, d).select("symbol", "t", swing.lookahead_reach(S, 2, 12, 0.5).alias("reached"))
 
 
-@query("w46_swing_exit", _FADE + """, e AS (SELECT symbol, n AS entry_n, close AS entry FROM j WHERE rsi < 50), x AS (SELECT e.*, j.n, j.high, j.low, j.close, j.fading, j.n - entry_n >= 2 AND j.close >= entry * 1.2 AND j.fading AS hit FROM e JOIN j ON j.symbol = e.symbol AND j.n BETWEEN e.entry_n + 1 AND e.entry_n + 24),
-h AS (SELECT *, min(CASE WHEN hit THEN n END) OVER w AS hn, max(n) OVER w AS ln FROM x WINDOW w AS (PARTITION BY symbol, entry_n)), k AS (SELECT * FROM h WHERE n <= coalesce(hn, ln))
-SELECT symbol, entry_n, max(n) AS exit_n, CASE WHEN max(hn) IS NOT NULL THEN 'target' WHEN max(ln) = entry_n + 24 THEN 'time' ELSE 'open' END AS reason, round(arg_max(close, n) / any_value(entry) - 1, 6) AS return_share, round(max(high) / any_value(entry) - 1, 6) AS best, round(min(low) / any_value(entry) - 1, 6) AS worst FROM k GROUP BY symbol, entry_n""")
+_ENTRIES = _FADE + """, e AS (SELECT symbol, n AS entry_n, close AS entry FROM j WHERE rsi < 50)"""
+_MOVES = "round(coalesce(greatest(0, max(high) FILTER (n > entry_n) / any_value(entry) - 1), 0), 6) AS best, round(coalesce(least(0, min(low) FILTER (n > entry_n) / any_value(entry) - 1), 0), 6) AS worst"
+
+
+@query("w46_swing_exit", _ENTRIES + f""", x AS (SELECT e.*, j.n, j.high, j.low, j.close, j.n - entry_n >= 2 AND j.close / entry - 1 >= 0.2 AND j.fading AS hit FROM e JOIN j ON j.symbol = e.symbol AND j.n BETWEEN e.entry_n AND e.entry_n + 24),
+h AS (SELECT *, min(CASE WHEN hit THEN n END) OVER (PARTITION BY symbol, entry_n) AS hn FROM x), k AS (SELECT * FROM h WHERE hn IS NULL OR n <= hn)
+SELECT symbol, entry_n, max(n) AS exit_n, CASE WHEN max(hn) IS NOT NULL THEN 'profit_fade' ELSE 'time_stop' END AS reason, round(arg_max(close, n) / any_value(entry) - 1, 6) AS return_share, {_MOVES} FROM k GROUP BY symbol, entry_n""")
 def swing_exit(spark: SparkSession, d: str) -> DataFrame:
     x = features.own_rows(_faded(spark, d))
     entries = x.where("rsi < 50").select("symbol", F.col("_row").alias("entry_n"), F.col("close").alias("entry"))
     return rounded(swing.swing_exit(entries, x, "_row", 0.2, 2, 24).select("symbol", "entry_n", "exit_n", "reason", "return_share", "best", "worst"))
 
 
+@query("w46_profit_exit", _ENTRIES + f""", x AS (SELECT e.*, j.n, j.high, j.low, j.close, CASE WHEN j.n - entry_n >= 2 AND j.close / entry - 1 >= 0.6 AND j.fading THEN 'profit_fade' WHEN j.n - entry_n >= 24 AND j.close / entry - 1 >= 0.05 AND j.fading THEN 'profitable_time_fade' END AS hit FROM e JOIN j ON j.symbol = e.symbol AND j.n >= e.entry_n),
+h AS (SELECT *, min(CASE WHEN hit IS NOT NULL THEN n END) OVER (PARTITION BY symbol, entry_n) AS hn FROM x), k AS (SELECT * FROM h WHERE hn IS NULL OR n <= hn)
+SELECT symbol, entry_n, max(n) AS exit_n, coalesce(arg_max(hit, n) FILTER (n = hn), 'open_unrealized') AS reason, CASE WHEN max(hn) IS NULL THEN 'open' ELSE 'closed' END AS status, round(arg_max(close, n) / any_value(entry) - 1, 6) AS return_share, {_MOVES} FROM k GROUP BY symbol, entry_n""")
+def profit_exit(spark: SparkSession, d: str) -> DataFrame:
+    """The same entries, sold with a profit only."""
+    x = features.own_rows(_faded(spark, d)).withColumn("enters", F.coalesce(F.col("rsi") < 50, F.lit(False)))
+    out = folds.profit_exits(x, 0.6, 0.05, 2, 24, number="_row")
+    return rounded(out.select("symbol", "entry_n", "exit_n", "reason", "status", "return_share", "best", "worst"))
+
+
 @query("w47_market_guard", CANDLES + """, d AS (SELECT symbol, t // 86400 AS day, arg_max(close, candles.t) AS close FROM candles GROUP BY 1, 2), s AS (SELECT symbol, arg_min(close, day) AS b FROM d GROUP BY 1), i AS (SELECT day, avg(close / nullif(b, 0)) AS v FROM d JOIN s USING (symbol) GROUP BY 1),
-g AS (SELECT day, v / nullif(min(v) OVER (ORDER BY day ROWS BETWEEN 10 PRECEDING AND CURRENT ROW), 0) - 1 AS bounce, v / nullif(lag(v, 3) OVER (ORDER BY day), 0) - 1 AS r FROM i)
-SELECT day, round(bounce, 6) AS bounce, round(r, 6) AS recent_return, coalesce(bounce >= 0.1 AND r >= 0, false) AS open FROM g""")
+n AS (SELECT *, row_number() OVER (ORDER BY day) - 1 AS n FROM i), u AS (SELECT a.n, avg(CAST(x.close > y.close AS DOUBLE)) AS rising FROM n a JOIN n p ON p.n = a.n - 3 JOIN d x ON x.day = a.day JOIN d y ON y.day = p.day AND y.symbol = x.symbol GROUP BY 1),
+g AS (SELECT n.*, CASE WHEN n.n >= 10 THEN v / nullif(min(v) OVER (ORDER BY n.n ROWS BETWEEN 10 PRECEDING AND CURRENT ROW), 0) - 1 END AS bounce, v / nullif(lag(v, 3) OVER (ORDER BY n.n), 0) - 1 AS r, rising, v / nullif(lag(v, 7) OVER (ORDER BY n.n), 0) - 1 AS tr FROM n LEFT JOIN u ON u.n = n.n)
+SELECT day, round(bounce, 6) AS bounce, round(r, 6) AS recent_return, round(rising, 6) AS rising, round(tr, 6) AS trend_return, coalesce(n >= 10 AND bounce >= 0.1 AND r >= 0 AND rising >= 0.4 AND tr >= -0.5, false) AS open FROM g""")
 def market_guard(spark: SparkSession, d: str) -> DataFrame:
     """Over days, one row a day: the index is a small table."""
     days = tables.candles(spark, d).groupBy("symbol", F.expr("t div 86400").alias("day")).agg(F.max_by("close", "t").alias("close"))
-    return rounded(swing.market_guard(basket_index(days, "symbol", "day", "close").select("day", "index"), "day", "index", 10, 3, 0.1, 0.0).drop("index"))
+    closes = days.groupBy("day").agg(F.map_from_entries(F.collect_list(F.struct("symbol", "close"))).alias("closes"))
+    index = basket_index(days, "symbol", "day", "close").select("day", "index").join(closes, "day")
+    return rounded(swing.market_guard(index, "day", "index", 10, 0.1, 3, 0.0, 0.4, 7, -0.5, "closes").drop("index", "closes"))
 
 
 # Models --------------------------------------------------------------------------------------------------------------
