@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tideframe.llm.common import documents, text_of, unused
 
-SLOTS = 32
+SLOTS = 64
 #: Bits of a hash that choose r and c; the rest are b.
 LEVEL_BITS = 13
 LEVELS = 1 << LEVEL_BITS
