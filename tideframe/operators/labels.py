@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tideframe.functions.scalars import in_r, ratio, stop_and_target
-from tideframe.operators.asof import interval_join
+from tideframe.operators.asof import asof, interval_join
+from tideframe.operators.chunks import numbered
 
 
 def with_future(bars: DataFrame, horizon: int, by: tuple[str, ...] = ("symbol",), order: str = "t") -> DataFrame:
@@ -62,24 +63,20 @@ def barrier_labels(bars: DataFrame, horizon: int, stop: float, target: float, co
     )
 
 
-def trailing_exit(bars: DataFrame, horizon: int, stop: float, activate_r: float | None, lock_r: float, trail_r: float | None, cost: float = 0.0, side: Column | None = None, tie: str = "stop_first", by: tuple[str, ...] = ("symbol",), order: str = "t") -> DataFrame:
-    """Entries at the close with a stop that is moved up: exit_r (after costs), exit_bars, breakeven_bars, exit_reason.
-
-    The risk is `stop` of the entry price, costs are a share of the price. A bar that reaches the stop ends the trade there
-    (dynamic_stop). Else one that earns activate_r raises the stop to lock_r (breakeven_bars is the first), and one that
-    earns trail_r raises it to trail_r behind its best price; a stop never goes back. A bar that raises the stop and
-    reaches it ends the trade there with tie stop_first, else the new stop holds from the next bar on. Without a stop the
-    last close counts (horizon_exit, exit_bars null). side: long (default) or short. With fewer than `horizon` bars all
-    are null.
+def raised_stop(path: str | Column, entry: Column, risk: Column, long: Column, activate_r: float | None, lock_r: float, trail_r: float | None, tie: str = "stop_first") -> Column:
+    """Fold of a path (high, low) with a stop that is moved up: struct of n (bars seen), stop (in R, from -1), even (first
+    bar that earns activate_r) and out (bar that ends the trade, or null).
+
+    A bar that reaches the stop ends the trade there. Else one that earns activate_r raises the stop to lock_r, and one
+    that earns trail_r raises it to trail_r behind its best price; a stop never goes back. A bar that raises the stop
+    and reaches it ends the trade there with tie stop_first, else the new stop holds from the next bar on.
     """
-    way = F.lit("long") if side is None else side
-    x = with_future(bars, horizon, by, order).withColumn("_risk", F.col("close") * stop).withColumn("_long", way == "long")
     nothing = F.lit(None).cast("int")
     zero = F.struct(F.lit(0).alias("n"), F.lit(-1.0).alias("stop"), nothing.alias("even"), nothing.alias("out"))
 
     def step(a: Column, b: Column) -> Column:
-        up, down = ((b[c] - F.col("close")) / F.col("_risk") for c in ("high", "low"))
-        best, worst = F.when(F.col("_long"), up).otherwise(-down), F.when(F.col("_long"), down).otherwise(-up)
+        up, down = ((b[c] - entry) / risk for c in ("high", "low"))
+        best, worst = F.when(long, up).otherwise(-down), F.when(long, down).otherwise(-up)
         n, raised, even = a["n"] + 1, a["stop"], a["even"]
         if activate_r is not None:
             raised = F.when(best >= activate_r, F.greatest(raised, F.lit(lock_r))).otherwise(raised)
@@ -91,13 +88,83 @@ def trailing_exit(bars: DataFrame, horizon: int, stop: float, activate_r: float
         on = F.struct(n.alias("n"), raised.alias("stop"), even.alias("even"), again.alias("out"))
         return F.when(a["out"].isNotNull(), a).when(worst <= a["stop"], stopped).otherwise(on)
 
-    x = x.withColumn("_e", F.aggregate("future", zero, step))
+    return F.aggregate(path, zero, step)
+
+
+def trailing_exit(bars: DataFrame, horizon: int, stop: float, activate_r: float | None, lock_r: float, trail_r: float | None, cost: float = 0.0, side: Column | None = None, tie: str = "stop_first", by: tuple[str, ...] = ("symbol",), order: str = "t") -> DataFrame:
+    """Entries at the close with a raised_stop(): exit_r (after costs), exit_bars, breakeven_bars, exit_reason.
+
+    The risk is `stop` of the entry price, costs are a share of the price. dynamic_stop, or the last close (horizon_exit,
+    exit_bars null). side: long (default) or short. With fewer than `horizon` bars all are null.
+    """
+    way = F.lit("long") if side is None else side
+    x = with_future(bars, horizon, by, order).withColumn("_risk", F.col("close") * stop).withColumn("_long", way == "long")
+    x = x.withColumn("_e", raised_stop("future", F.col("close"), F.col("_risk"), F.col("_long"), activate_r, lock_r, trail_r, tie))
     last = (F.element_at("future", -1)["close"] - F.col("close")) / F.col("_risk")
     gross = F.when(F.col("_e.out").isNotNull(), F.col("_e.stop")).otherwise(F.when(F.col("_long"), last).otherwise(-last))
     only = lambda c: F.when(F.size("future") == horizon, c)
     return x.select(*bars.columns, only(gross - cost / stop).alias("exit_r"), only(F.col("_e.out")).alias("exit_bars"), only(F.col("_e.even")).alias("breakeven_bars"), only(F.when(F.col("_e.out").isNotNull(), "dynamic_stop").otherwise("horizon_exit")).alias("exit_reason"))
 
 
+#: Exits that open trades are also held against: activation and lock of the break-even stop, trailing distance, in R.
+POLICIES = {"breakeven_after_1r": (1.0, 0.0, None), "breakeven_lock_0_1r_after_1r": (1.0, 0.1, None), "breakeven_lock_0_1r_trail_1_5r_after_1r": (1.0, 0.1, 1.5)}
+
+
+def resolve_trades(trades: DataFrame, bars: DataFrame, horizon: int, stop: float, cost: float, tie: str = "stop_first", milestones: tuple[float, ...] = (0.5, 1.0, 1.5, 2.0), policies: dict[str, tuple[float, float, float | None]] | None = None, by: tuple[str, ...] = ("symbol",), time: str = "t", bar_time: str = "close_t") -> DataFrame:
+    """Open trades (by, id, t, side, entry, stop_price, target_price) resolved on the `horizon` bars that close after t.
+
+    Adds status, exit_reason, exit_t, exit_price, bars_held, gross_r, net_r, mfe_r, mae_r, reached (array, one flag a
+    milestone) and policies (map name -> exit_reason, bars_held, gross_r, net_r, breakeven_bars). The first bar that
+    touches a barrier decides (target, stop; tie decides when both are touched); else the last close of a full path
+    (horizon_exit). A trade that has neither stays open, with nulls. Excursions, flags and policies are those of the whole
+    path. R is the return over `stop`; a short's return is entry / exit - 1. Bars are numbered in chunks of time and paths
+    joined by number, so that a path is one array of `horizon` bars at most.
+    """
+    rows = numbered(bars, list(by), bar_time).select(*by, F.col(bar_time).alias("_bt"), F.col("_row").alias("_n"), "high", "low", "close")
+    key = list(dict.fromkeys([*by, *trades.columns]))
+    x = asof(trades, rows.select(*by, "_bt", "_n"), time, "_bt", list(by), ["_n"]).withColumn("_n", F.coalesce("_n", F.lit(-1))).drop("_bt")
+    spans = x.withColumn("_from", F.col("_n") + 1).withColumn("_until", F.col("_n") + horizon).drop("_n")
+    path = interval_join(spans, rows, "_from", "_until", "_n", list(by), horizon).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("_n", F.col("_bt").alias("t"), "high", "low", "close"))).alias("_path"))
+    x = trades.join(path, [trades[c].eqNullSafe(path[c]) for c in key], "left").select(*(trades[c] for c in key), "_path")
+    entry, long = F.col("entry"), F.col("side") == "long"
+    first = lambda up, down: F.nullif(F.array_position(F.transform("_path", lambda b: F.when(long, up(b)).otherwise(down(b))), True), F.lit(0))
+    x = x.withColumn("_s", first(lambda b: b["low"] <= F.col("stop_price"), lambda b: b["high"] >= F.col("stop_price"))).withColumn("_t", first(lambda b: b["high"] >= F.col("target_price"), lambda b: b["low"] <= F.col("target_price")))
+    s, t = F.col("_s"), F.col("_t")
+    wins = t.isNotNull() & (s.isNull() | (t <= s if tie == "target_first" else t < s))
+    reason = F.when(wins, "target").when(s.isNotNull(), "stop").when(F.size("_path") == horizon, "horizon_exit")
+    x = x.withColumn("exit_reason", reason)
+    closed = F.col("exit_reason").isNotNull()
+    held = F.when(wins, t).when(s.isNotNull(), s).otherwise(F.lit(horizon)).cast("int")
+    price = F.when(wins, F.col("target_price")).when(s.isNotNull(), F.col("stop_price")).otherwise(F.element_at("_path", -1)["close"])
+    gross = lambda p: F.when(long, p / entry - 1).otherwise(entry / p - 1) / stop
+    x = x.withColumn("bars_held", F.when(closed, held)).withColumn("exit_price", F.when(closed, price))
+    x = x.withColumn("_risk", entry * stop)
+    up, down = (in_r(c, entry, F.lit("long"), F.col("_risk")) for c in (F.array_max("_path.high"), F.array_min("_path.low")))
+    x = x.withColumn("mfe_r", F.when(closed, F.when(long, up).otherwise(-down))).withColumn("mae_r", F.when(closed, F.when(long, down).otherwise(-up)))
+    outcomes = []
+    for name, (activate, lock, trail) in (POLICIES if policies is None else policies).items():
+        x = x.withColumn(f"_p_{name}", raised_stop("_path", entry, F.col("_risk"), long, activate, lock, trail))
+        e = F.col(f"_p_{name}")
+        out = e["out"].isNotNull()
+        at = F.when(out, F.when(long, entry + e["stop"] * F.col("_risk")).otherwise(entry - e["stop"] * F.col("_risk"))).otherwise(F.element_at("_path", -1)["close"])
+        outcomes += [F.lit(name), F.struct(F.when(out, "dynamic_stop").otherwise("horizon_exit").alias("exit_reason"), F.coalesce(e["out"], F.size("_path")).alias("bars_held"), gross(at).alias("gross_r"), (gross(at) - cost / stop).alias("net_r"), e["even"].alias("breakeven_bars"))]
+    reached = F.array(*(F.col("mfe_r") >= m for m in milestones))
+    return x.select(
+        *key,
+        F.when(closed, "closed").otherwise("open").alias("status"),
+        "exit_reason",
+        F.when(closed, F.get("_path", F.col("bars_held") - 1)["t"]).alias("exit_t"),
+        "exit_price",
+        "bars_held",
+        gross(F.col("exit_price")).alias("gross_r"),
+        (gross(F.col("exit_price")) - cost / stop).alias("net_r"),
+        "mfe_r",
+        "mae_r",
+        F.when(closed, reached).alias("reached"),
+        F.when(closed, F.create_map(*outcomes)).alias("policies"),
+    )
+
+
 def first_touch(entries: DataFrame, path: DataFrame, horizon_s: int, bucket_s: int, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """Entries (id, t, side, entry, stop, target) resolved on path bars (t, high, low, close) from t to t + horizon_s.
 

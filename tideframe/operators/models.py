@@ -43,13 +43,6 @@ def scored(df: DataFrame, weights: Mapping[str, float]) -> DataFrame:
     return df.withColumn("expected_r", score).withColumn("probability", sigmoid(F.col("expected_r"))).withColumn("missing", missing)
 
 
-def difference_interval(df: DataFrame, by: Sequence[str], first: Column, r: str, z: float = 1.96) -> DataFrame:
-    """Mean of the rows where `first` holds less that of the others, with half-widths added in quadrature."""
-    a, b = F.when(first, F.col(r)), F.when(~first, F.col(r))
-    g = df.groupBy(*by).agg(*(f(x).alias(f"_{n}{k}") for k, x in (("a", a), ("b", b)) for n, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))))
-    return g.select(*by, (F.col("_ma") - F.col("_mb")).alias("difference"), (z * F.sqrt(F.col("_va") / F.col("_na") + F.col("_vb") / F.col("_nb"))).alias("half_width"))
-
-
 def random_entries(df: DataFrame, key: str, r: str, seeds: int, below: str) -> DataFrame:
     """Per seed: entries and mean of the rows whose digest of key and seed is below a hexadecimal bound."""
     x = df.select(r, F.explode(F.filter(F.transform(F.sequence(F.lit(0), F.lit(seeds - 1)), lambda s: F.struct(s.cast("long").alias("seed"), F.md5(F.concat_ws(":", F.col(key).cast("string"), s.cast("string"))).alias("h"))), lambda x: x["h"] < below)).alias("s"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideframe.operators import bars, features, labels
-from tideframe.plans.market import _CORE, CANDLES, H4, N, query
+from tideframe.plans.market import _CORE, CANDLES, H4, N, query, rounded
 from tideframe.sources import tables
 from tideframe.sources.tables import candles_sql
 
@@ -131,6 +131,47 @@ def open_trades(spark: SparkSession, d: str) -> DataFrame:
     return labels.resolved(tables.candles(spark, d), 6, 0.2, 0.4).select("symbol", "t", "state")
 
 
+_RESOLVED = f"""WITH RECURSIVE {candles_sql(600, 'bars')}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY close_t) AS n FROM bars),
+e AS (SELECT symbol, id, t, CASE WHEN is_buyer THEN 1 ELSE -1 END AS g, price AS entry, price * (1 - 0.3 * CASE WHEN is_buyer THEN 1 ELSE -1 END) AS sp, price * (1 + 0.6 * CASE WHEN is_buyer THEN 1 ELSE -1 END) AS tp FROM ticks),
+x AS (SELECT e.*, b.close_t, b.high, b.low, b.close, row_number() OVER (PARTITION BY e.symbol, e.id ORDER BY b.close_t) AS k FROM e JOIN bars b ON b.symbol = e.symbol AND b.close_t > e.t AND b.close_t <= e.t + 172800 QUALIFY k <= 8),
+u AS (SELECT *, CASE WHEN g = 1 THEN (high - entry) / (entry * 0.3) ELSE (entry - low) / (entry * 0.3) END AS best, CASE WHEN g = 1 THEN (low - entry) / (entry * 0.3) ELSE (entry - high) / (entry * 0.3) END AS worst, CASE WHEN g = 1 THEN low <= sp ELSE high >= sp END AS s, CASE WHEN g = 1 THEN high >= tp ELSE low <= tp END AS h FROM x),
+a AS (SELECT symbol, id, any_value(g) AS g, any_value(entry) AS entry, any_value(sp) AS sp, any_value(tp) AS tp, max(k) AS rows, min(k) FILTER (s) AS ks, min(k) FILTER (h) AS kh, max(best) AS mfe, min(worst) AS mae, arg_max(close, k) AS last FROM u GROUP BY 1, 2),
+c AS (SELECT *, CASE WHEN kh IS NOT NULL AND (ks IS NULL OR kh < ks) THEN 'target' WHEN ks IS NOT NULL THEN 'stop' WHEN rows = 8 THEN 'horizon_exit' END AS why FROM a),
+z AS (SELECT *, CASE why WHEN 'target' THEN tp WHEN 'stop' THEN sp WHEN 'horizon_exit' THEN last END AS px, CASE why WHEN 'target' THEN kh WHEN 'stop' THEN ks WHEN 'horizon_exit' THEN 8 END AS held FROM c)"""
+
+
+@query("w54_trade_resolution", _RESOLVED + """ SELECT e.symbol, e.id, CASE WHEN why IS NULL THEN 'open' ELSE 'closed' END AS status, why AS exit_reason, CAST(held AS INT) AS bars_held, x.close_t AS exit_t, round(px, 6) AS exit_price, round(CASE WHEN z.g = 1 THEN px / z.entry - 1 ELSE z.entry / px - 1 END / 0.3, 6) AS gross_r, round(CASE WHEN z.g = 1 THEN px / z.entry - 1 ELSE z.entry / px - 1 END / 0.3 - 0.002 / 0.3, 6) AS net_r,
+CASE WHEN why IS NOT NULL THEN round(mfe, 6) END AS mfe_r, CASE WHEN why IS NOT NULL THEN round(mae, 6) END AS mae_r, CASE WHEN why IS NOT NULL THEN CAST(mfe >= 0.5 AS INT) + CAST(mfe >= 1 AS INT) + CAST(mfe >= 1.5 AS INT) + CAST(mfe >= 2 AS INT) END AS milestones
+FROM e LEFT JOIN z ON z.symbol = e.symbol AND z.id = e.id LEFT JOIN x ON x.symbol = e.symbol AND x.id = e.id AND x.k = z.held""")
+def trade_resolution(spark: SparkSession, d: str) -> DataFrame:
+    """All ticks as open trades, resolved on the eight ten-minute bars that close next."""
+    x = _resolved(spark, d)
+    return rounded(x.select("symbol", "id", "status", "exit_reason", "bars_held", "exit_t", "exit_price", "gross_r", "net_r", "mfe_r", "mae_r", F.size(F.filter("reached", lambda f: f)).alias("milestones")))
+
+
+@query("w54_exit_policies", _RESOLVED + """, p AS (SELECT * FROM (VALUES ('breakeven_after_1r', 0.0, 1e12), ('breakeven_lock_0_1r_after_1r', 0.1, 1e12), ('breakeven_lock_0_1r_trail_1_5r_after_1r', 0.1, CAST(1.5 AS DOUBLE))) v(policy, lock_r, trail)),
+f AS (SELECT z.symbol, z.id, policy, lock_r, trail, CAST(0 AS BIGINT) AS k, CAST(-1 AS DOUBLE) AS stop, CAST(NULL AS BIGINT) AS even, CAST(NULL AS BIGINT) AS ended FROM z, p WHERE why IS NOT NULL
+UNION ALL SELECT symbol, id, policy, lock_r, trail, k + 1, CASE WHEN worst <= stop THEN stop ELSE raised END, CASE WHEN worst > stop AND even IS NULL AND best >= 1 THEN k + 1 ELSE even END, CASE WHEN worst <= stop OR raised <> stop AND worst <= raised THEN k + 1 END
+FROM (SELECT f.*, u.best, u.worst, greatest(f.stop, CASE WHEN u.best >= 1 THEN lock_r ELSE f.stop END, CASE WHEN u.best >= trail THEN u.best - trail ELSE f.stop END) AS raised FROM f JOIN u ON u.symbol = f.symbol AND u.id = f.id AND u.k = f.k + 1 WHERE f.ended IS NULL)),
+q AS (SELECT symbol, id, policy, arg_max(stop, k) AS stop, max(even) AS even, max(ended) AS ended, max(k) AS seen FROM f GROUP BY 1, 2, 3),
+w AS (SELECT q.*, z.g, z.entry, CASE WHEN ended IS NOT NULL THEN z.entry + z.g * stop * (z.entry * 0.3) ELSE z.last END AS px FROM q JOIN z ON z.symbol = q.symbol AND z.id = q.id)
+SELECT symbol, id, policy, CASE WHEN ended IS NOT NULL THEN 'dynamic_stop' ELSE 'horizon_exit' END AS exit_reason, CAST(seen AS INT) AS bars_held, CAST(even AS INT) AS breakeven_bars, round(CASE WHEN g = 1 THEN px / entry - 1 ELSE entry / px - 1 END / 0.3 - 0.002 / 0.3, 6) AS net_r FROM w""")
+def exit_policies(spark: SparkSession, d: str) -> DataFrame:
+    """What each closed trade would have brought with other exits."""
+    x = _resolved(spark, d).where("policies IS NOT NULL").select("symbol", "id", F.explode("policies").alias("policy", "_p"))
+    return rounded(x.select("symbol", "id", "policy", "_p.exit_reason", "_p.bars_held", "_p.breakeven_bars", "_p.net_r"))
+
+
+def _resolved(spark: SparkSession, d: str) -> DataFrame:
+    from tideframe.functions.scalars import stop_and_target
+
+    side = F.when(F.col("is_buyer"), "long").otherwise("short")
+    e = tables.ticks(spark, d).select("symbol", "id", "t", side.alias("side"), F.col("price").alias("entry"))
+    stop, target = stop_and_target(F.col("entry"), F.col("side"), 0.3, 0.6)
+    e = e.withColumn("stop_price", stop).withColumn("target_price", target)
+    return labels.resolve_trades(e, tables.candles(spark, d, 600), 8, 0.3, 0.002)
+
+
 @query("j16_forward_path", f"""WITH {candles_sql(600, 'bars')}, e AS (SELECT symbol, id, t FROM ticks) SELECT e.symbol, e.id, count(*) AS path_rows, max(b.high) AS highest, min(b.low) AS lowest FROM e JOIN bars b ON b.symbol = e.symbol AND b.t BETWEEN e.t AND e.t + 14400 GROUP BY 1, 2 HAVING count(*) >= 2""")
 def forward_path(spark: SparkSession, d: str) -> DataFrame:
     from tideframe.operators.asof import interval_join

@@ -282,15 +282,72 @@ def rank_stability(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stats.spearman(tables.trades(spark, d), "size", "notional", ["symbol"]))
 
 
-@query("m12_block_bootstrap", f"""{T}, v AS (SELECT decision_t, avg(net_r) AS r, row_number() OVER (ORDER BY decision_t) - 1 AS i FROM trades GROUP BY 1), n AS (SELECT count(*) AS n, CAST(ceil(count(*) / 30.0) AS BIGINT) AS b FROM v),
-k AS (SELECT id // b AS it, id % b AS j, ('0x' || substr(md5(id || ':7'), 1, 8))::BIGINT % (n - 29) AS s, n, b FROM n, range(500 * (SELECT b FROM n)) r(id)),
-m AS (SELECT k.it, sum(v.r) / max(n) AS m FROM k JOIN v ON v.i >= s AND v.i < s + CASE WHEN j = b - 1 THEN n - (b - 1) * 30 ELSE 30 END GROUP BY 1)
-SELECT (SELECT round(avg(r), 6) FROM v) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m""")
+def _resampled(keys: str, source: str, seed: str, block: int = 30, iterations: int = 500) -> str:
+    """SQL of block_bootstrap(): v(keys, o, r) -> b(keys, n, mean, low, high, naive_t)."""
+    on = lambda x, y: " AND ".join(f"{x}.{c} = {y}.{c}" for c in keys.split(", "))
+    return f"""v AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY o) - 1 AS i FROM ({source})),
+n AS (SELECT {keys}, count(*) AS n, CAST(ceil(count(*) / {block}.0) AS BIGINT) AS b, avg(r) AS mean, stddev_samp(r) AS d, min(r) AS lo, max(r) AS hi FROM v GROUP BY ALL),
+k AS (SELECT {keys}, id // b AS it, id % b AS j, ('0x' || substr(md5(id || ':' || {seed}), 1, 8))::BIGINT % (n - {block - 1}) AS s, n, b FROM (SELECT *, unnest(range(0, {iterations} * b)) AS id FROM n WHERE n > {block})),
+c AS (SELECT {keys}, i + 1 AS i, sum(r) OVER (PARTITION BY {keys} ORDER BY i) AS p FROM v UNION ALL SELECT {keys}, 0, 0 FROM n),
+m AS (SELECT {", ".join("k." + c for c in keys.split(", "))}, k.it, sum(z.p - a.p) / max(n) AS m FROM k JOIN c a ON {on("a", "k")} AND a.i = s JOIN c z ON {on("z", "k")} AND z.i = s + CASE WHEN j = b - 1 THEN n - (b - 1) * {block} ELSE {block} END GROUP BY ALL),
+q AS (SELECT {keys}, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY ALL),
+b AS (SELECT {", ".join("n." + c for c in keys.split(", "))}, n, mean, coalesce(low, lo) AS low, coalesce(high, hi) AS high, CASE WHEN n >= 2 THEN CASE WHEN d > 0 THEN mean / (d / sqrt(n)) ELSE 0 END END AS naive_t FROM n LEFT JOIN q ON {on("q", "n")})"""
+
+
+@query("m12_block_bootstrap", f"""{T}, {_resampled("g", "SELECT 0 AS g, decision_t AS o, avg(net_r) AS r FROM trades GROUP BY 2", "7")}
+SELECT n, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high, round(naive_t, 6) AS naive_t FROM b""")
 def block_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     daily = tables.trades(spark, d).groupBy("decision_t").agg(F.avg("net_r").alias("r"))
     return rounded(stats.block_bootstrap(daily, "r", "decision_t", 30, 500, 7))
 
 
+@query("m12_grouped_bootstrap", f"""{T}, {_resampled("symbol, hour", "SELECT symbol, hour, decision_t AS o, avg(net_r) AS r FROM trades GROUP BY 1, 2, 3", "7", iterations=100)}
+SELECT symbol, hour, n, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high, round(naive_t, 6) AS naive_t FROM b""")
+def grouped_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    """Intervals of all symbols and hours in one job."""
+    daily = tables.trades(spark, d).groupBy("symbol", "hour", "decision_t").agg(F.avg("net_r").alias("r"))
+    return rounded(stats.block_bootstrap(daily, "r", "decision_t", 30, 100, 7, by=["symbol", "hour"]))
+
+
+@query("m13_difference_interval", f"""{T}, {_resampled("symbol, early", "SELECT symbol, hour < 12 AS early, decision_t AS o, avg(net_r) AS r FROM trades GROUP BY 1, 2, 3", "CASE WHEN early THEN 11 ELSE 12 END", iterations=200)}
+SELECT x.symbol, x.n + y.n AS n, round(x.mean - y.mean, 6) AS difference, round(x.mean - y.mean - sqrt(pow((x.high - x.low) / 2, 2) + pow((y.high - y.low) / 2, 2)), 6) AS low, round(x.mean - y.mean + sqrt(pow((x.high - x.low) / 2, 2) + pow((y.high - y.low) / 2, 2)), 6) AS high FROM b x JOIN b y ON x.symbol = y.symbol AND x.early AND NOT y.early""")
+def difference_interval(spark: SparkSession, d: str) -> DataFrame:
+    early = F.col("hour") < 12
+    daily = tables.trades(spark, d).groupBy("symbol", early.alias("early"), "decision_t").agg(F.avg("net_r").alias("r"))
+    return rounded(stats.difference_interval(daily, ["symbol"], F.col("early"), "r", "decision_t", 30, 200, 11))
+
+
+_FORWARD = f"""{T}, lim AS (SELECT min(decision_t) AS lo, max(decision_t) AS hi FROM trades),
+s AS (SELECT *, CAST(least(5, floor((decision_t - lo) * 6.0 / (hi - lo))) AS INT) AS fold, greatest(0, floor((exit_t + 604800 - lo) * 6.0 / (hi - lo)) + 1) AS since, CAST(net_r > 0 AS INT) AS y FROM trades, lim),
+tr AS (SELECT k.fold, s.* EXCLUDE (fold) FROM s JOIN (SELECT CAST(unnest(range(6)) AS INT) AS fold) k ON s.since <= k.fold),
+m AS (SELECT fold, count(*) AS n, max(decision_t) AS train_end, sum(y) AS p, avg(y) AS ym, avg(size) AS a1, avg(confidence) AS a2, stddev_pop(size) AS s1, stddev_pop(confidence) AS s2, covar_pop(size, confidence) AS c12, covar_pop(size, y) AS b1, covar_pop(confidence, y) AS b2 FROM tr GROUP BY 1 HAVING count(*) >= 400 AND sum(y) BETWEEN 1 AND count(*) - 1),
+z AS (SELECT *, n + 1.0 AS d, n * c12 / (s1 * s2) AS o, n * b1 / s1 AS r1, n * b2 / s2 AS r2 FROM m), w AS (SELECT *, (d * r1 - o * r2) / (d * d - o * o) / s1 AS w1, (d * r2 - o * r1) / (d * d - o * o) / s2 AS w2 FROM z),
+f AS (SELECT *, ym - w1 * a1 - w2 * a2 AS w0 FROM w),
+te AS (SELECT s.*, round(1 / (1 + exp(-(w0 + w1 * size + w2 * confidence))), 12) AS p FROM s JOIN f USING (fold)), ts AS (SELECT tr.*, round(1 / (1 + exp(-(w0 + w1 * size + w2 * confidence))), 12) AS p FROM tr JOIN f USING (fold)),
+cut AS (SELECT fold, quantile_cont(p, 0.5) AS threshold FROM ts GROUP BY 1)"""
+
+
+def _auc_sql(rows: str) -> str:
+    return f"SELECT fold, count(*) AS n, (sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))) AS auc FROM (SELECT fold, y, rank() OVER (PARTITION BY fold ORDER BY round(p, 12)) + (count(*) OVER (PARTITION BY fold, round(p, 12)) - 1) / 2.0 AS r FROM {rows}) GROUP BY 1"
+
+
+def _forward(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    t = tables.trades(spark, d).withColumn("y", (F.col("net_r") > 0).cast("int"))
+    return stats.walk_forward(t, ["size", "confidence"], "y", "decision_t", "exit_t")
+
+
+@query("m09_walk_forward", _FORWARD + " SELECT id, te.fold, round(p, 9) AS probability, p >= threshold - 1e-12 AS selected FROM te JOIN cut USING (fold)")
+def walk_forward(spark: SparkSession, d: str) -> DataFrame:
+    """Predictions of every trade by a model of trades that were over a week before its fold."""
+    return _forward(spark, d)[0].select("id", "fold", F.round("probability", 9).alias("probability"), "selected")
+
+
+@query("m09_fold_report", _FORWARD + f""", a AS ({_auc_sql("te")}), b AS ({_auc_sql("ts")}) SELECT fold, b.n AS train_size, a.n AS test_size, train_end, round(threshold, 9) AS threshold, round(a.auc, 6) AS auc, round(b.auc, 6) AS train_auc FROM a JOIN b USING (fold) JOIN cut USING (fold) JOIN m USING (fold)""")
+def fold_report(spark: SparkSession, d: str) -> DataFrame:
+    x = _forward(spark, d)[1]
+    return x.select("fold", "train_size", "test_size", "train_end", F.round("threshold", 9).alias("threshold"), F.round("auc", 6).alias("auc"), F.round("train_auc", 6).alias("train_auc"))
+
+
 @query("m09_purged_folds", f"""{T}, f AS (SELECT * FROM (VALUES (0, 852076800, 883612800), (1, 883612800, 915148800)) AS v(fold, lo, hi))
 SELECT fold, CASE WHEN decision_t >= lo AND decision_t < hi THEN 'test' WHEN exit_t < lo - 864000 THEN 'train' END AS part, count(*) AS rows, round(avg(net_r), 8) AS mean_r FROM trades CROSS JOIN f WHERE (decision_t >= lo AND decision_t < hi) OR exit_t < lo - 864000 GROUP BY 1, 2""")
 def purged_folds(spark: SparkSession, d: str) -> DataFrame:

@@ -168,11 +168,6 @@ def score_probability(spark: SparkSession, d: str) -> DataFrame:
     return rounded(models.scored(t, {"size": 0.02, "confidence": -0.5, "intercept": 0.1}).select("id", "exit_t", "expected_r", "probability", F.array_join("missing", ",").alias("missing")))
 
 
-@query("m13_difference_interval", f"""{T}, g AS (SELECT symbol, hour < 12 AS early, count(*) AS n, avg(net_r) AS m, var_samp(net_r) AS v FROM trades GROUP BY 1, 2) SELECT a.symbol, round(a.m - b.m, 6) AS difference, round(1.96 * sqrt(a.v / a.n + b.v / b.n), 6) AS half_width FROM g a JOIN g b ON a.symbol = b.symbol AND a.early AND NOT b.early""")
-def difference_interval(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(models.difference_interval(tables.trades(spark, d), ["symbol"], F.col("hour") < 12, "net_r"))
-
-
 @query("m14_random_benchmarks", f"""{T}, x AS (SELECT DISTINCT id, net_r FROM trades), s AS (SELECT id, net_r, seed, md5(id || ':' || seed) AS h FROM x CROSS JOIN (SELECT unnest(range(20)) AS seed)) SELECT seed, count(*) AS entries, round(avg(net_r), 6) AS mean_r FROM s WHERE h < '1' GROUP BY 1""")
 def random_benchmarks(spark: SparkSession, d: str) -> DataFrame:
     """Random entries of 20 seeds: each takes a sixteenth of all rows by hash, so that no sort is needed."""
