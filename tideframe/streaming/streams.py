@@ -9,11 +9,13 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
 def landed(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
@@ -32,13 +34,26 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + tempfile.mkdtemp(prefix="spark-")
 
 
-def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """State of streams that start meanwhile is kept in RocksDB, as timers need."""
+    name, kind = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, kind)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def run_once(stream: DataFrame, mode: str = "append", base: str | None = None) -> DataFrame:
     """Run a stream over all that its sources hold now; its rows as a table.
 
-    A stream's last windows stay open, as they do while a stream waits for more rows.
+    A stream's last windows stay open, as they do while a stream waits for more rows. With the same base, a later run goes
+    on from where the one before ended.
     """
     spark = stream.sparkSession
-    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    base = base or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def put(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/rows/batch={n}")
@@ -51,21 +66,28 @@ def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
 def newest_by_batch(stream: DataFrame, derive: Callable[[DataFrame], DataFrame], keep: Callable[[DataFrame], DataFrame], base: str) -> DataFrame:
     """derive(what is kept) after each batch of a stream; keep(rows kept before and new ones) bounds what goes on.
 
-    keep must leave all that derive needs of earlier batches, as a bounded history or a day's best rows do. What is kept
-    is written under the batch's number, so that a repeated batch does no harm. Without any batch the result is that of
-    an empty table.
+    keep must leave all that derive needs of earlier batches, as a bounded history or a day's best rows do. What is kept is
+    written under the batch's number, so that a repeated batch does no harm; the batch before is found in the folder, so
+    that a run that starts anew with the same base goes on from it. Without any batch the result is that of an empty table.
     """
-    spark, done = stream.sparkSession, []
+    spark = stream.sparkSession
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/kept")
+    files = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def before(n: int | None) -> str | None:
+        """The newest whole batch, before number n if that is given."""
+        numbers = [int(f.getPath().getName().split("=")[1]) for f in (files.listStatus(fs_path) if files.exists(fs_path) else []) if files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+        known = [k for k in numbers if n is None or k < n]
+        return f"{base}/kept/batch={max(known)}" if known else None
 
     def put(batch: DataFrame, n: int) -> None:
-        rows = batch.unionByName(spark.read.parquet(f"{base}/kept/batch={done[-1]}")) if done else batch
+        last = before(n)
+        rows = batch.unionByName(spark.read.schema(batch.schema).parquet(last)) if last else batch
         keep(rows).write.mode("overwrite").parquet(f"{base}/kept/batch={n}")
-        done.append(n)
 
     stream.writeStream.option("checkpointLocation", f"{base}/state").foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
-    if not done:
-        return derive(spark.createDataFrame([], stream.schema))
-    return derive(spark.read.parquet(f"{base}/kept/batch={done[-1]}"))
+    last = before(None)
+    return derive(spark.read.schema(stream.schema).parquet(last) if last else spark.createDataFrame([], stream.schema))
 
 
 def tick_stream(events: DataFrame) -> DataFrame:
@@ -108,11 +130,34 @@ def stream_context(stream: DataFrame, panel: DataFrame, by: list[str], bucket_s:
     return keyed.join(panel, [*by, "bucket"], "left").drop("bucket")
 
 
+def stream_asof(rows: DataFrame, context: DataFrame, by: list[str], time: str, known: str, columns: list[str], name: str, max_age: str, late: str = "10 minutes") -> DataFrame:
+    """Rows (by, name, time, ...) with `columns` of the latest context row known within max_age before their time.
+
+    A stream-stream join over a range of time, with watermarks on both sides, so that state holds max_age of context; then
+    the latest known row of each (by, name, time) comes out once the watermark is max_age past its time. Rows without context
+    in range don't come out. Of context rows known at one time, the one with the largest values counts.
+    """
+    left = rows.withWatermark(time, late)
+    right = context.select(*(F.col(c).alias(f"_{c}") for c in by), F.col(known).alias("_known"), *(F.col(c).alias(f"_v{i}") for i, c in enumerate(columns))).withWatermark("_known", late)
+    near = (F.col("_known") <= F.col(time)) & (F.col("_known") >= F.col(time) - F.expr(f"INTERVAL {max_age}"))
+    same = near
+    for c in by:
+        same = same & (F.col(c) == F.col(f"_{c}"))
+    pairs = left.join(right, same, "inner")
+    best = F.max(F.struct("_known", *(f"_v{i}" for i in range(len(columns))))).alias("_best")
+    latest = pairs.groupBy(*by, name, time).agg(best)
+    return latest.select(*by, name, time, *(F.col(f"_best._v{i}").alias(c) for i, c in enumerate(columns)), F.col("_best._known").alias(known))
+
+
+def _sorted_rows(batches: Iterator[pd.DataFrame], columns: list[str]) -> list[tuple]:
+    """A key's rows of a micro-batch in order of their columns, as tuples."""
+    return sorted(row for b in batches for row in zip(*(b[c].tolist() for c in columns)))
+
+
 def _changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     before = state.get[0] if state.exists else None
-    rows = pd.concat(list(batches)).sort_values(["at", "id"])
     out = []
-    for at, i, price in zip(rows["at"], rows["id"], rows["price"]):
+    for at, i, price in _sorted_rows(batches, ["at", "id", "price"]):
         out.append((key[0], i, at, price, None if before is None else price - before))
         before = float(price)
     state.update((before,))
@@ -120,7 +165,8 @@ def _changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
 
 
 def stream_changes(ticks: DataFrame) -> DataFrame:
-    """Each tick with its change against the symbol's tick before, kept in state between batches."""
+    """Each tick with its change against the symbol's tick before, kept in state between batches. A task holds a key's rows
+    of one micro-batch, which maxFilesPerTrigger bounds."""
     return ticks.groupBy("symbol").applyInPandasWithState(_changes, "symbol string, id long, at timestamp, price double, change double", "price double", "append", GroupStateTimeout.NoTimeout)
 
 
@@ -135,7 +181,7 @@ def _gaps(limit_s: float):
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
         out = []
-        for at in pd.concat(list(batches))["at"].sort_values():
+        for (at,) in _sorted_rows(batches, ["at"]):
             now = at.timestamp()
             if last is not None and now - last > limit_s:
                 out.append((key[0], last, now))
@@ -151,26 +197,62 @@ def stream_gaps(ticks: DataFrame, limit_s: float) -> DataFrame:
     return ticks.select("symbol", "at").groupBy("symbol").applyInPandasWithState(_gaps(limit_s), "symbol string, since double, until double", "last double", "append", GroupStateTimeout.NoTimeout)
 
 
-def _open_trades(target: float, stop: float):
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        entry, entry_id = state.get if state.exists else (None, None)
-        out = []
-        rows = pd.concat(list(batches)).sort_values(["at", "id"])
-        for i, price in zip(rows["id"], rows["price"]):
-            if entry is None:
-                entry, entry_id = float(price), int(i)
-            elif price <= entry * (1 - stop) or price >= entry * (1 + target):
-                out.append((key[0], entry_id, int(i), "stop" if price <= entry * (1 - stop) else "target"))
-                entry = entry_id = None
-        if entry is None:
-            state.remove() if state.exists else None
-        else:
-            state.update((entry, entry_id))
-        yield pd.DataFrame(out, columns=["symbol", "entry_id", "exit_id", "reason"])
+class OpenTrades(StatefulProcessor):
+    """One open trade a key: closed by the first bar at a barrier, else by a timer at its horizon.
 
-    return step
+    State is the trade, the last bar seen and the number of bars; a closed trade leaves a mark until its horizon, so that
+    later bars don't open it again.
+    """
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.trade = handle.getValueState("trade", "closed boolean, bars long, close_ms long, close double, horizon_ms long")
 
-def stream_open_trades(ticks: DataFrame, target: float, stop: float) -> DataFrame:
-    """One open trade a symbol, entered at its next tick and closed at the first tick beyond a barrier."""
-    return ticks.groupBy("symbol").applyInPandasWithState(_open_trades(target, stop), "symbol string, entry_id long, exit_id long, reason string", "entry double, entry_id long", "append", GroupStateTimeout.NoTimeout)
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        state = self.trade.get()
+        closed, bars, seen, close, until = (False, 0, -1, None, None) if state is None else state
+        out = []
+        columns = ["close_ms", "high", "low", "close", "side", "stop_price", "target_price", "horizon_ms"]
+        for at, high, low, price, side, stop, target, horizon in _sorted_rows(rows, columns):
+            if until is None:
+                until = int(horizon)
+                self.handle.registerTimer(until)
+            if closed or at <= seen:
+                continue
+            bars, seen, close = bars + 1, int(at), float(price)
+            stopped = low <= stop if side == "long" else high >= stop
+            won = high >= target if side == "long" else low <= target
+            if stopped or won:
+                closed = True
+                out.append((*key, "stop" if stopped else "target", seen, float(stop if stopped else target), bars))
+        if until is not None:
+            self.trade.update((closed, bars, seen, close, until))
+        yield pd.DataFrame(out, columns=["symbol", "id", "reason", "exit_ms", "exit_price", "bars"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        state = self.trade.get()
+        out = [] if state is None or state[0] else [(*key, "horizon_exit", state[2], state[3], state[1])]
+        self.trade.clear()
+        yield pd.DataFrame(out, columns=["symbol", "id", "reason", "exit_ms", "exit_price", "bars"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_open_trades(trades: DataFrame, bars: DataFrame, horizon: str, late: str = "10 minutes") -> DataFrame:
+    """Trades (symbol, id, at, side, stop_price, target_price) closed as bars (symbol, closed_at, high, low, close) arrive:
+    symbol, id, reason (target, stop, horizon_exit), exit_ms, exit_price, bars.
+
+    Bars that close after the decision and within `horizon` of it are joined to each trade over that range of time, with
+    watermarks on both sides; the state of each (symbol, id) sees them in order of arrival, and in order of time
+    within a micro-batch. A bar that reaches both barriers is a stop. The timer at the horizon closes what is open at the
+    last close; trades without a bar stay open, and so do those whose horizon the watermark hasn't passed.
+    """
+    left = trades.withWatermark("at", late)
+    right = bars.withColumnRenamed("symbol", "_symbol").withWatermark("closed_at", late)
+    span = F.expr(f"INTERVAL {horizon}")
+    within = (F.col("symbol") == F.col("_symbol")) & (F.col("closed_at") > F.col("at")) & (F.col("closed_at") <= F.col("at") + span)
+    ms = lambda c: F.unix_millis(c)
+    pairs = left.join(right, within, "inner").select("symbol", "id", "closed_at", ms(F.col("closed_at")).alias("close_ms"), "high", "low", "close", "side", "stop_price", "target_price", ms(F.col("at") + span).alias("horizon_ms"))
+    schema = "symbol string, id long, reason string, exit_ms long, exit_price double, bars long"
+    return pairs.groupBy("symbol", "id").transformWithStateInPandas(OpenTrades(), schema, "Append", "EventTime")
