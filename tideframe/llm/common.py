@@ -110,28 +110,31 @@ def _sliced(vector: np.ndarray) -> pa.RecordBatch:
 
 
 def vector_total(partial: DataFrame, length: int, dtype: str, how: str) -> np.ndarray:
-    """Combine rows (slot, cells) of partial vectors into one vector of fixed length at the driver.
+    """Combine rows (slot, cells) of partial vectors, one vector a task, into one of fixed length at the driver.
 
-    Its size depends on the length parameter alone, never on the data.
+    Its size depends on the length parameter alone, never on the data. A slot's rows are streamed.
     """
 
-    def combine(key, table):
-        total = np.zeros(_SLOTS, dtype)
-        for cells in table.column("cells"):
-            part = np.frombuffer(cells.as_buffer(), dtype)
-            total = total | part if how == "or" else total + part
-        return pa.table({"slot": pa.array([key[0].as_py()], pa.int32()), "cells": pa.array([total.tobytes()], pa.binary())})
-
-    def half(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(length, dtype)
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot, total = None, None
         for batch in batches:
-            for slot, cells in zip(batch.column("slot").to_pylist(), batch.column("cells")):
-                at = slice(slot * _SLOTS, (slot + 1) * _SLOTS)
+            done = []
+            for at, cells in zip(batch.column("slot").to_pylist(), batch.column("cells")):
                 part = np.frombuffer(cells.as_buffer(), dtype)
-                total[at] = total[at] | part if how == "or" else total[at] + part
-        yield _sliced(total)
-
-    merged = partial.mapInArrow(half, "slot int, cells binary").groupBy("slot").applyInArrow(combine, "slot int, cells binary")
+                if at != slot:
+                    if slot is not None:
+                        done.append((slot, total.tobytes()))
+                    slot, total = at, part.copy()
+                elif how == "or":
+                    total |= part
+                else:
+                    total += part
+            yield pa.record_batch({"slot": pa.array([x[0] for x in done], pa.int32()), "cells": pa.array([x[1] for x in done], pa.binary())})
+        if slot is not None:
+            yield pa.record_batch({"slot": pa.array([slot], pa.int32()), "cells": pa.array([total.tobytes()], pa.binary())})
+
+    # Behind the exchange: a task has one Python worker at a time, whose memory stays while it is reused.
+    merged = partial.repartition("slot").sortWithinPartitions("slot").mapInArrow(combine, "slot int, cells binary")
     out = np.zeros(length, dtype)
     for row in merged.collect():
         out[row["slot"] * _SLOTS : (row["slot"] + 1) * _SLOTS] = np.frombuffer(row["cells"], dtype)
