@@ -13,6 +13,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 import tiktoken
+import xxhash
 from conftest import SF
 from pyspark.sql import functions as F
 
@@ -166,6 +167,48 @@ def test_language_held_out(spark):
     assert sum(r["lang"] == r["lang_pred"] for r in held) / len(held) >= 0.95
 
 
+def test_language_sample(spark):
+    """All languages, however many; an id that repeats takes no other row's place; equal rows count once."""
+    rows = [(8 * i, f"text {i}", f"l{i % 450}") for i in range(900)] + [(1, f"copy of {i}", "de") for i in range(4000)] + [(1, "same", "de")] * 500
+    rows += [(i, f"german row {i}", "de") for i in range(2, 300)]
+    rows = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts, labels = language_id.sample_labelled(docs, 40, "doc_id", "text", "lang")
+    count = collections.Counter(labels)
+    assert set(labels) == {r[2] for r in rows} and count["de"] == 40
+    german = [t[0].decode() for t, l in zip(texts, labels) if l == "de"]
+    assert len(set(german)) == 40
+    assert language_id.sample_labelled(docs, 10**6, "doc_id", "text", "lang")[1].count("de") <= language_id.ALL_ROWS
+
+
+def test_language_training_takes_whole_passages(monkeypatch):
+    seen = []
+    whole = language_id.windows_of
+    monkeypatch.setattr(language_id, "windows_of", lambda x: seen.append(len(whole(x))) or whole(x))
+    language_id.train([["\u044f".encode() * 256], [b"a" * 256]], ["ru", "en"], steps=1)
+    assert seen == [2, 1]  # 512 bytes are two windows
+
+
+def test_network_is_its_plain_form(spark):
+    """Window by window: convolutions of each width, the largest response, one hidden layer, softmax; then the mean."""
+    net = language_id.train([[b"der hund und die katze sind hier"], [b"the dog and the cat are over here"]] * 3, ["de", "en"] * 3, steps=20)
+    text = "the katze und hund " * 40
+    names, scores = language_id.predict(net, net.pair_tables(), [text])
+    logs = []
+    for w in language_id.windows_of(text.encode()):
+        hidden = []
+        for width in language_id.WIDTHS:
+            f = net.filters[width]
+            responses = [sum(f[j][int(w[i + j])] for j in range(width)) for i in range(language_id.WINDOW - width + 1)]
+            hidden.append(np.max(responses, axis=0))
+        h = np.maximum(np.concatenate(hidden) + net.bias, 0)
+        z = h @ net.weights + net.offset
+        logs.append(z - np.log(np.exp(z - z.max()).sum()) - z.max())
+    p = np.exp(np.mean(logs, axis=0))
+    p /= p.sum()
+    assert names == [net.languages[int(p.argmax())]] and scores[0] == pytest.approx(p.max(), abs=1e-6)
+
+
 def test_language_odd_texts(spark):
     got = {r["doc_id"]: r for r in language_id.identify(table(spark, ODD)).collect()}
     letterless = {i for i, t in enumerate(ODD) if not any(c.isalpha() for c in t or "")}
@@ -198,6 +241,14 @@ def test_url_links(spark):
     assert url_filter.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_links_behind_long_attributes(spark):
+    """A link counts wherever its href stands in the tag."""
+    far = "<a data-x='" + "y" * 3000 + "'" + " " * 40 + "href" + " " * 30 + "=" + " " * 30 + "'" + "h" * 30 + "://example.org/es/1'>x</a>"
+    pages = spark.createDataFrame([(1, "http://example.org/es/1", ""), (2, "http://unknown.net/", far), (3, "http://other.net/", "<a>")], "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(pages).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow"}
+
+
 # Names and ids that get in the way ------------------------------------------------------------------------------------
 
 
@@ -209,11 +260,20 @@ def test_columns_with_inner_names_pass(spark):
         assert out.columns == docs.columns and sorted(map(str, out.collect())) == want
 
 
-def test_mixing_with_more_sources_than_may_be_told_apart(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "MAX_SOURCES", 5)
-    docs = spark.createDataFrame([(i, f"s{i % 40 if i % 3 else 0}") for i in range(400)], "doc_id long, source string")
-    got = mixing.mix(docs).collect()
-    assert len(got) == 400 and len({(r["mix_slot"], r["mix_offset"]) for r in got}) == 400
+def test_mixing_tells_all_sources_apart(spark):
+    """Each source keeps its own weight, whatever their number."""
+    docs = spark.createDataFrame([(i, f"s{i % 3000}") for i in range(6000)], "doc_id long, source string")
+    got = mixing.mix(docs, {f"s{i}": 2 if i == 7 else 1 for i in range(3000)}, block_docs=1).collect()
+    assert len({(r["mix_slot"], r["mix_offset"]) for r in got}) == 6000
+    assert all(r["mix_release"] <= r["mix_slot"] < r["mix_deadline"] for r in got)
+    assert sorted(r["mix_slot"] for r in got if r["source"] == "s7")[1] < 3001  # two blocks a period of 3,001 slots
+
+
+def test_mixing_spreads_an_id_with_many_rows_and_keeps_names(spark):
+    docs = spark.createDataFrame([(7 if i % 3 == 0 else i, f"t{i}", "a") for i in range(3000)], "doc_id long, text string, source string").withColumn("mix_slot", F.lit("mine"))
+    out = mixing.mix(docs, prefix="_mix_")
+    assert out.columns[:4] == docs.columns and {r["mix_slot"] for r in out.collect()} == {"mine"}
+    assert len({(r["_mix_slot"], r["_mix_offset"]) for r in out.collect()}) == 3000
 
 
 # 6 ---------------------------------------------------------------------------------------------------------------------
@@ -472,3 +532,11 @@ def test_mixing_keeps_weight_zero(spark):
     assert mixing.mix(docs, {"a": 0, "b": 0, "z": 0}).count() == 300
     with pytest.raises(ValueError):
         mixing.mix(docs, {"a": -1})
+
+
+def test_marks_of_held_words_are_apart_from_their_sets(spark):
+    """The constant goes first, so that a word's mark isn't a function of the hash that chooses its set."""
+    w = spark.createDataFrame([("word",)], "w string")
+    mark, chained = w.select(byte_bpe._mark(F.col("w")), F.xxhash64("w", F.lit(1))).first()
+    first = xxhash.xxh64((1).to_bytes(4, "little"), seed=42).intdigest()
+    assert mark % 2**64 == xxhash.xxh64(b"word", seed=first).intdigest() != chained % 2**64

@@ -15,17 +15,16 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tideframe.llm.common import bound_batches, documents
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
-#: Labelled rows of each language that training may use, of all languages together, and windows of each such row,
-#: spread evenly over its whole text.
+#: Labelled rows of each language that training may use, of all languages together (at least one each), and passages of
+#: each such row, spread evenly over its whole text.
 SAMPLE_ROWS, ALL_ROWS, SAMPLE_WINDOWS = 500, 20_000, 16
-#: Languages that may be learned: those with most labelled rows.
-MAX_LANGUAGES = 400
 UNKNOWN = "und"
 _has_letter = regex.compile(r"\p{L}").search
 
@@ -90,7 +89,7 @@ def train(texts: list[list[bytes]], labels: list[str], filters: int = FILTERS, s
     languages = sorted(set(labels))
     xs, ys = [], []
     for passages, label in zip(texts, labels):
-        w = np.concatenate([windows_of(x)[:1] for x in passages])
+        w = np.concatenate([windows_of(x) for x in passages])
         xs.append(w)
         ys.extend([languages.index(label)] * len(w))
     x, y = np.concatenate(xs), np.array(ys)
@@ -144,26 +143,22 @@ def passages(text: Column, many: int = SAMPLE_WINDOWS, size: int = WINDOW) -> Co
 
 
 def sample_labelled(docs: DataFrame, rows: int, id_col: str, text_col: str, lang_col: str) -> tuple[list[list[bytes]], list[str]]:
-    """Passages of up to `rows` labelled rows of each language, picked by a hash of the id, outside the held-out part."""
+    """Passages of up to `rows` distinct labelled rows of each language, picked by a hash of id and text, outside the held-out
+    part. All languages are learned; their counts are small against the rows."""
     labelled = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
-    if not counts:
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))  # one row a language
+    languages = counts.count()
+    if not languages:
         return [], []
-    rows = max(1, min(rows, ALL_ROWS // len(counts)))
-    share = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    want = F.lit(False)
-    for lang, n in counts.items():
-        want = want | ((F.col("lang") == lang) & (share < 1.3 * rows / n + 20 / n))
-    picked = labelled.where(want).select("id", "lang", passages(F.col("text")).alias("passages"), share.alias("at"))
-    got = picked.orderBy("at", "id").limit(2 * rows * len(counts) + 20 * len(counts)).collect()
-    kept: dict[str, int] = {}
-    texts, labels = [], []
-    for r in got:
-        if kept.get(r["lang"], 0) < rows:
-            kept[r["lang"]] = kept.get(r["lang"], 0) + 1
-            texts.append([x.encode("utf-8", "surrogatepass") for x in r["passages"]])
-            labels.append(r["lang"])
-    return texts, labels
+    rows = max(1, min(rows, ALL_ROWS // languages))
+    # Equal rows count once, and an id that repeats with other texts is so many rows.
+    at = F.xxhash64("id", "text")
+    share = F.pmod(at, F.lit(1 << 30)) / F.lit(float(1 << 30))
+    likely = labelled.withColumn("at", at).join(F.broadcast(counts), "lang").where(share < 1.3 * rows / F.col("n") + 20 / F.col("n"))
+    distinct = likely.select("lang", "at", passages(F.col("text")).alias("passages")).dropDuplicates(["lang", "at"])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("at"))
+    picked = distinct.withColumn("place", place).where(F.col("place") <= rows).orderBy("lang", "place").select("lang", "passages").collect()
+    return [[x.encode("utf-8", "surrogatepass") for x in r["passages"]] for r in picked], [r["lang"] for r in picked]
 
 
 def predict(net: Network | None, tables: list, texts: list[str | None]) -> tuple[list[str], list[float]]:

@@ -29,8 +29,6 @@ from tideframe.llm.common import documents, stage
 #: Rows of one numbering group at most (about); a larger source is spread over more groups, so that none grows with
 #: the corpus. Smaller sources are spread too, over up to SPREAD groups.
 GROUP_ROWS, SPREAD = 20_000, 256
-#: Sources whose counts may come to the driver. Of more, those with the fewest rows are mixed as one source.
-MAX_SOURCES = 100_000
 #: Slots of a period for each source at least, so that sources which get a slot only because none gets less take at
 #: most one slot in so many from the others.
 SOURCE_SLOTS = 32
@@ -101,31 +99,26 @@ def tempered_shares(counts: Mapping[str, int], temperature: float, slots: int) -
     return shares
 
 
-def mix(docs: DataFrame, shares: Mapping[str, int] | None = None, temperature: float = 0.5, slots: int = 1000, block_docs: int = 16, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, shares: Mapping[str, int] | None = None, temperature: float = 0.5, slots: int = 1000, block_docs: int = 16, id_col: str = "doc_id", source_col: str = "source", prefix: str = "mix_") -> DataFrame:
     """Give every row its place in the mixture.
 
     shares: source to whole weight; by default count ** temperature out of `slots` or more (tempered_shares). A source
     that shares leaves out gets weight 1; one of weight 0 comes after all others, block by block. The number of sources is small against the rows: their counts, and nothing else, come to the driver.
     Adds mix_block (block within the source), mix_slot, mix_release, mix_deadline and mix_offset (row within the
     block); ordering by mix_slot, mix_offset is the mixture. Rows of a source are taken in the order of a hash of id
-    (ties by id; repeated rows in any order), rows without id in that of a hash of all their columns. A null source is a
-    source of its own. An empty table stays empty. Columns named like those added are replaced; all others pass,
+    and content (repeated rows in any order), so that an id with many rows is spread. A null source is a source of its
+    own. An empty table stays empty. prefix: of the names added; columns of such names are replaced, all others pass,
     whatever their names.
     """
     spark = docs.sparkSession
-    added = ["mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_offset"]
+    added = [prefix + c for c in ("block", "slot", "release", "deadline", "offset")]
     docs = docs.drop(*added)
     source = F.when(F.col(source_col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source_col).cast("string")))
     content = [c for c, t in docs.dtypes if "map<" not in t]
-    place = F.when(F.col(id_col).isNull(), F.xxhash64(*content)).otherwise(F.xxhash64(F.col(id_col)))
+    place = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), *content)
     # A row travels as one struct, so that no name of its columns meets one of those used here.
     keyed = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(id_col).alias("_id"), source.alias("_s"), place.alias("_h"))
-    counts = {r["_s"]: r["count"] for r in keyed.groupBy("_s").count().orderBy(F.desc("count"), "_s").limit(MAX_SOURCES + 1).collect()}
-    if len(counts) > MAX_SOURCES:
-        counts = dict(islice(counts.items(), MAX_SOURCES - 1))
-        known = spark.createDataFrame([(s,) for s in counts], "_s string").withColumn("_known", F.lit(True))
-        keyed = keyed.join(F.broadcast(known), "_s", "left").withColumn("_s", F.when(F.col("_known"), F.col("_s")).otherwise("r")).drop("_known")
-        counts["r"] = keyed.where("_s = 'r'").count()
+    counts = {r["_s"]: r["count"] for r in keyed.groupBy("_s").count().collect()}
     if shares is None:
         shares = tempered_shares(counts, temperature, slots)
     else:
@@ -154,22 +147,22 @@ def mix(docs: DataFrame, shares: Mapping[str, int] | None = None, temperature: f
 
     table = _period_table(spark, shares)
     block = F.floor(F.col("_n") / F.lit(block_docs)).cast("long")
-    round_ = F.floor(F.col("mix_block") / F.col("_share")).cast("long")
-    placed = numbered.withColumn("mix_block", block).withColumn("_k", F.col("mix_block") % F.col("_share")).join(table, ["_s", "_k"], "left" if last else "inner")
-    at = lambda c, late=0: F.coalesce(F.col("_last") + F.col("mix_block") + late, round_ * period + F.col(c))
+    round_ = F.floor(F.col("_block") / F.col("_share")).cast("long")
+    placed = numbered.withColumn("_block", block).withColumn("_k", F.col("_block") % F.col("_share")).join(table, ["_s", "_k"], "left" if last else "inner")
+    at = lambda c, late=0: F.coalesce(F.col("_last") + F.col("_block") + late, round_ * period + F.col(c))
     return placed.select(
         "_doc.*",
-        "mix_block",
-        at("_t").alias("mix_slot"),
-        at("_r").alias("mix_release"),
-        at("_d", 1).alias("mix_deadline"),
-        (F.col("_n") % F.lit(block_docs)).cast("long").alias("mix_offset"),
+        F.col("_block").alias(added[0]),
+        at("_t").alias(added[1]),
+        at("_r").alias(added[2]),
+        at("_d", 1).alias(added[3]),
+        (F.col("_n") % F.lit(block_docs)).cast("long").alias(added[4]),
     )
 
 
-def laid_out(mixed: DataFrame, partitions: int | None = None) -> DataFrame:
+def laid_out(mixed: DataFrame, partitions: int | None = None, prefix: str = "mix_") -> DataFrame:
     """Rows in the order of the mixture: ranges of slots, each sorted."""
-    order = ["mix_slot", "mix_offset"]
+    order = [f"{prefix}slot", f"{prefix}offset"]
     ranged = mixed.repartitionByRange(partitions, *order) if partitions else mixed.repartitionByRange(*order)
     return ranged.sortWithinPartitions(*order)
 

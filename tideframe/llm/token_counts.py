@@ -15,15 +15,15 @@ from collections.abc import Iterator
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideframe.llm.common import bound_batches, documents, stage
 
 MARK = "▁"
-#: Slots of the table of frequent pre-tokens whose counts each task holds, one a slot, and bytes of a pre-token that
-#: may be held; all others go through a shuffle join.
-SLOTS, HELD_BYTES = 1 << 18, 64
+#: Slots of the table of frequent pre-tokens whose counts each task holds, pre-tokens of a slot, and bytes of one that may
+#: be held; all others go through a shuffle join.
+SLOTS, WAYS, HELD_BYTES = 1 << 15, 8, 64
 #: Pre-tokens, and their characters, that a task counts before it passes them on.
 _HELD, _HELD_CHARS = 400_000, 16 << 20
 
@@ -64,7 +64,7 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096, slots: int = SL
 
     Null text counts as empty, and both have no tokens. Special strings inside texts are ordinary text. Rows that
     repeat an id are counted each. Other columns are not read. An empty table gives an empty result. The path of the
-    model must exist on every machine. slots: pre-tokens held, at most; any number gives the same result.
+    model must exist on every machine. slots: of the table of held pre-tokens; any number gives the same result.
     """
     check_model(model)
     spark = docs.sparkSession
@@ -100,10 +100,11 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096, slots: int = SL
 
     counted = texts.select("text").mapInArrow(corpus_counts, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     vocabulary = stage(counted.mapInArrow(pieces, "piece string, n long, tokens int"), "pieces")
-    # The most frequent pre-token of each slot: no pre-token that many documents hold goes through the join, unless a
-    # more frequent one has its slot.
+    # The most frequent pre-tokens of each slot: none that many documents hold goes through the join, unless WAYS more
+    # frequent ones have its slot.
     slot = F.pmod(F.xxhash64("piece"), F.lit(slots)).alias("slot")
-    top = vocabulary.where(F.octet_length("piece") <= HELD_BYTES).groupBy(slot).agg(F.max_by(F.struct("piece", "tokens"), F.struct("n", "piece")).alias("top")).select("top.*").toArrow()
+    place = F.row_number().over(Window.partitionBy("slot").orderBy(F.desc("n"), "piece"))
+    top = vocabulary.where(F.octet_length("piece") <= HELD_BYTES).select("piece", "tokens", "n", slot).withColumn("place", place).where(F.col("place") <= WAYS).select("piece", "tokens").toArrow()
     common = spark.sparkContext.broadcast((top.column("piece").combine_chunks(), top.column("tokens").to_numpy()))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

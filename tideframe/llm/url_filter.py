@@ -16,11 +16,11 @@ from tideframe.llm.common import shared_dir
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Links with a host in a page, also those without a scheme; group 1 is the host, with any port.
-_LINK = r"(?i)<a\b[^>]{0,2000}?\bhref\s{0,20}=\s{0,20}[\"']?\s{0,20}(?:[a-z][a-z0-9+.-]{0,20}:)?//([^/?#\"'\s>]+)"
+_LINK = r"(?i)<a\b[^>]*?\bhref\s*=\s*[\"']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#\"'\s>]+)"
 #: The host that links without one are relative to, where a page names it.
-_BASE = r"(?i)<base\b[^>]{0,2000}?\bhref\s{0,20}=\s{0,20}[\"']?\s{0,20}(?:[a-z][a-z0-9+.-]{0,20}:)?//([^/?#\"'\s>]+)"
+_BASE = r"(?i)<base\b[^>]*?\bhref\s*=\s*[\"']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#\"'\s>]+)"
 #: A link without a host.
-_RELATIVE = r"(?i)<a\b[^>]{0,2000}?\bhref\s{0,20}=\s{0,20}[\"']?\s{0,20}(?!//)(?![a-z][a-z0-9+.-]{0,20}:)[^\"'\s>#]"
+_RELATIVE = r"(?i)<a\b[^>]*?\bhref\s*=\s*[\"']?\s*(?!//)(?![a-z][a-z0-9+.-]*:)[^\"'\s>#]"
 
 
 @dataclass(frozen=True)
