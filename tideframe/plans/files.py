@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from tideframe.operators import features, quality
 from tideframe.plans.market import CANDLES, S, query, rounded
 from tideframe.sources import files, tables
-from tideframe.sources.tables import TICKS_SQL, TRADES_SQL
+from tideframe.sources.tables import DAILY_SQL, FUNDING_SQL, TICKS_SQL, TRADES_SQL
 from tideframe.streaming import streams
 
 K = f"WITH {TICKS_SQL}"
@@ -106,6 +106,80 @@ def metrics_csv(spark: SparkSession, d: str) -> DataFrame:
     return x.select("symbol", F.col("t").cast("long").alias("t"), "open_interest")
 
 
+@query("s12_daily_close_files", f"WITH {DAILY_SQL} SELECT upper(symbol) AS symbol, day, close FROM daily")
+def daily_close_files(spark: SparkSession, d: str) -> DataFrame:
+    """Daily kline files by symbol and month: milliseconds and microseconds by turns, some with a header line."""
+    path = _folder(spark, "days")
+    c = tables.daily_closes(spark, d).withColumn("month", F.date_format("day", "yyyy-MM"))
+    unit = F.when(F.month("day") % 2 == 0, 1_000).otherwise(1_000_000)
+    open_ = F.unix_timestamp(F.col("day").cast("timestamp")) * unit
+    line = F.concat_ws(",", open_.cast("string"), F.lit("1"), F.lit("1"), F.lit("1"), F.col("close").cast("decimal(20,2)").cast("string"), F.lit("0"))
+    rows = c.select(F.upper("symbol").alias("symbol"), "month", line.alias("value"))
+    heads = rows.where("month LIKE '%-03'").select("symbol", "month").distinct().withColumn("value", F.lit("open_time,open,high,low,close,volume"))
+    rows.unionByName(heads).repartition("symbol", "month").write.partitionBy("symbol", "month").text(path)
+    return files.daily_closes(spark, path, 10**14)  # days before 2001
+
+
+@query("s13_funding_pages", f"{K}, {FUNDING_SQL} SELECT upper(symbol) || 'USDT' AS symbol, CASE WHEN abs(rate) > 0.45 THEN NULL ELSE funding_t END AS funding_t, round(CAST(rate AS DOUBLE), 6) AS rate, CASE WHEN funding_t % 57600 = 0 THEN 101.5 END AS mark_price, CASE WHEN abs(rate) > 0.45 THEN 'missing fundingTime' END AS reason FROM funding")
+def funding_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of a day's rows a symbol as JSON; a row without its time keeps its reason."""
+    path = _folder(spark, "funding")
+    f = tables.funding(spark, d)
+    ms = F.when(F.abs("rate") <= 0.45, F.col("funding_t") * 1000)
+    row = F.struct(F.concat(F.col("symbol"), F.lit("usdt ")).alias("symbol"), ms.alias("fundingTime"), F.col("rate").cast("decimal(20,6)").cast("string").alias("fundingRate"), F.when(F.col("funding_t") % 57600 == 0, "101.5").otherwise("").alias("markPrice"))
+    f.groupBy("symbol", F.expr("funding_t div 86400")).agg(F.to_json(F.collect_list(row)).alias("value")).select("value").write.text(path)
+    x = files.funding_pages(spark, path)
+    return x.select("symbol", "funding_t", F.round(F.col("rate").cast("double"), 6).alias("rate"), F.col("mark_price").cast("double").alias("mark_price"), "reason")
+
+
+@query("s26_trade_files", f"{K} SELECT upper(symbol) AS symbol, id, CASE WHEN id % 2 = 0 THEN us ELSE us // 1000 * 1000 END AS us, round(CAST(price AS DOUBLE), 6) AS price, round(CAST(qty AS DOUBLE), 6) AS qty, NOT is_buyer AS aggressive_buy FROM ticks")
+def trade_files(spark: SparkSession, d: str) -> DataFrame:
+    """Trade lines without header, in milliseconds and microseconds, with a line of names that goes."""
+    path = _folder(spark, "trades")
+    t = tables.ticks(spark, d)
+    at = F.when(F.col("id") % 2 == 0, F.col("us")).otherwise(F.expr("us div 1000"))
+    line = F.concat_ws(",", *(F.col(c).cast("string") for c in ("id", "price", "qty", "id", "id")), at.cast("string"), F.col("is_buyer").cast("string"), F.lit("True"))
+    rows = t.select(F.upper("symbol").alias("symbol"), line.alias("value"))
+    heads = rows.select("symbol").distinct().withColumn("value", F.lit("agg_trade_id,price,quantity,first_trade_id,last_trade_id,transact_time,is_buyer_maker,is_best_match"))
+    rows.unionByName(heads).write.partitionBy("symbol").text(path)
+    x = files.aggregate_trades(spark, path)
+    return x.select("symbol", "id", "us", F.round("price", 6).alias("price"), F.round("qty", 6).alias("qty"), "aggressive_buy")
+
+
+_KINDS = """(VALUES ('open_interest'), ('open_interest_hist'), ('global_long_short'), ('top_long_short_position'), ('top_long_short_account'), ('book')) k(kind)"""
+
+
+@query("s21_crowding_tables", CANDLES + f""", m AS (SELECT kind, symbol, t, close, volume, CASE WHEN kind = 'book' THEN 'unknown kind' WHEN volume % 5 = 1 AND kind = 'open_interest' THEN 'malformed openInterest' WHEN volume % 5 = 2 AND kind LIKE 'top%' THEN 'missing longShortRatio' WHEN volume % 5 = 3 AND kind = 'open_interest_hist' THEN 'malformed CMCCirculatingSupply' END AS reason FROM candles, {_KINDS})
+SELECT CASE WHEN reason IS NULL THEN kind ELSE 'rejected' END AS "table", CASE WHEN reason IS NULL THEN upper(symbol) || 'USDT' END AS symbol, CASE WHEN reason IS NULL THEN t END AS event_t, CASE WHEN reason IS NULL THEN CASE kind WHEN 'open_interest' THEN NULL ELSE '5m' END END AS period,
+CASE WHEN reason IS NULL THEN round(close, 4) END AS first, CASE WHEN reason IS NULL AND kind <> 'open_interest' THEN round(close / 2, 4) END AS second, CASE WHEN reason IS NULL THEN CASE WHEN kind = 'open_interest_hist' THEN CASE WHEN volume % 5 = 4 THEN 7.5 END WHEN kind <> 'open_interest' THEN round(close / 4, 4) END END AS third, reason FROM m
+UNION ALL SELECT 'rejected', NULL, NULL, NULL, NULL, NULL, NULL, 'malformed line' FROM candles WHERE volume % 5 = 0""")
+def crowding_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Five kinds of messages and one unknown kind in one file set; what doesn't fit is listed with its reason."""
+    path, to = _folder(spark, "messages"), _folder(spark, "crowding")
+    c = tables.candles(spark, d).select("symbol", "t", "volume", *(F.round(F.col("close") / n, 4).cast("decimal(20,4)").cast("string").alias(f"v{n}") for n in (1, 2, 4)))
+    wrong = lambda k: F.col("volume") % 5 == k
+    head = [F.concat(F.col("symbol"), F.lit("usdt")).alias("symbol")]
+    at, time = (F.col("t") * 1000).alias("timestamp"), (F.col("t") * 1000).cast("string").alias("time")
+    ratio = lambda broken: [F.when(~broken, F.col("v1")).alias("longShortRatio"), F.col("v2").alias("longAccount"), F.col("v4").alias("shortAccount")]
+    rows = {
+        "open_interest": [*head, time, F.when(wrong(1), "n/a").otherwise(F.col("v1")).alias("openInterest")],
+        "open_interest_hist": [*head, at, F.col("v1").alias("sumOpenInterest"), F.col("v2").alias("sumOpenInterestValue"), F.when(wrong(3), "many").when(wrong(4), "7.5").otherwise("").alias("CMCCirculatingSupply")],
+        "global_long_short": [*head, at, *ratio(F.lit(False))],
+        "top_long_short_position": [*head, at, *ratio(wrong(2))],
+        "top_long_short_account": [*head, at, *ratio(wrong(2))],
+        "book": [*head, at],
+    }
+    lines = F.array(*(F.to_json(F.struct(F.lit(k).alias("kind"), F.lit(None if k == "open_interest" else "5m").cast("string").alias("period"), (F.col("t") * 1000 + 500).alias("available_ms"), F.struct(*r).alias("row"))) for k, r in rows.items()), F.when(wrong(0), "{broken"))
+    c.select(F.explode(F.array_compact(lines)).alias("value")).write.text(path)
+    found, rejected = files.routed_messages(spark, path, to)
+    out = []
+    for kind, x in found.items():
+        numbers = [F.col(c).cast("double") for c in x.columns if c not in ("symbol", "event_time", "period", "source_available_at")]
+        numbers += [F.lit(None).cast("double")] * (3 - len(numbers))
+        out.append(x.select(F.lit(kind).alias("table"), "symbol", F.unix_seconds("event_time").alias("event_t"), "period", *(v.alias(n) for v, n in zip(numbers, ("first", "second", "third")))))
+    return streams.stream_union(*out, rejected.select(F.lit("rejected").alias("table"), "reason"))
+
+
 @query("s27_snapshots", f"{K} SELECT 'book_' || symbol AS snapshot, id, price, 1700000000 + length(symbol) AS created_at FROM ticks WHERE symbol <> 'error'")
 def snapshots(spark: SparkSession, d: str) -> DataFrame:
     """One folder a symbol, with a manifest each; one manifest can't be read, and its rows are left out."""

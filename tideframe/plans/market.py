@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideframe.functions import scalars
 from tideframe.operators import asof as aj
-from tideframe.operators import bars, features, labels, predicates, quality, ranking
+from tideframe.operators import bars, features, labels, predicates, quality, ranking, scenarios
 from tideframe.plans.registry import ORACLE_SQL, QUERIES
 from tideframe.sources import tables
 from tideframe.sources.tables import DAILY_SQL, FUNDING_SQL, TICKS_SQL, TRADES_SQL, candles_sql
+from tideframe.streaming import streams
 
 S = features.Series()
 H4 = 4 * 3600
@@ -367,12 +370,38 @@ def time_split(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("split").agg(F.count("*").alias("rows"), F.min("decision_t").alias("first_t"), F.max("decision_t").alias("last_t"))
 
 
-@query("p12_walk_forward", CANDLES + """, x AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS i FROM (SELECT DISTINCT t FROM candles))
-SELECT CAST(i // 50 AS INT) AS fold, t AS train_start, lead(t, 99) OVER o AS train_end, lead(t, 100) OVER o AS validation_start, lead(t, 149) OVER o AS validation_end, lead(t, 150) OVER o AS test_start, lead(t, 199) OVER o AS test_end FROM x WINDOW o AS (ORDER BY i) QUALIFY i % 50 = 0 AND lead(t, 199) OVER o IS NOT NULL""")
+_WINDOWS = CANDLES + """, x AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS i FROM (SELECT DISTINCT t FROM candles))
+SELECT CAST(i // 50 AS INT) AS fold, t AS train_start, lead(t, 99) OVER o AS train_end, lead(t, 100) OVER o AS validation_start, lead(t, 149) OVER o AS validation_end, lead(t, 150) OVER o AS test_start, lead(t, 199) OVER o AS test_end FROM x WINDOW o AS (ORDER BY i) QUALIFY i % 50 = 0 AND lead(t, 199) OVER o IS NOT NULL"""
+
+
+@query("p12_walk_forward", _WINDOWS)
 def walk_forward(spark: SparkSession, d: str) -> DataFrame:
     return predicates.walk_forward(tables.candles(spark, d), "t", 100, 50, 50, 50)
 
 
+@query("x07_sql_windows", _WINDOWS)
+def sql_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The same windows by SQL alone, from a registered view and table function."""
+    scenarios.register_sql(spark, {"tideframe_candles": tables.candles(spark, d)})
+    return spark.sql("SELECT * FROM walk_forward_windows(TABLE(SELECT DISTINCT t FROM tideframe_candles) WITH SINGLE PARTITION ORDER BY (t), 100, 50, 50, 50, false)")
+
+
+@query("x06_scenario_runs", f"""WITH {TRADES_SQL}, s AS (SELECT * FROM (VALUES ('base', 0.3), ('strict', 0.6)) v(scenario, low)) SELECT scenario, 'completed' AS run_status, CAST(NULL AS VARCHAR) AS error, symbol, count(*) AS trades, round(avg(net_r), 8) AS mean_r FROM trades JOIN s ON confidence >= low GROUP BY scenario, symbol
+UNION ALL SELECT 'typo', 'failed', 'AnalysisException', NULL, NULL, NULL UNION ALL SELECT 'broken', 'failed', 'ArithmeticException', NULL, NULL, NULL""")
+def scenario_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Four scenarios over all trades: one can't be planned, one fails in its tasks, the others complete."""
+
+    def run(spark: SparkSession, config: dict) -> DataFrame:
+        t = tables.trades(spark, d).where(F.col(config["column"]) >= config["least"])
+        return t.groupBy("symbol").agg(F.count("*").alias("trades"), F.round(F.avg(F.expr(config["value"])), 8).alias("mean_r"))
+
+    base = {"column": "confidence", "least": 0.3, "value": "net_r"}
+    matrix = {"base": {}, "strict": {"least": 0.6}, "typo": {"column": "confidense"}, "broken": {"value": "1 / (id - id)"}}
+    folder = f"{streams.shared_folder(spark)}/scenarios-{uuid.uuid4().hex}"
+    rows, report = scenarios.run_scenarios(spark, base, matrix, run, folder, "symbol string, trades long, mean_r double")
+    return report.select("scenario", "run_status", "error").join(rows, "scenario", "left")
+
+
 @query("p13_time_folds", CANDLES + ", e AS (SELECT min(t) AS lo, max(t) AS hi FROM candles) SELECT symbol, t, CAST(least(floor((t - lo) * 6.0 / (hi - lo)), 5) AS INT) AS fold FROM candles CROSS JOIN e")
 def time_folds(spark: SparkSession, d: str) -> DataFrame:
     return predicates.time_folds(tables.candles(spark, d).select("symbol", "t"), "t", 6)

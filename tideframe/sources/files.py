@@ -103,3 +103,92 @@ def dictionary(df: DataFrame, groups: Mapping[str, tuple[str, int]], version: st
     kind = {f.name: f.metadata.get("availability", "signal_time") for f in df.schema.fields}
     rows = F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.lit(groups[c][0]).alias("group"), F.lit(groups[c][1]).alias("lookback"), F.lit(kind[c]).alias("availability"), F.col(c).alias("rows"), F.lit(version).alias("version")) for c in names)))
     return counts.select(rows.alias("_d")).select("_d.*")
+
+
+def daily_closes(spark: SparkSession, path: str, micro_from: int = 10**15) -> DataFrame:
+    """symbol, day, close of daily kline files named after their symbol (symbol=.../), with or without a header line.
+
+    A file's open times are microseconds if its largest is over micro_from, else milliseconds. Of a day's repeated lines the
+    last of the last file stays; closes that can't be read are null.
+    """
+    f = F.split("value", ",")
+    lines = spark.read.text(path).select(F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), r"symbol=([^/]+)/", 1)).alias("symbol"), F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_line"), F.get(f, F.lit(0)).try_cast("long").alias("_open"), F.get(f, F.lit(4)).try_cast("double").alias("close")).where("_open IS NOT NULL")
+    units = lines.groupBy("_file").agg(F.when(F.max("_open") > micro_from, 1_000_000).otherwise(1_000).alias("_unit"))
+    dated = lines.join(units, "_file").withColumn("day", F.to_date(F.timestamp_seconds(F.expr("_open div _unit"))))
+    return _last(dated.select("symbol", "day", "close", "_file", "_line"), ["symbol", "day"], F.struct("_file", "_line"))
+
+
+def aggregate_trades(spark: SparkSession, path: str) -> DataFrame:
+    """symbol, id, us, price, qty, first_id, last_id, aggressive_buy of trade files without header (symbol=.../).
+
+    Lines that don't begin with a number go; lines with fewer than eight fields are an error. Times are milliseconds or
+    microseconds by their size.
+    """
+    f = F.split("value", ",")
+    lines = spark.read.text(path).select(F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), r"symbol=([^/]+)/", 1)).alias("symbol"), f.alias("f")).where(F.col("f")[0].rlike("^[0-9]+$"))
+    lines = lines.withColumn("f", F.when(F.size("f") >= 8, F.col("f")).otherwise(F.raise_error(F.lit("a trade line has fewer than eight fields")).cast("array<string>")))
+    at = lambda i, kind: F.col("f")[i].cast(kind)
+    return lines.select("symbol", at(0, "long").alias("id"), F.unix_micros(from_epoch(at(5, "long"))).alias("us"), at(1, "double").alias("price"), at(2, "double").alias("qty"), at(3, "long").alias("first_id"), at(4, "long").alias("last_id"), (F.lower(F.trim(F.col("f")[6])) != "true").alias("aggressive_buy"))
+
+
+_NUMBER = "decimal(38,18)"
+
+
+def _field(payload: Column, name: str, kind: str) -> tuple[Column, Column]:
+    """A field of a JSON text, typed, and what is wrong with it (null if nothing). kind: text, ms, number, number?."""
+    raw = clean_text(F.get_json_object(payload, f"$.{name}"))
+    if kind == "text":
+        value = F.upper(raw)
+    elif kind == "ms":
+        value = F.timestamp_millis(raw.try_cast("long"))
+    else:
+        value = raw.try_cast(_NUMBER)
+    wrong = value.isNull() if kind != "number?" else value.isNull() & raw.isNotNull()
+    return value, F.when(wrong, F.concat(F.when(raw.isNull(), "missing ").otherwise("malformed "), F.lit(name)))
+
+
+def funding_pages(spark: SparkSession, path: str, venue: str = "binance", market_type: str = "um_futures") -> DataFrame:
+    """Funding rows of JSON pages, an array of objects a line: venue, market_type, symbol, funding_t, available_t (seconds;
+    known when due), rate, mark_price, reason. Rows with a reason (a required field is missing or malformed) are kept."""
+    rows = spark.read.text(path).select(F.explode_outer(F.from_json("value", "array<string>")).alias("row"), "value")
+    fields = {"symbol": ("symbol", "text"), "at": ("fundingTime", "ms"), "rate": ("fundingRate", "number"), "mark_price": ("markPrice", "number?")}
+    typed = {k: _field(F.col("row"), *v) for k, v in fields.items()}
+    reason = F.when(F.col("row").isNull(), "malformed page").otherwise(F.coalesce(*(w for _, w in typed.values())))
+    x = rows.select(*(v.alias(k) for k, (v, _) in typed.items()), reason.alias("reason"))
+    at = F.unix_seconds("at")
+    return x.select(F.lit(venue.lower()).alias("venue"), F.lit(market_type.lower()).alias("market_type"), "symbol", at.alias("funding_t"), at.alias("available_t"), "rate", "mark_price", "reason")
+
+
+_RATIO = {"long_short_ratio": ("longShortRatio", "number"), "long_account": ("longAccount", "number"), "short_account": ("shortAccount", "number")}
+#: Tables of crowding messages by kind: their columns, and field and type of each. Names of fields.
+CROWDING = {
+    "open_interest": {"symbol": ("symbol", "text"), "event_time": ("time", "ms"), "open_interest": ("openInterest", "number")},
+    "open_interest_hist": {"symbol": ("symbol", "text"), "event_time": ("timestamp", "ms"), "sum_open_interest": ("sumOpenInterest", "number"), "sum_open_interest_value": ("sumOpenInterestValue", "number"), "cmc_circulating_supply": ("CMCCirculatingSupply", "number?")},
+    "global_long_short": {"symbol": ("symbol", "text"), "event_time": ("timestamp", "ms"), **_RATIO},
+    "top_long_short_position": {"symbol": ("symbol", "text"), "event_time": ("timestamp", "ms"), "long_short_ratio": ("longShortRatio", "number"), "long_position": ("longAccount", "number"), "short_position": ("shortAccount", "number")},
+    "top_long_short_account": {"symbol": ("symbol", "text"), "event_time": ("timestamp", "ms"), **_RATIO},
+}
+
+
+def routed_messages(spark: SparkSession, path: str, to: str, routes: Mapping[str, Mapping[str, tuple[str, str]]] = CROWDING) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Typed tables of JSON lines {"kind", "period", "available_ms", "row": {...}} by kind, and the lines that don't fit.
+
+    The lines are read once, and written under `to` in a folder a kind (one more for rejects), from which tables are read
+    with their own columns: what the route has, then period and source_available_at. Rejects: line and reason (malformed
+    line, unknown kind, or the first field that is missing or malformed).
+    """
+    envelope = F.from_json("value", "kind string, period string, available_ms long, row string").alias("m")
+    lines = spark.read.text(path).select(F.col("value").alias("line"), envelope).select("line", "m.*")
+    rows, reasons = [], []
+    for kind, columns in routes.items():
+        typed = {c: _field(F.col("row"), *spec) for c, spec in columns.items()}
+        own = F.col("kind") == kind
+        rows.append(F.when(own, F.struct(*(v.alias(c) for c, (v, _) in typed.items()), "period", F.timestamp_millis("available_ms").alias("source_available_at"))).alias(kind))
+        reasons.append(F.when(own, F.coalesce(*(w for _, w in typed.values()))))
+    known = F.col("kind").isin(*routes)
+    reason = F.when(F.col("kind").isNull(), "malformed line").when(~known, "unknown kind").otherwise(F.coalesce(*reasons))
+    x = lines.select("line", *rows, reason.alias("reason"), F.when(reason.isNull(), F.col("kind")).otherwise("rejected").alias("table"))
+    kept = F.col("table") == "rejected"
+    x.select(F.when(kept, F.col("line")).alias("line"), *(F.when(~kept, F.col(k)).alias(k) for k in routes), "reason", "table").write.partitionBy("table").parquet(to)
+    written = spark.read.schema(x.schema).parquet(to)
+    return {k: written.where(F.col("table") == k).select(f"{k}.*") for k in routes}, written.where("table = 'rejected'").select("line", "reason")
