@@ -14,6 +14,7 @@ from pyspark.sql.window import Window, WindowSpec
 
 from tideframe.functions.scalars import change, flag, ratio, sign, steps
 from tideframe.operators import chunks
+from tideframe.operators.asof import asof, asof_for_all
 from tideframe.operators.scan import ema_weights, recurrence, weighted_lags
 
 
@@ -259,13 +260,19 @@ def wilder(df: DataFrame, source: str, period: int, to: str, s: Series = Series(
     return recurrence(df, list(s.by), s.order, {to: (source, 1 / period)}, {to: period})
 
 
-def wilder_indicators(bars: DataFrame, rsi_period: int = 14, atr_period: int = 20, adx_period: int = 14, s: Series = Series()) -> DataFrame:
-    """Wilder RSI, ATR and ADX, MACD 12/26/9 and Keltner position."""
+def wilder_inputs(s: Series) -> dict[str, Column]:
+    """Gains, losses, true range and directional movements, which start from 0 at a series' first bar."""
     d = F.col("close") - s.back("close")
-    x = bars.drop("true_range").select("*", F.when(d.isNotNull(), F.greatest(d, F.lit(0.0))).alias("_gain"), F.when(d.isNotNull(), F.greatest(-d, F.lit(0.0))).alias("_loss"), true_range(s).alias("true_range"), *(c.alias(k) for k, c in movements(s).items()), (F.row_number().over(s.w) - 1).alias("_i"))
-    by, o = list(s.by), s.order
+    moves = {k: F.coalesce(c, F.lit(0.0)) for k, c in movements(s).items()}
+    return {"_gain": F.when(d.isNotNull(), F.greatest(d, F.lit(0.0))), "_loss": F.when(d.isNotNull(), F.greatest(-d, F.lit(0.0))), "true_range": true_range(s), **moves}
+
+
+def _recursive(x: DataFrame, by: list[str], order: str, means: dict[str, tuple[str, float, int]], rsi_period: int, atr_period: int, adx_period: int) -> DataFrame:
+    """Wilder RSI, ATR and ADX, MACD 12/26/9 and further exponential means (name -> column, alpha, rows) of rows that have
+    wilder_inputs() and their number _row."""
     a = 1 / adx_period
-    x = recurrence(x, by, o, {"_g": ("_gain", 1 / rsi_period), "_l": ("_loss", 1 / rsi_period), "wilder_atr": ("true_range", 1 / atr_period), "_tr": ("true_range", a), "_sp": ("_plus", a), "_sm": ("_minus", a), "_e12": ("close", 2 / 13), "_e26": ("close", 2 / 27), "_e20": ("close", 2 / 21)}, {"_g": rsi_period, "_l": rsi_period, "wilder_atr": atr_period, "_tr": adx_period, "_sp": adx_period, "_sm": adx_period, "_e12": 12, "_e26": 26, "_e20": 20}, "_i")
+    first = {"_g": ("_gain", 1 / rsi_period, rsi_period), "_l": ("_loss", 1 / rsi_period, rsi_period), "wilder_atr": ("true_range", 1 / atr_period, atr_period), "_tr": ("true_range", a, adx_period), "_sp": ("_plus", a, adx_period), "_sm": ("_minus", a, adx_period), "_e12": ("close", 2 / 13, 12), "_e26": ("close", 2 / 27, 26), **means}
+    x = recurrence(x, by, order, {k: v[:2] for k, v in first.items()}, {k: v[2] for k, v in first.items()}, "_row")
     plus, minus = ratio(F.col("_sp"), F.col("_tr")) * 100, ratio(F.col("_sm"), F.col("_tr")) * 100
     x = x.select(
         "*",
@@ -274,10 +281,74 @@ def wilder_indicators(bars: DataFrame, rsi_period: int = 14, atr_period: int = 2
         minus.alias("wilder_minus_di"),
         F.coalesce(ratio(F.abs(plus - minus), plus + minus) * 100, F.lit(0.0)).alias("_dx"),
         (F.col("_e12") - F.col("_e26")).alias("macd_line"),
-        ratio(F.col("close") - (F.col("_e20") - F.col("wilder_atr")), 2 * F.col("wilder_atr")).alias("keltner_position"),
     )
-    x = recurrence(x, by, o, {"wilder_adx": ("_dx", a), "macd_line_signal": ("macd_line", 2 / 10)}, {"wilder_adx": adx_period, "macd_line_signal": 9}, "_i")
-    return x.withColumn("macd_line_histogram", F.col("macd_line") - F.col("macd_line_signal")).drop("_gain", "_loss", "_plus", "_minus", "_i", "_g", "_l", "_tr", "_sp", "_sm", "_e12", "_e26", "_e20", "_dx")
+    x = recurrence(x, by, order, {"wilder_adx": ("_dx", a), "macd_line_signal": ("macd_line", 2 / 10)}, {"wilder_adx": adx_period, "macd_line_signal": 9}, "_row")
+    return x.withColumn("macd_line_histogram", F.col("macd_line") - F.col("macd_line_signal")).drop("_gain", "_loss", "_plus", "_minus", "_g", "_l", "_tr", "_sp", "_sm", "_e12", "_e26", "_dx")
+
+
+def wilder_indicators(bars: DataFrame, rsi_period: int = 14, atr_period: int = 20, adx_period: int = 14, s: Series = Series()) -> DataFrame:
+    """Wilder RSI, ATR and ADX, MACD 12/26/9 and Keltner position, in chunks of time."""
+    x = in_chunks(bars.drop("true_range"), s, 1)
+    x = own_rows(x.select("*", *(c.alias(k) for k, c in wilder_inputs(Series((*s.by, "_chunk"), s.order)).items())))
+    x = _recursive(x, list(s.by), s.order, {"_e20": ("close", 2 / 21, 20)}, rsi_period, atr_period, adx_period)
+    keltner = ratio(F.col("close") - (F.col("_e20") - F.col("wilder_atr")), 2 * F.col("wilder_atr"))
+    return x.withColumn("keltner_position", keltner).drop("_e20", "_row")
+
+
+def study_frame(bars: DataFrame, s: Series = Series(), span: int = chunks.SPAN) -> DataFrame:
+    """Indicator frame of a series of bars (open, high, low, close, quote_volume, taker_buy, trades): ATR, RSI, ADX,
+    exponential means of 8, 18, 50 and 200 bars, MACD, Bollinger, Keltner and Donchian positions, returns, volatility,
+    participation and candle shape. A column is null until its frame is full; macd_above_signal is 0 until then.
+
+    Rolling columns are made in chunks of time with the rows before them, recursive ones from chunk ends; what rolls over
+    recursive columns follows in chunks again. No task holds a series.
+    """
+    inner = Series((*s.by, "_chunk"), s.order)
+    c = F.col("close")
+    volume, trades = (F.nullif(F.col(x).cast("double"), F.lit(0.0)) for x in ("quote_volume", "trades"))
+    x = in_chunks(bars, s, 64, span)
+    bands = bollinger(inner, 20)
+    high, low = inner.full(F.col("high"), 20, F.max, 1), inner.full(F.col("low"), 20, F.min, 1)
+    shape = candle_shape()
+    x = x.select("*", *(v.alias(k) for k, v in {
+        **wilder_inputs(inner),
+        **returns(inner, lags=(1, 6, 30)),
+        "boll_position": bands["bollinger_position"],
+        "boll_width": bands["bollinger_width"],
+        "donchian_high": high,
+        "donchian_low": low,
+        "taker_buy_share": F.col("taker_buy") / volume,
+        "volume_z": zscore(inner, F.col("quote_volume").cast("double"), 60),
+        "_trade_size": volume / trades,
+        "body_fraction": shape["body_ratio"],
+        "upper_wick": shape["upper_wick"],
+        "lower_wick": shape["lower_wick"],
+    }.items()))
+    x = x.select("*", inner.full(F.col("return_1"), 30, F.stddev_pop).alias("realized_vol"), zscore(inner, F.col("_trade_size"), 60).alias("trade_size_z"))
+    means = {f"_m{n}": ("close", 2 / (n + 1), n) for n in (8, 18, 20, 50, 200)}
+    x = _recursive(own_rows(x), list(s.by), s.order, means, 14, 20, 14)
+    atr_, span_ = F.col("wilder_atr"), F.col("donchian_high") - F.col("donchian_low")
+    x = x.select("*", atr_.alias("atr"), ratio(atr_, c).alias("atr_pct"), F.col("wilder_rsi").alias("rsi"), F.col("wilder_adx").alias("adx"), (F.col("_m8") / c - 1).alias("ema_short_rel"), (F.col("_m50") / c - 1).alias("ema_long_rel"), (F.signum(F.col("_m8") - F.col("_m18")) + F.signum(F.col("_m50") - F.col("_m200"))).alias("ema_stack"), ratio(F.col("macd_line_histogram"), atr_).alias("macd_hist_norm"), F.coalesce((F.col("macd_line") > F.col("macd_line_signal")).cast("double"), F.lit(0.0)).alias("macd_above_signal"), ratio(c - (F.col("_m20") - atr_), 2 * atr_).alias("keltner_position"), ratio(c - F.col("donchian_low"), span_).alias("donchian_position"), ratio(F.nullif(span_, F.lit(0.0)), atr_).alias("donchian_span_atr"))
+    # Rolling over recursive columns.
+    x = in_chunks(x.drop("_row"), s, 64, span)
+    x = x.select("*", (F.col("_m50") / inner.back("_m50", 5) - 1).alias("ema_long_slope"), zscore(inner, F.col("realized_vol"), 60).alias("vol_of_vol"), zscore(inner, F.col("atr_pct"), 60).alias("atr_pct_z"))
+    inside = ["_row", "_trade_size", "true_range", "wilder_atr", "wilder_rsi", "wilder_adx", "wilder_plus_di", "wilder_minus_di", "macd_line", "macd_line_signal", "macd_line_histogram", *means]
+    return own_rows(x).drop(*inside)
+
+
+#: Columns of the study frame that a coarser frame gives as context, under a prefix.
+CONTEXT = ("rsi", "adx", "atr_pct", "ema_long_rel", "ema_long_slope", "donchian_position", "return_6", "realized_vol")
+
+
+def study_features(bars: DataFrame, daily: DataFrame, reference: str, s: Series = Series(), close_t: str = "close_t") -> DataFrame:
+    """study_frame() of bars with the context of daily bars that are closed by then: the series' own under d1_, that of a
+    reference series under ref_, hour of the day and day of the week (Monday is 0) of the bar's begin."""
+    own = study_frame(daily, s).select(*s.by, F.col(close_t).alias("_known"), *(F.col(c).alias(f"d1_{c}") for c in CONTEXT))
+    x = asof(study_frame(bars, s), own, close_t, "_known", list(s.by), [f"d1_{c}" for c in CONTEXT]).drop("_known")
+    other = own.where(F.col(s.by[0]) == reference).select("_known", *(F.col(f"d1_{c}").alias(f"ref_{c}") for c in ("ema_long_rel", "realized_vol", "return_6")))
+    x = asof_for_all(x, other, close_t, "_known", ["ref_ema_long_rel", "ref_realized_vol", "ref_return_6"], 7 * 86400)
+    at = F.timestamp_seconds(s.order)
+    return x.withColumn("hour_of_day", F.hour(at)).withColumn("day_of_week", F.weekday(at))
 
 
 def donchian(s: Series, n: int) -> dict[str, Column]:

@@ -10,8 +10,11 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 from pyspark.sql.window import Window
 
+from tideframe.operators.chunks import numbered
+
 
 def recurrence(df: DataFrame, by: list[str], order: str, columns: dict[str, tuple[str, float]], min_rows: dict[str, int] | None = None, index: str | None = None) -> DataFrame:
     """Add exponentially weighted means.
@@ -21,13 +24,18 @@ def recurrence(df: DataFrame, by: list[str], order: str, columns: dict[str, tupl
     rows with or after the first value. index: a column with the row's number (from 0) in its series, if there is one.
     """
     i = F.col(index or "_i")
-    out = df if index else df.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1)
+    if index:
+        out = df
+    elif isinstance(df.schema[order].dataType, NumericType):
+        out = numbered(df, by, order).withColumn("_i", F.col("_row")).drop("_row", "_chunk", "_next")
+    else:
+        out = df.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1)
     # One chunk length for all columns, so that they share windows, one aggregation and one join.
     chunk = min(max(8, min(512, int(500 / -math.log(1 - alpha)))) if alpha < 1 else 512 for _, alpha in columns.values())
-    series = Window.partitionBy(*by)
     names = list(enumerate(columns.items()))
-    firsts = [F.min(F.when(F.col(source).isNotNull(), i)).over(series).alias(f"_f{k}") for k, (_, (source, _)) in names]
-    out = out.select("*", F.floor(i / chunk).cast("int").alias("_c"), (i % chunk).cast("int").alias("_q"), *firsts)
+    # One row a series: the first row with a value, of each column.
+    firsts = out.groupBy(*by).agg(*(F.min(F.when(F.col(source).isNotNull(), i)).alias(f"_f{k}") for k, (_, (source, _)) in names))
+    out = out.join(firsts, by).withColumn("_c", F.floor(i / chunk).cast("int")).withColumn("_q", (i % chunk).cast("int"))
     inside = Window.partitionBy(*by, "_c").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     local = []
     for k, (_, (source, alpha)) in names:

@@ -97,14 +97,49 @@ def _of(columns: list[str], digits: int = 5):
 
 query("w25_wilder_rsi", _BASE + ", " + _from(1 / 14, "gain", "s", "a", 2) + ", " + _from(1 / 14, "loss", "s", "b", 2) + """ SELECT s.symbol, s.t, CASE WHEN s.n >= 15 THEN round(CASE WHEN b.y = 0 THEN 100 ELSE 100 - 100 / (1 + a.y / b.y) END, 5) END AS wilder_rsi FROM s LEFT JOIN a USING (symbol, n) LEFT JOIN b USING (symbol, n)""")(_of(["wilder_rsi"]))
 query("w26_wilder_atr", _BASE + ", " + _from(1 / 20, "tr", "s", "a", 1) + " SELECT s.symbol, s.t, CASE WHEN s.n >= 20 THEN round(a.y, 5) END AS wilder_atr FROM s JOIN a USING (symbol, n)")(_of(["wilder_atr"]))
-query("w27_wilder_adx", _BASE + ", " + ", ".join((_from(1 / 14, "tr", "s", "a", 1), _from(1 / 14, "p", "s", "b", 2), _from(1 / 14, "m", "s", "c", 2))) + """,
-x AS (SELECT s.symbol, s.n, s.t, CASE WHEN s.n >= 15 THEN b.y / nullif(a.y, 0) * 100 END AS pd, CASE WHEN s.n >= 15 THEN c.y / nullif(a.y, 0) * 100 END AS md FROM s JOIN a USING (symbol, n) LEFT JOIN b USING (symbol, n) LEFT JOIN c USING (symbol, n)),
+query("w27_wilder_adx", _BASE + ", " + ", ".join((_from(1 / 14, "tr", "s", "a", 1), _from(1 / 14, "p", "s", "b", 1), _from(1 / 14, "m", "s", "c", 1))) + """,
+x AS (SELECT s.symbol, s.n, s.t, CASE WHEN s.n >= 14 THEN b.y / nullif(a.y, 0) * 100 END AS pd, CASE WHEN s.n >= 14 THEN c.y / nullif(a.y, 0) * 100 END AS md FROM s JOIN a USING (symbol, n) LEFT JOIN b USING (symbol, n) LEFT JOIN c USING (symbol, n)),
 dx AS (SELECT *, coalesce(abs(pd - md) / nullif(pd + md, 0) * 100, 0) AS v FROM x), """ + _from(1 / 14, "v", "dx", "e", 1) + """ SELECT dx.symbol, dx.t, round(pd, 5) AS wilder_plus_di, round(md, 5) AS wilder_minus_di, CASE WHEN dx.n >= 14 THEN round(e.y, 5) END AS wilder_adx FROM dx JOIN e USING (symbol, n)""")(_of(["wilder_plus_di", "wilder_minus_di", "wilder_adx"]))
 query("w28_macd", _BASE + ", " + _from(2 / 13, "close", "s", "a", 1) + ", " + _from(2 / 27, "close", "s", "b", 1) + """,
 x AS (SELECT s.symbol, s.n, s.t, CASE WHEN s.n >= 26 THEN a.y - b.y END AS line FROM s JOIN a USING (symbol, n) JOIN b USING (symbol, n)), """ + _from(2 / 10, "line", "x", "e", 26) + """ SELECT x.symbol, x.t, round(line, 5) AS macd_line, CASE WHEN x.n >= 34 THEN round(e.y, 5) END AS macd_line_signal FROM x LEFT JOIN e USING (symbol, n)""")(_of(["macd_line", "macd_line_signal"]))
 query("w30_keltner", _BASE + ", " + _from(2 / 21, "close", "s", "a", 1) + ", " + _from(1 / 20, "tr", "s", "b", 1) + """ SELECT s.symbol, s.t, CASE WHEN s.n >= 20 THEN round((close - (a.y - b.y)) / nullif(2 * b.y, 0), 5) END AS keltner_position FROM s JOIN a USING (symbol, n) JOIN b USING (symbol, n)""")(_of(["keltner_position"]))
 
 
+_STUDY = CANDLES.replace("WITH ", "WITH RECURSIVE ", 1) + """, q AS (SELECT *, row_number() OVER w AS n, lag(close) OVER w AS pc, high - lag(high) OVER w AS up, lag(low) OVER w - low AS dn FROM candles WINDOW w AS (PARTITION BY symbol ORDER BY t)),
+s AS (SELECT *, greatest(close - pc, 0) AS gain, greatest(pc - close, 0) AS loss, CASE WHEN pc IS NULL THEN high - low ELSE greatest(high - low, abs(high - pc), abs(low - pc)) END AS tr, CASE WHEN up > dn AND up > 0 THEN up ELSE 0 END AS p, CASE WHEN dn > up AND dn > 0 THEN dn ELSE 0 END AS m FROM q), """ + ", ".join([
+    _from(1 / 14, "gain", "s", "rg", 2), _from(1 / 14, "loss", "s", "rl", 2), _from(1 / 20, "tr", "s", "ra", 1), _from(1 / 14, "tr", "s", "rt", 1), _from(1 / 14, "p", "s", "rp", 1), _from(1 / 14, "m", "s", "rm", 1),
+    *(_from(2 / (k + 1), "close", "s", f"e{k}", 1) for k in (8, 12, 18, 20, 26, 50, 200)),
+]) + """, x AS (SELECT s.*, CASE WHEN n >= 14 THEN coalesce(abs(rp.y - rm.y) / nullif(rp.y + rm.y, 0) * 100, 0) ELSE 0 END AS dx, CASE WHEN n >= 26 THEN e12.y - e26.y END AS line, CASE WHEN n >= 20 THEN ra.y END AS atr,
+CASE WHEN n >= 15 THEN CASE WHEN rl.y = 0 THEN 100 ELSE 100 - 100 / (1 + rg.y / rl.y) END END AS rsi, CASE WHEN n >= 8 THEN e8.y END AS m8, CASE WHEN n >= 18 THEN e18.y END AS m18, CASE WHEN n >= 20 THEN e20.y END AS m20, CASE WHEN n >= 50 THEN e50.y END AS m50, CASE WHEN n >= 200 THEN e200.y END AS m200
+FROM s LEFT JOIN rg USING (symbol, n) LEFT JOIN rl USING (symbol, n) JOIN ra USING (symbol, n) JOIN rp USING (symbol, n) JOIN rm USING (symbol, n) JOIN e8 USING (symbol, n) JOIN e12 USING (symbol, n) JOIN e18 USING (symbol, n) JOIN e20 USING (symbol, n) JOIN e26 USING (symbol, n) JOIN e50 USING (symbol, n) JOIN e200 USING (symbol, n)), """ + _from(1 / 14, "dx", "x", "rx", 1) + ", " + _from(2 / 10, "line", "x", "sg", 26) + """,
+y AS (SELECT x.*, CASE WHEN x.n >= 14 THEN rx.y END AS adx, CASE WHEN x.n >= 34 THEN sg.y END AS sig, close / nullif(pc, 0) - 1 AS r1 FROM x JOIN rx USING (symbol, n) LEFT JOIN sg USING (symbol, n)),
+z AS (SELECT *, close / nullif(lag(close, 6) OVER w, 0) - 1 AS r6, close / nullif(lag(close, 30) OVER w, 0) - 1 AS r30, CASE WHEN n >= 20 THEN avg(close) OVER f20 END AS ma, CASE WHEN n >= 20 THEN stddev_pop(close) OVER f20 END AS sd, CASE WHEN n >= 21 THEN max(high) OVER d20 END AS dh, CASE WHEN n >= 21 THEN min(low) OVER d20 END AS dl, CASE WHEN n >= 31 THEN stddev_pop(r1) OVER f30 END AS rv, quote_volume / nullif(trades, 0) AS sz, m50 / lag(m50, 5) OVER w - 1 AS slope, atr / nullif(close, 0) AS ap
+FROM y WINDOW w AS (PARTITION BY symbol ORDER BY t), f20 AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), d20 AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), f30 AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)),
+o AS (SELECT *, CASE WHEN count(rv) OVER f = 60 THEN (rv - avg(rv) OVER f) / nullif(stddev_pop(rv) OVER f, 0) END AS vv, CASE WHEN count(ap) OVER f = 60 THEN (ap - avg(ap) OVER f) / nullif(stddev_pop(ap) OVER f, 0) END AS az, CASE WHEN count(quote_volume) OVER f = 60 THEN (quote_volume - avg(quote_volume) OVER f) / nullif(stddev_pop(quote_volume) OVER f, 0) END AS vz, CASE WHEN count(sz) OVER f = 60 THEN (sz - avg(sz) OVER f) / nullif(stddev_pop(sz) OVER f, 0) END AS tz FROM z WINDOW f AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))
+"""
+#: SQL of each column of the study frame.
+_STUDY_COLUMNS = {
+    "atr_pct": "ap", "atr_pct_z": "az", "rsi": "rsi", "adx": "adx", "ema_short_rel": "m8 / close - 1", "ema_long_rel": "m50 / close - 1", "ema_stack": "CAST(sign(m8 - m18) + sign(m50 - m200) AS DOUBLE)", "ema_long_slope": "slope",
+    "macd_hist_norm": "(line - sig) / nullif(atr, 0)", "macd_above_signal": "CAST(coalesce(line > sig, false) AS DOUBLE)", "boll_position": "(close - (ma - 2 * sd)) / nullif(4 * sd, 0)", "boll_width": "nullif(4 * sd, 0) / nullif(ma, 0)", "keltner_position": "(close - (m20 - atr)) / nullif(2 * atr, 0)",
+    "donchian_position": "(close - dl) / nullif(dh - dl, 0)", "donchian_span_atr": "nullif(dh - dl, 0) / nullif(atr, 0)", "return_1": "r1", "return_6": "r6", "return_30": "r30", "realized_vol": "rv", "vol_of_vol": "vv", "taker_buy_share": "taker_buy / nullif(quote_volume, 0)", "volume_z": "vz", "trade_size_z": "tz",
+    "body_fraction": "abs(close - open) / nullif(high - low, 0)", "upper_wick": "(high - greatest(open, close)) / nullif(high - low, 0)", "lower_wick": "(least(open, close) - low) / nullif(high - low, 0)",
+}
+
+
+@query("w33_base_indicator_frame", _STUDY + "SELECT symbol, t, " + ", ".join(f"round({v}, 5) AS {k}" for k, v in _STUDY_COLUMNS.items()) + " FROM o")
+def base_indicator_frame(spark: SparkSession, d: str) -> DataFrame:
+    """The price features of hourly bars."""
+    return rounded(features.study_frame(tables.candles(spark, d)).select("symbol", "t", *_STUDY_COLUMNS), 5)
+
+
+@query("w33_study_features")
+def study_features(spark: SparkSession, d: str) -> DataFrame:
+    """All 39 price features: hourly bars with the context of six-hour bars, of their own and of a reference series."""
+    c = tables.candles(spark, d)
+    coarse = tables.candles(spark, d, 6 * 3600)
+    return rounded(features.study_features(c, coarse, "view").drop("open", "high", "low", "close", "volume", "quote_volume", "taker_buy", "trades", "donchian_high", "donchian_low", "atr"), 6)
+
+
 # Labels --------------------------------------------------------------------------------------------------------------
 
 _TOUCH = CANDLES + """, n AS (SELECT symbol, t, high, low, close, row_number() OVER (PARTITION BY symbol ORDER BY t) AS n FROM candles),

@@ -236,13 +236,6 @@ def wilder_smoothing(spark: SparkSession, d: str) -> DataFrame:
     return rounded(features.wilder(x, "x", 14, "smooth").select("symbol", "t", "smooth"))
 
 
-@query("w33_base_indicator_frame")
-def base_indicator_frame(spark: SparkSession, d: str) -> DataFrame:
-    b = bars.regroup(tables.candles(spark, d), H4, closed_only=False).withColumn("quote_volume", F.col("volume") * F.col("close")).withColumn("taker_buy", F.col("quote_volume") / 2)
-    x = features.wilder_indicators(features.core_features(b, N))
-    return rounded(x.select("*", *(c.alias(k) for k, c in features.donchian(S, N).items())))
-
-
 @query("w31_donchian", CANDLES + f", x AS (SELECT symbol, t, close, {_full('max(high) {over}', 'high', N, 1)} AS h, {_full('min(low) {over}', 'low', N, 1)} AS l FROM candles) SELECT symbol, t, h AS donchian_high, l AS donchian_low, round((close - l) / nullif(h - l, 0), 6) AS donchian_position FROM x")
 def donchian(spark: SparkSession, d: str) -> DataFrame:
     return rounded(tables.candles(spark, d).select("symbol", "t", *(c.alias(k) for k, c in features.donchian(S, N).items())))
