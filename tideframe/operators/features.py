@@ -82,6 +82,13 @@ def volatility_expansion(s: Series, n: int) -> dict[str, Column]:
     return {"volatility_expansion": x, "volatility_bucket": steps(x, [0.75, 1.5, 2.5])}
 
 
+def timeframe_features(bars: DataFrame, n: int, prefix: str, s: Series = Series()) -> DataFrame:
+    """Return, trend flag, sign of the mean's slope, range position and volatility bucket of derived bars over n of them."""
+    c = {**returns(s, lags=(1,)), **moving_average(s, n), **range_position(s, n), **volatility_expansion(s, n)}
+    names = {"return_1": "return_1", "above_ma": f"trend_above_ma_{n}", "ma_slope_sign": f"ma_slope_sign_{n}", "range_position": f"range_position_{n}", "volatility_bucket": f"volatility_bucket_{n}"}
+    return bars.select("*", *(c[k].alias(f"{prefix}_{v}") for k, v in names.items()))
+
+
 def realized_volatility(s: Series, n: int, ret: str) -> dict[str, Column]:
     """Deviation of the n - 1 returns within the frame."""
     return {"realized_volatility": s.full(F.col(ret), n - 1, F.stddev_pop)}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tideframe.functions.scalars import ratio
+from tideframe.operators.asof import asof
 from tideframe.operators.features import Series, zscore
 
 
@@ -118,3 +119,18 @@ def change_since_snapshot(snapshots: DataFrame, key: Sequence[str], order: str,
     """Each snapshot's value less the key's previous one (all of it where there is none)."""
     w = Window.partitionBy(*key).orderBy(order)
     return snapshots.withColumn("delta", F.col(value) - F.coalesce(F.lag(value).over(w), F.lit(0.0)))
+
+
+def funding_window(bars: DataFrame, funding: DataFrame, n: int, time: str = "t", interval_h: float = 8.0) -> DataFrame:
+    """bars with the latest funding row known by then: its rate, sign and size, mean, z-score and size of that over the
+    last n funding rows (null before), hours since it was due and hours to the next one (at least 0).
+
+    funding: symbol, funding_t, available_t, rate. Without a funding row all are null.
+    """
+    f = Series(order="funding_t")
+    r = F.col("rate")
+    z = zscore(f, r, n)
+    x = funding.select("symbol", "available_t", F.col("funding_t").alias("_due"), r.alias("funding_rate"), f.full(r, n, F.avg).alias("funding_mean"), z.alias("funding_z"))
+    out = asof(bars, x, time, "available_t", ["symbol"], ["funding_rate", "funding_mean", "funding_z", "_due"]).drop("available_t")
+    since = (F.col(time) - F.col("_due")) / 3600.0
+    return out.select(*bars.columns, "funding_rate", "funding_mean", "funding_z", F.abs("funding_z").alias("funding_z_size"), (F.col("funding_rate") > 0).cast("int").alias("funding_positive"), F.abs("funding_rate").alias("funding_size"), since.alias("hours_since_funding"), F.greatest(interval_h - since, F.lit(0.0)).alias("hours_to_funding"))

@@ -47,13 +47,16 @@ def basket_index(closes: DataFrame, symbol: str, time: str, close: str) -> DataF
     return x.groupBy(time).agg(F.avg(ratio(F.col(close), F.col("_b"))).alias("index"), F.count("*").alias("symbols"))
 
 
-def slices(df: DataFrame, conditions: Mapping[str, Column], r: str, least: int) -> DataFrame:
-    """Per named slice, in one pass: rows and mean; best marks the best mean with enough rows."""
+def slices(df: DataFrame, conditions: Mapping[str, Column], r: str, least: int, whole: str = "all", useful_rows: int = 30) -> DataFrame:
+    """Per named slice, in one pass: rows and mean; best marks the best mean with enough rows; useful one with useful_rows or
+    more and a better mean than the slice `whole`."""
     aggs = [c for k, cond in conditions.items() for c in (F.count_if(cond).alias(f"n_{k}"), F.avg(F.when(cond, F.col(r))).alias(f"m_{k}"))]
     rows = F.explode(F.array(*(F.struct(F.lit(k).alias("slice"), F.col(f"n_{k}").alias("rows"), F.col(f"m_{k}").alias("mean_r")) for k in conditions)))
     x = df.agg(*aggs).select(rows.alias("s")).select("s.*")  # one row a slice
     best = x.where(F.col("rows") >= least).agg(F.max_by("slice", F.struct("mean_r", "slice")).alias("_best"))
-    return x.crossJoin(F.broadcast(best)).withColumn("best", F.coalesce(F.col("slice") == F.col("_best"), F.lit(False))).drop("_best")
+    all_ = x.agg(F.max(F.when(F.col("slice") == whole, F.col("mean_r"))).alias("_all"))
+    x = x.crossJoin(F.broadcast(best)).crossJoin(F.broadcast(all_)).withColumn("best", F.coalesce(F.col("slice") == F.col("_best"), F.lit(False)))
+    return x.withColumn("useful", F.coalesce((F.col("rows") >= useful_rows) & (F.col("mean_r") > F.col("_all")), F.lit(False))).drop("_best", "_all")
 
 
 def study_breakdown(trades: DataFrame, levels: Mapping[str, Column], before: str, after: str) -> DataFrame:

@@ -30,11 +30,12 @@ def lookback_returns(s: Series, trend: int, recent: int) -> dict[str, Column]:
 
 
 def breakout(s: Series, n: int, margin: float, max_range: float) -> dict[str, Column]:
-    """Close over the n earlier highs by a margin, after a narrow range, and volume against its earlier mean."""
+    """Close over the n earlier highs by a margin, after a narrow range (false before n bars are there), and volume against
+    its earlier mean."""
     before = s.w.rowsBetween(-n, -1)
     full = F.count("close").over(before) == n
     high, low = F.max("high").over(before), F.min("low").over(before)
-    return {"breakout": F.when(full, (F.col("close") >= high * (1 + margin)) & (ratio(high - low, low) <= max_range)), "volume_ratio": F.when(full, ratio(F.col("volume"), F.avg("volume").over(before)))}
+    return {"breakout": F.coalesce(full & (F.col("close") >= high * (1 + margin)) & (ratio(high - low, low) <= max_range), F.lit(False)), "volume_ratio": F.when(full, ratio(F.col("volume"), F.avg("volume").over(before)))}
 
 
 def swing_rsi(s: Series, n: int, changes: str) -> dict[str, Column]:

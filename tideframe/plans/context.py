@@ -93,15 +93,17 @@ def asof_reference_context(spark: SparkSession, d: str) -> DataFrame:
     return out.select("symbol", "t", F.col("day_close").alias("ref_close"))
 
 
-@query("w22_multi_timeframe", _H4 + """, m AS (SELECT symbol, known, htf_return_1, htf_close, avg(htf_close) OVER w AS ma, count(*) OVER w AS n, lag(htf_close) OVER (PARTITION BY symbol ORDER BY known) AS prev FROM h WINDOW w AS (PARTITION BY symbol ORDER BY known ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)),
-x AS (SELECT symbol, known, htf_return_1, CASE WHEN n = 6 THEN CAST(htf_close >= ma AS INT) END AS trend FROM m)
-SELECT c.symbol, c.t, round(x.htf_return_1, 6) AS h4_return, x.trend AS h4_trend FROM candles c ASOF LEFT JOIN x ON c.symbol = x.symbol AND c.t >= x.known""")
+@query("w22_multi_timeframe", CANDLES + f""", g AS (SELECT symbol, ((close_t - 1) // {H4} + 1) * {H4} AS known, max(high) AS high, min(low) AS low, arg_max(close, candles.close_t) AS close FROM candles GROUP BY 1, 2),
+m AS (SELECT *, lag(close) OVER o AS prev, CASE WHEN count(*) OVER w = 6 THEN avg(close) OVER w END AS ma, CASE WHEN count(*) OVER w = 6 THEN max(high) OVER w END AS hi, CASE WHEN count(*) OVER w = 6 THEN min(low) OVER w END AS lo, CASE WHEN count(*) OVER w = 6 THEN (high - low) / nullif(avg(high - low) OVER w, 0) END AS x FROM g WINDOW o AS (PARTITION BY symbol ORDER BY known), w AS (PARTITION BY symbol ORDER BY known ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)),
+k AS (SELECT *, ma / nullif(lag(ma) OVER (PARTITION BY symbol ORDER BY known), 0) - 1 AS slope FROM m)
+SELECT c.symbol, c.t, round(k.close / nullif(k.prev, 0) - 1, 6) AS h4_return_1, CAST(k.close >= ma AS INT) AS h4_trend_above_ma_6, CAST(sign(slope) AS INT) AS h4_ma_slope_sign_6, round((k.close - lo) / nullif(hi - lo, 0), 6) AS h4_range_position_6, CASE WHEN x < 0.75 THEN 0 WHEN x < 1.5 THEN 1 WHEN x < 2.5 THEN 2 WHEN x >= 2.5 THEN 3 END AS h4_volatility_bucket_6 FROM candles c ASOF LEFT JOIN k ON c.symbol = k.symbol AND c.t >= k.known""")
 def multi_timeframe(spark: SparkSession, d: str) -> DataFrame:
-    h = _h4(spark, d)
-    s = features.Series(order="known")
-    x = h.select("symbol", "known", F.col("htf_return_1").alias("h4_return"), features.moving_average(s, 6, "htf_close")["above_ma"].alias("h4_trend"))
-    out = aj.asof(tables.candles(spark, d).select("symbol", "t"), x, "t", "known", ["symbol"], ["h4_return", "h4_trend"])
-    return rounded(out.select("symbol", "t", "h4_return", "h4_trend"))
+    """Features of four-hour bars as known at each hourly bar."""
+    h = bars.regroup(tables.candles(spark, d), H4, closed_only=False)
+    x = features.timeframe_features(h, 6, "h4", features.Series(order="close_t")).withColumnRenamed("close_t", "known")
+    names = [c for c in x.columns if c.startswith("h4_")]
+    out = aj.asof(tables.candles(spark, d).select("symbol", "t"), x, "t", "known", ["symbol"], names)
+    return rounded(out.select("symbol", "t", *(F.col(c).cast("int").alias(c) if c.split("_")[1] in ("trend", "ma", "volatility") else F.col(c) for c in names)))
 
 
 @query("a10_timeframe_breadth", _H4 + """ SELECT known AS t, count(*) AS symbols, round(avg(CAST(htf_return_1 > 0 AS DOUBLE)), 6) AS positive_share, round(avg(htf_return_1), 6) AS mean_return FROM h GROUP BY 1""")
@@ -131,11 +133,11 @@ def funding_panel(spark: SparkSession, d: str) -> DataFrame:
     return x.select("symbol", "t", "funding_rate", F.round("funding_mean", 8).alias("funding_mean"), F.round("funding_sum", 8).alias("funding_sum"), F.round("funding_z", 6).alias("funding_z"))
 
 
-@query("w21_funding_window", f"{K}, {FUNDING_SQL}, f AS (SELECT symbol, funding_t AS t, rate FROM funding) SELECT symbol, t, round({least_sql('avg', 'rate', 9, 9)}, 8) AS funding_mean, round({z_sql('rate', 9, 9)}, 6) AS funding_z, CAST(abs(rate) >= 0.3 AS INT) AS extreme FROM f")
+@query("w21_funding_window", CANDLES + f""", {FUNDING_SQL}, f AS (SELECT symbol, funding_t AS t, available_t, rate FROM funding), x AS (SELECT symbol, t AS due, available_t, rate, {least_sql('avg', 'rate', 9, 9)} AS m, {z_sql('rate', 9, 9)} AS z FROM f)
+SELECT c.symbol, c.t, rate AS funding_rate, round(m, 8) AS funding_mean, round(z, 6) AS funding_z, round(abs(z), 6) AS funding_z_size, CAST(rate > 0 AS INT) AS funding_positive, abs(rate) AS funding_size, round((c.t - due) / 3600.0, 6) AS hours_since_funding, round(greatest(8 - (c.t - due) / 3600.0, 0), 6) AS hours_to_funding FROM candles c ASOF LEFT JOIN x ON c.symbol = x.symbol AND c.t >= x.available_t""")
 def funding_window(spark: SparkSession, d: str) -> DataFrame:
-    f = tables.funding(spark, d).select("symbol", F.col("funding_t").alias("t"), "rate")
-    r = F.col("rate")
-    return f.select("symbol", "t", F.round(S.full(r, 9, F.avg), 8).alias("funding_mean"), F.round(features.zscore(S, r, 9), 6).alias("funding_z"), scalars.flag(F.abs(r) >= 0.3).alias("extreme"))
+    x = panels.funding_window(tables.candles(spark, d).select("symbol", "t"), tables.funding(spark, d), 9)
+    return x.select("symbol", "t", *(F.round(c, 8 if c == "funding_mean" else 6).alias(c) if k == "double" else F.col(c) for c, k in x.dtypes if c not in ("symbol", "t")))
 
 
 @query("w35_metrics_panel", CANDLES + f""", m AS (SELECT symbol, t, ln(quote_volume) AS oi, taker_buy / nullif(quote_volume - taker_buy, 0) AS ls FROM candles WHERE quote_volume > 0)

@@ -105,7 +105,7 @@ def basket_index(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("a32_slice_report", f"""{T}, s AS (SELECT 'all' AS slice, count(*) AS rows, avg(net_r) AS m FROM trades UNION ALL SELECT 'confident', count(*), avg(net_r) FROM trades WHERE confidence >= 0.6 UNION ALL SELECT 'small', count(*), avg(net_r) FROM trades WHERE size < 10 UNION ALL SELECT 'late', count(*), avg(net_r) FROM trades WHERE hour >= 20)
-SELECT slice, rows, round(m, 6) AS mean_r, slice = (SELECT arg_max(slice, (m, slice)) FROM s WHERE rows >= 10) AS best FROM s""")
+SELECT slice, rows, round(m, 6) AS mean_r, slice = (SELECT arg_max(slice, (m, slice)) FROM s WHERE rows >= 10) AS best, rows >= 30 AND m > (SELECT m FROM s WHERE slice = 'all') AS useful FROM s""")
 def slice_report(spark: SparkSession, d: str) -> DataFrame:
     cuts = {"all": F.lit(True), "confident": F.col("confidence") >= 0.6, "small": F.col("size") < 10, "late": F.col("hour") >= 20}
     return rounded(pf.slices(tables.trades(spark, d), cuts, "net_r", 10))

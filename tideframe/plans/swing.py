@@ -46,7 +46,7 @@ def lookback_returns(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("w42_breakout", B + f""", f AS (SELECT symbol, t, close, volume, count(*) OVER k AS c, max(high) OVER k AS hi, min(low) OVER k AS lo, avg(volume) OVER k AS v FROM b WINDOW k AS {frame(12, 1)})
-SELECT symbol, t, CASE WHEN c = 12 THEN close >= hi * 0.9 AND (hi - lo) / nullif(lo, 0) <= 50 END AS breakout, CASE WHEN c = 12 THEN round(volume / nullif(v, 0), 6) END AS volume_ratio FROM f""")
+SELECT symbol, t, coalesce(c = 12 AND close >= hi * 0.9 AND (hi - lo) / nullif(lo, 0) <= 50, false) AS breakout, CASE WHEN c = 12 THEN round(volume / nullif(v, 0), 6) END AS volume_ratio FROM f""")
 def breakout(spark: SparkSession, d: str) -> DataFrame:
     x = _bars(spark, d, 20)
     return _out(x.select("symbol", "t", "_own", "_row", "_chunk", *(c.alias(k) for k, c in swing.breakout(C, 12, -0.1, 50.0).items())))
