@@ -129,7 +129,10 @@ def admission(spark: SparkSession, d: str) -> DataFrame:
 
 _EXPOSED = f"""{TRADES_SQL}, c AS (SELECT symbol || side || hour AS book, id, decision_t AS t, CASE WHEN id % 401 > 0 THEN exit_t END AS e, net_r AS r, CASE WHEN id % 7 = 0 THEN 'missing_model_estimate' WHEN confidence < 0.1 THEN 'probability_below_threshold' WHEN size / 25 < 0.4 THEN 'expected_r_below_threshold' WHEN notional > 60000 THEN 'stopout_risk_above_limit' END AS why FROM trades),
 o AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY t, id) AS n FROM c WHERE why IS NULL)"""
-_CHECKS = {"missing_model_estimate": F.col("probability").isNull(), "probability_below_threshold": F.col("probability") < 0.1, "expected_r_below_threshold": F.col("expected_r") < 0.4, "stopout_risk_above_limit": F.col("stop_out") > 60000}
+
+
+def _checks() -> dict:
+    return {"missing_model_estimate": F.col("probability").isNull(), "probability_below_threshold": F.col("probability") < 0.1, "expected_r_below_threshold": F.col("expected_r") < 0.4, "stopout_risk_above_limit": F.col("stop_out") > 60000}
 
 
 def _exposed(spark: SparkSession, d: str) -> DataFrame:
@@ -145,7 +148,7 @@ UNION ALL SELECT o.book, o.n, o.id, len(list_filter(f.open, lambda x: x > o.t))
 SELECT book, id, CASE WHEN NOT ok THEN 'symbol_exposure_cap' END AS reason FROM f WHERE n > 0 UNION ALL SELECT book, id, why FROM c WHERE why IS NOT NULL""")
 def exposure_release(spark: SparkSession, d: str) -> DataFrame:
     """Reason of each rejection, with open exposure released at exits."""
-    return folds.admission(_exposed(spark, d), ["book"], _CHECKS, max_exposure=0.03)
+    return folds.admission(_exposed(spark, d), ["book"], _checks(), max_exposure=0.03)
 
 
 @query("w58_admission_exposure", f"""WITH RECURSIVE {_EXPOSED}, f AS (SELECT book, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, '' AS why, CAST([] AS BIGINT[]) AS open, 0 AS taken, 0 AS wait FROM (SELECT DISTINCT book FROM o)
@@ -154,7 +157,7 @@ FROM (SELECT o.book, o.n, o.id, o.e, o.r, f.taken, f.wait, list_filter(f.open, l
 SELECT book, id, why AS reason FROM f WHERE n > 0 UNION ALL SELECT book, id, why FROM c WHERE why IS NOT NULL""")
 def admission_exposure(spark: SparkSession, d: str) -> DataFrame:
     """Cap of accepted trades, cooldown after a loss and exposure cap at once."""
-    return folds.admission(_exposed(spark, d), ["book"], _CHECKS, max_exposure=0.02, cap=60, cooldown=2)
+    return folds.admission(_exposed(spark, d), ["book"], _checks(), max_exposure=0.02, cap=60, cooldown=2)
 
 
 @query("w59_non_overlap", f"""WITH RECURSIVE {_BOOK}, f AS (SELECT symbol, arg_min(id, (s, id)) AS id, arg_min(e, (s, id)) AS until FROM b GROUP BY symbol UNION ALL SELECT f.symbol, arg_min(b.id, (b.s, b.id)), arg_min(b.e, (b.s, b.id)) FROM f JOIN b ON b.symbol = f.symbol AND b.s >= f.until GROUP BY f.symbol)
