@@ -128,7 +128,7 @@ def funding_pages(spark: SparkSession, d: str) -> DataFrame:
     ms = F.when(F.abs("rate") <= 0.45, F.col("funding_t") * 1000)
     row = F.struct(F.concat(F.col("symbol"), F.lit("usdt ")).alias("symbol"), ms.alias("fundingTime"), F.col("rate").cast("decimal(20,6)").cast("string").alias("fundingRate"), F.when(F.col("funding_t") % 57600 == 0, "101.5").otherwise("").alias("markPrice"))
     f.groupBy("symbol", F.expr("funding_t div 86400")).agg(F.to_json(F.collect_list(row)).alias("value")).select("value").write.text(path)
-    x = files.funding_pages(spark, path)
+    x = files.funding_pages(spark, path, "exchange", "futures")
     return x.select("symbol", "funding_t", F.round(F.col("rate").cast("double"), 6).alias("rate"), F.col("mark_price").cast("double").alias("mark_price"), "reason")
 
 

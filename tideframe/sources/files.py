@@ -147,7 +147,7 @@ def _field(payload: Column, name: str, kind: str) -> tuple[Column, Column]:
     return value, F.when(wrong, F.concat(F.when(raw.isNull(), "missing ").otherwise("malformed "), F.lit(name)))
 
 
-def funding_pages(spark: SparkSession, path: str, venue: str = "binance", market_type: str = "um_futures") -> DataFrame:
+def funding_pages(spark: SparkSession, path: str, venue: str, market_type: str) -> DataFrame:
     """Funding rows of JSON pages, an array of objects a line: venue, market_type, symbol, funding_t, available_t (seconds;
     known when due), rate, mark_price, reason. Rows with a reason (a required field is missing or malformed) are kept."""
     rows = spark.read.text(path).select(F.explode_outer(F.from_json("value", "array<string>")).alias("row"), "value")
