@@ -1,7 +1,10 @@
 """The operators for training text, on small tables with every odd case, against brute force."""
 
+import base64
 import collections
+import contextlib
 import hashlib
+import io
 import itertools
 import random
 import re
@@ -152,6 +155,31 @@ def test_bpe_of_very_long_words(spark):
     assert sorted(r["token_ids"] for r in got) == sorted(library.encode_ordinary(t) for t in texts)
 
 
+def test_bpe_of_many_ids(spark, tmp_path):
+    """Ids of 2^16 and more don't fit 16 bits, nor do those beside 2^15 with a sign."""
+    for top in (1 << 15, (1 << 16) - 1, 1 << 16):
+        ranks = {bytes([i]): i for i in range(256)} | {b"ab": 256, b" ab": top}
+        ranks |= {b"\xff" + i.to_bytes(3, "big"): i for i in range(257, top)}  # never met
+        file = tmp_path / f"{top}.tiktoken"
+        file.write_bytes(b"".join(base64.b64encode(k) + b" %d\n" % v for k, v in ranks.items()))
+        got = byte_bpe.encode(table(spark, ["ab ab", "ab", None]), str(file), public_tokenizers.PATTERN, sets=4, with_ids=True)
+        assert {r["doc_id"]: list(r["token_ids"]) for r in got.collect()} == {0: [256, top], 1: [256], 2: []}
+
+
+def test_bpe_leaves_little_to_the_driver(spark, monkeypatch):
+    """Held words come as 8 and 16 bits a number, and the optimizer doesn't put a parsed rank map into the plan."""
+    sent, staged, broadcast, stage = [], {}, spark.sparkContext.broadcast, byte_bpe.stage
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda x: sent.append(x) or broadcast(x))
+    monkeypatch.setattr(byte_bpe, "stage", lambda df, name: staged.setdefault(name, df) and stage(df, name))
+    byte_bpe.encode(table(spark, ["one two three", *itertools.islice(texts_of(spark).values(), 40)]), BPE, public_tokenizers.PATTERN, sets=1 << 10)
+    ((first, n, ids),) = sent
+    assert len(n) > 1000 and len(ids) >= len(n) and len(ids) == n.sum()
+    assert first.nbytes <= 4 << 10 and n.nbytes == len(n) and ids.nbytes == 2 * len(ids)
+    with contextlib.redirect_stdout(io.StringIO()) as plan:
+        staged["ranks"].explain("extended")
+    assert "from_json" in plan.getvalue().split("== Optimized Logical Plan ==")[1]
+
+
 def test_bpe_of_nothing(spark):
     assert byte_bpe.encode(table(spark, ["a"]).limit(0), BPE, public_tokenizers.PATTERN).count() == 0
 
