@@ -568,3 +568,23 @@ def test_marks_of_held_words_are_apart_from_their_sets(spark):
     mark, chained = w.select(byte_bpe._mark(F.col("w")), F.xxhash64("w", F.lit(1))).first()
     first = xxhash.xxh64((1).to_bytes(4, "little"), seed=42).intdigest()
     assert mark % 2**64 == xxhash.xxh64(b"word", seed=first).intdigest() != chained % 2**64
+
+
+def test_components_of_few_edges_take_few_tasks(spark):
+    """A step reads its few edges in few tasks, not in one for each shuffle partition of the step before."""
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    tracker, group = spark.sparkContext.statusTracker(), "components of few edges"
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup(group, group)
+        got = jaccard_join.components(spark.createDataFrame([(i, i + 1) for i in range(8)] + [(20, 21)], "a long, b long"))
+        stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+        tasks = sum(i.numCompletedTasks for i in map(tracker.getStageInfo, stages) if i)
+        assert {tuple(r) for r in got.collect()} == {(i, 0) for i in range(9)} | {(20, 20), (21, 20)}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert 0 < tasks < 1500

@@ -58,3 +58,18 @@ def test_run_on_odd_tables(spark, tmp_path):
     assert len([i for i in ids if i is not None]) == len({i for i in ids if i is not None}) > 100
     assert not {7_000_001, 7_000_002, 7_000_003} & set(ids)
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_stages_start_by_giving_memory_back(spark, monkeypatch):
+    class Trimmed(Exception):
+        pass
+
+    def trim(session):
+        real(session)
+        raise Trimmed
+
+    real = corpus_pipeline.common.trim_driver
+    monkeypatch.setattr(corpus_pipeline.common, "trim_driver", trim)
+    for _, apply in corpus_pipeline.STAGES:
+        with pytest.raises(Trimmed):
+            apply(spark, None, "")
