@@ -111,9 +111,26 @@ def wallet_ok(address: Column) -> Column:
     return F.coalesce(address.rlike(r"^0x[0-9a-fA-F]{40}$"), F.lit(False))
 
 
+def canonical_json(*columns: Column) -> Column:
+    """JSON of a row whose numbers with an exponent are written as Python and SQL write them: 0.0001, 12345678.5, -9e-05,
+    1e+16. Numbers inside arrays and structs stay as they are."""
+    parts = []
+    for c in columns:
+        text = F.to_json(F.struct(c))
+        field = F.regexp_extract(text, r'^\{(".*":)-?\d+\.\d+E-?\d+\}$', 1)
+        number = F.regexp_extract(text, r":(-?\d+\.\d+E-?\d+)\}$", 1)
+        power = F.regexp_extract(number, r"E(-?\d+)$", 1).try_cast("int")
+        plain = F.regexp_replace(F.regexp_replace(number.try_cast("decimal(38,21)").cast("string"), "0+$", ""), r"\.$", ".0")
+        short = F.concat(F.regexp_replace(F.regexp_replace(number, "E.*$", ""), r"\.0$", ""), F.when(power < 0, "e-").otherwise("e+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+        short = F.when(F.abs(power) > 99, F.concat(F.regexp_extract(short, "^.*e.", 0), F.abs(power).cast("string"))).otherwise(short)
+        inner = F.regexp_extract(text, r"(?s)^\{(.*)\}$", 1)
+        parts.append(F.nullif(F.when(field == "", inner).when(power.between(-4, 15), F.concat(field, plain)).otherwise(F.concat(field, short)), F.lit("")))
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
 def content_hash(*columns: Column) -> Column:
     """SHA-256 of the canonical JSON of a row."""
-    return F.sha2(F.to_json(F.struct(*columns)), 256)
+    return F.sha2(canonical_json(*columns), 256)
 
 
 def rfc3339_text(at: Column) -> Column:
