@@ -51,6 +51,12 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """a / b of doubles as IEEE 754 has it: by 0 it is infinite, of 0 by 0 not a number; null where either is null."""
+    nan, inf = F.lit(float("nan")), F.lit(float("inf"))
+    return F.coalesce(F.try_divide(a, b), F.when(b == 0, F.when((a == 0) | F.isnan(a), nan).when(a > 0, inf).when(a < 0, -inf)))
+
+
 def change(now: Column, before: Column) -> Column:
     """now / before - 1."""
     return ratio(now, before) - 1
