@@ -193,7 +193,8 @@ w AS (SELECT q.*, z.g, z.entry, CASE WHEN ended IS NOT NULL THEN z.entry + z.g *
 SELECT symbol, id, policy, CASE WHEN ended IS NOT NULL THEN 'dynamic_stop' ELSE 'horizon_exit' END AS exit_reason, CAST(seen AS INT) AS bars_held, CAST(even AS INT) AS breakeven_bars, round(CASE WHEN g = 1 THEN px / entry - 1 ELSE entry / px - 1 END / 0.3 - 0.002 / 0.3, 6) AS net_r FROM w""")
 def exit_policies(spark: SparkSession, d: str) -> DataFrame:
     """What each closed trade would have brought with other exits."""
-    x = _resolved(spark, d).where("policies IS NOT NULL").select("symbol", "id", F.explode("policies").alias("policy", "_p"))
+    # explode_outer: explode infers a filter on the map, so that the optimizer works out all folds again below it.
+    x = _resolved(spark, d).where("status = 'closed'").select("symbol", "id", F.explode_outer("policies").alias("policy", "_p"))
     return rounded(x.select("symbol", "id", "policy", "_p.exit_reason", "_p.bars_held", "_p.breakeven_bars", "_p.net_r"))
 
 
