@@ -80,7 +80,7 @@ def stream_open_trades(spark: SparkSession, d: str) -> DataFrame:
 @query("t09_stream_alerts", f"""WITH {TICKS_SQL}, x AS (SELECT symbol, id, price, round(price - lag(price) OVER (PARTITION BY symbol ORDER BY us, id), 6) AS change FROM ticks)
 SELECT *, concat_ws(',', CASE WHEN price >= 200 THEN 'large' END, CASE WHEN abs(change) >= 250 THEN 'jump' END) AS reasons FROM x WHERE price >= 200 OR abs(change) >= 250""")
 def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
-    return s.run_once(s.stream_alerts(_ticks(spark, d), 200, 250))
+    return s.stream_alerts(_ticks(spark, d), 200, 250)
 
 
 @query("t10_stream_gaps", f"""WITH {TICKS_SQL}, x AS (SELECT symbol, us, lag(us) OVER (PARTITION BY symbol ORDER BY us) AS before FROM ticks) SELECT symbol, round(before / 1000000.0, 3) AS since, round(us / 1000000.0, 3) AS until FROM x WHERE us - before > 7200000000""")
